@@ -54,10 +54,14 @@ def fit(
     max_bins: int = 64,
     seed: int = SEED,
     least_rows: int = guards.LEAST_ROWS,
+    partitions: int | None = None,
 ) -> CostModel:
     """Train (eager). Spark bins split candidates and caps the depth, so the forest resembles
-    one grown to the last sample but does not equal it."""
+    one grown to the last sample but does not equal it. ``partitions`` spreads rows that come
+    from too few files; by default they stay as they were read."""
     rows = training_rows(view)
+    if partitions is not None:
+        rows = rows.repartition(partitions)
     seen = rows.limit(least_rows).count()
     if seen < least_rows:
         raise ValueError(f"Minimum {least_rows} historical records required. Current: {seen}.")
@@ -124,10 +128,12 @@ def predict(model: CostModel, rows: DataFrame) -> DataFrame:
         *[f"{c}_{kind}" for c in CATEGORIES for kind in ("index", "hot")], "features", "estimate"
     )
     values = F.transform(
-        F.arrays_zip(vector_to_array("leaf").alias("at"), _leaf_lookup(model).alias("values")),
-        lambda pair: F.get(pair["values"], pair["at"].cast("int")),
+        F.arrays_zip("at", "values"), lambda pair: F.get(pair["values"], pair["at"].cast("int"))
     )
-    per_tree = reached.withColumn("tree_estimates", values).drop("leaf")
+    looked_up = reached.withColumns(
+        {"at": vector_to_array("leaf"), "values": _leaf_lookup(model)}
+    )
+    per_tree = looked_up.withColumn("tree_estimates", values).drop("leaf", "at", "values")
     count = F.size("tree_estimates")
     summed = F.aggregate("tree_estimates", F.lit(0.0), lambda acc, x: acc + x)
     with_mean = per_tree.withColumn("estimate", summed / count)

@@ -133,8 +133,8 @@ def range_warnings(new: DataFrame, ranges: DataFrame, *features: str) -> DataFra
                 value < low, warning("is below training minimum", low)
             )
         )
-    kept = F.filter(F.array(*found), lambda w: w.isNotNull())
-    return new.select("shipment_id", F.inline(kept))
+    listed = new.select("shipment_id", F.inline(F.array(*found)))
+    return listed.where(F.col("feature").isNotNull())
 
 
 def exact_median(df: DataFrame, column: str, bins: int = 1024) -> float | None:

@@ -11,13 +11,22 @@ by whatever strategy its size calls for.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haulscope.sources.tables import FreightTables
-
-INPUTS = ("region", "nation", "customer", "supplier", "orders", "lineitem")
+# Columns read from each input; declaring them saves a schema-inference job per table.
+INPUTS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, "
+    "l_linestatus string, l_shipdate timestamp_ntz",
+}
 
 _MILES = "(o.o_orderkey * 37 + o.o_custkey * 101) % 2400"
 _WEIGHT = "500 + (o.o_orderkey * 131 + o.o_custkey * 17) % 43501"
@@ -154,18 +163,35 @@ LEFT JOIN ({ORIGINS_SQL}) org ON org.origin_key = o.o_custkey % 10
 
 
 def _run(spark: SparkSession, sql: str, folder: str) -> DataFrame:
-    used = [name for name in INPUTS if "{" + name + "}" in sql]
-    frames = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in used}
+    used = {name: schema for name, schema in INPUTS.items() if "{" + name + "}" in sql}
+    frames = {
+        name: spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
+        for name, schema in used.items()
+    }
     return spark.sql(sql, **frames)
 
 
-def freight_tables(spark: SparkSession, folder: str) -> FreightTables:
-    return FreightTables(
-        shipments=_run(spark, SHIPMENTS_SQL, folder),
-        charges=_run(spark, CHARGES_SQL, folder),
-        carriers=_run(spark, CARRIERS_SQL, folder),
-        facilities=_run(spark, FACILITIES_SQL, folder),
-    )
+class StarSchemaTables:
+    """``FreightTables`` whose members are set up when a query first asks for them."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self._spark, self._folder = spark, folder
+
+    @cached_property
+    def shipments(self) -> DataFrame:
+        return _run(self._spark, SHIPMENTS_SQL, self._folder)
+
+    @cached_property
+    def charges(self) -> DataFrame:
+        return _run(self._spark, CHARGES_SQL, self._folder)
+
+    @cached_property
+    def carriers(self) -> DataFrame:
+        return _run(self._spark, CARRIERS_SQL, self._folder)
+
+    @cached_property
+    def facilities(self) -> DataFrame:
+        return _run(self._spark, FACILITIES_SQL, self._folder)
 
 
 def upload_rows(spark: SparkSession, folder: str) -> DataFrame:
