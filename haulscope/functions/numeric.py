@@ -65,16 +65,11 @@ def thousands(value: ColumnLike) -> Column:
     )
 
 
-# The number syntax an upload may use.
-NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-INFINITY_PATTERN = r"^[+-]?inf(inity)?$"
+# Fixed value: the number syntax an upload may use.
+NUMBER_PATTERN = r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$|^[+-]?inf(inity)?$"
 
 
 def parse_number(text: ColumnLike) -> Column:
     """Double of a number text, else NULL. Suffixes (``12d``) and ``1_000`` are no numbers."""
     trimmed = F.trim(as_col(text))
-    lowered = F.lower(trimmed)
-    return F.when(trimmed.rlike(NUMBER_PATTERN), trimmed.try_cast("double")).when(
-        lowered.rlike(INFINITY_PATTERN),
-        F.when(lowered.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))),
-    )
+    return F.when(trimmed.rlike(NUMBER_PATTERN), trimmed.try_cast("double"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from haulscope.functions.numeric import finite, half_even, ratio, thousands
@@ -137,38 +139,76 @@ def range_warnings(new: DataFrame, ranges: DataFrame, *features: str) -> DataFra
     return listed.where(F.col("feature").isNotNull())
 
 
-def exact_median(df: DataFrame, column: str, bins: int = 1024) -> float | None:
-    """Exact median without sorting or collecting the column (runs a few small jobs).
+def exact_medians(df: DataFrame, *columns: str, bins: int = 1024) -> dict[str, float | None]:
+    """Exact medians without sorting or collecting a column (runs a few small jobs).
 
-    Each pass counts the values of the current interval in equal bins and narrows it to the
-    bin that holds the wanted rank; only ``bins`` counts reach the driver. The passes end when
-    all values left are equal.
+    A median is the value at one rank, or the mean of two. Each pass counts the values of the
+    interval around every open rank in equal bins and narrows the interval to the bin that
+    holds the rank; all columns share a pass and only bin counts reach the driver. A rank is
+    found when the values left are all equal.
     """
-    values = df.select(finite(column).alias("v")).where(F.col("v").isNotNull())
-    rows, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    if not rows:
-        return None
-    first = _value_at(values, (rows - 1) // 2, low, high, bins)
-    return first if rows % 2 else (first + _value_at(values, rows // 2, low, high, bins)) / 2
-
-
-def _value_at(values: DataFrame, rank: int, low: float, high: float, bins: int) -> float:
-    while low < high:
-        width = (high - low) / bins
-        place = F.least(F.floor((F.col("v") - low) / max(width, 5e-324)), F.lit(bins - 1))
-        counted = (
-            values.where(F.col("v").between(low, high))
-            .groupBy(place.alias("bin"))
-            .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .orderBy("bin")
-            .collect()
+    values = df.select(*[finite(c).alias(c) for c in columns])
+    spans = values.agg(
+        *[f(c).alias(f"{name}_{c}") for c in columns for name, f in _SPAN.items()]
+    ).first()
+    open_ranks = [
+        _Rank(c, rank, spans[f"low_{c}"], spans[f"high_{c}"])
+        for c in columns
+        if spans[f"rows_{c}"]
+        for rank in ((spans[f"rows_{c}"] - 1) // 2, spans[f"rows_{c}"] // 2)
+    ]
+    found: dict[str, list[float]] = {c: [] for c in columns}
+    while open_ranks:
+        for done in [r for r in open_ranks if r.low == r.high]:
+            found[done.column].append(done.low)
+        open_ranks = [r for r in open_ranks if r.low < r.high]
+        if open_ranks:
+            open_ranks = _narrow(values, open_ranks, bins)
+    return {c: sum(pair) / 2 if pair else None for c, pair in found.items()}
+
+
+_SPAN = {"rows": F.count, "low": F.min, "high": F.max}
+
+
+@dataclass(frozen=True)
+class _Rank:
+    column: str
+    rank: int  # counted from the interval's lower end
+    low: float
+    high: float
+
+
+def _narrow(values: DataFrame, ranks: list[_Rank], bins: int) -> list[_Rank]:
+    intervals = list(dict.fromkeys((r.column, r.low, r.high) for r in ranks))
+
+    def place(index: int, column: str, low: float, high: float) -> Column:
+        value = F.col(column)
+        bin_ = F.least(F.floor((value - low) / (high - low) * bins), F.lit(bins - 1))
+        inside = value.between(low, high)
+        return F.when(
+            inside,
+            F.struct(F.lit(index).alias("i"), bin_.alias("bin"), value.cast("double").alias("v")),
         )
-        for bin_ in counted:
-            if rank < bin_["n"]:
-                low, high = bin_["lo"], bin_["hi"]
+
+    placed = values.select(F.inline(F.array(*[place(i, *s) for i, s in enumerate(intervals)])))
+    counted = (
+        placed.where(F.col("i").isNotNull())
+        .groupBy("i", "bin")
+        .agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        .orderBy("i", "bin")
+        .collect()
+    )
+    narrowed = []
+    for wanted in ranks:
+        index, left = intervals.index((wanted.column, wanted.low, wanted.high)), wanted.rank
+        for row in counted:
+            if row["i"] != index:
+                continue
+            if left < row["n"]:
+                narrowed.append(_Rank(wanted.column, left, row["low"], row["high"]))
                 break
-            rank -= bin_["n"]
-    return low
+            left -= row["n"]
+    return narrowed
 
 
 def fill_missing(new: DataFrame, medians: dict[str, float]) -> DataFrame:

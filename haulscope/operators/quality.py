@@ -1,14 +1,17 @@
 """Upload checks as column expressions: one narrow pass over the rows.
 
-Every check yields a struct ``(severity, rule, message)`` or NULL; a row carries the array of
-those it failed. Row numbers count lines of the file, the header being line 1. The ``rule``
-code is the key; message texts are fixed values.
+A check says which rows fail and what to tell about them. Counting failures only evaluates the
+conditions; messages are put together for failed rows alone. Row numbers count lines of the
+file, the header being line 1. The ``rule`` code is the key; message texts are fixed values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import date
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -26,17 +29,38 @@ NOT_NEGATIVE = ("base_freight_usd", "accessorial_charge_usd")
 REQUIRED_TEXT = ("shipment_id", "carrier", "facility")
 SMALLEST_UPLOAD = 10
 
-ISSUES = "issues"
-_ISSUE = "struct<severity:string,rule:string,message:string>"
+ISSUES, ERRORS, WARNINGS = "issues", "n_errors", "n_warnings"
+NUMERIC = (*NUMBER_RANGES, *NOT_NEGATIVE)
 
 
-def _issue(failed: Column, severity: str, rule: str, *parts: str | Column) -> Column:
+@dataclass(frozen=True)
+class Check:
+    severity: str
+    rule: str
+    failed: Column
+    message: Column
+
+
+def _check(failed: Column, severity: str, rule: str, *parts: str | Column) -> Check:
     pieces = [F.lit(p) if isinstance(p, str) else p for p in parts]
     message = F.concat(F.lit("Row "), F.col("row_num").cast("string"), F.lit(": "), *pieces)
-    issue = F.struct(
-        F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), message.alias("message")
-    )
-    return F.when(failed, issue)
+    return Check(severity, rule, F.coalesce(failed, F.lit(False)), message)
+
+
+def _number(name: str) -> Column:
+    """The parsed cell, computed once per row by ``check``."""
+    return F.col(f"_{name}_number")
+
+
+def _date() -> Column:
+    return F.col("_ship_date_parsed")
+
+
+def _parsed(df: DataFrame) -> dict[str, Column]:
+    cells = {f"_{n}_number": parse_number(n) for n in NUMERIC if n in df.columns}
+    if "ship_date" in df.columns:
+        cells["_ship_date_parsed"] = parse_date("ship_date")
+    return cells
 
 
 # --- the frame ------------------------------------------------------------------------------
@@ -44,7 +68,7 @@ def _issue(failed: Column, severity: str, rule: str, *parts: str | Column) -> Co
 
 def frame_issues(df: DataFrame, expected: Sequence[str] = UPLOAD_COLUMNS) -> list[dict[str, str]]:
     """Missing columns (one error) and unknown ones (one warning); looks at names only."""
-    helpers = {"row_num", "file", CORRUPT, ISSUES}
+    helpers = {"row_num", "file", CORRUPT}
     missing = [c for c in expected if c not in df.columns]
     extra = [c for c in df.columns if c not in expected and c not in helpers]
     found = []
@@ -75,38 +99,38 @@ def size_issue(df: DataFrame, smallest: int = SMALLEST_UPLOAD) -> dict[str, str]
 # --- row checks -----------------------------------------------------------------------------
 
 
-def standard_checks() -> list[Column]:
+def standard_checks() -> list[Check]:
     """The checks every upload goes through, in reporting order."""
     checks = [
-        _issue(is_blank(name), ERROR, f"{name}_missing", f"'{name}' is empty or missing.")
+        _check(is_blank(name), ERROR, f"{name}_missing", f"'{name}' is empty or missing.")
         for name in REQUIRED_TEXT
     ]
     # A blank date is let through: only a text that is no date fails.
-    bad_date = ~is_blank("ship_date") & parse_date("ship_date").isNull()
+    bad_date = ~is_blank("ship_date") & _date().isNull()
     checks.append(
-        _issue(
+        _check(
             bad_date, ERROR, "ship_date_invalid",
             "'ship_date' value '", F.col("ship_date"), "' is not a valid date.",
         )
     )
     for name, (low, high) in NUMBER_RANGES.items():
-        number = parse_number(name)
+        number = _number(name)
         outside = is_blank(name) | ~number.between(low, high)
         checks.append(
-            _issue(
+            _check(
                 outside, ERROR, f"{name}_range",
                 f"'{name}' value ", thousands(number), f" is out of range ({low:,}–{high:,}).",
             )
         )
         checks.append(_not_a_number(name, number))
     for name in NOT_NEGATIVE:
-        number = parse_number(name)
+        number = _number(name)
         checks.append(
-            _issue(number < 0, ERROR, f"{name}_negative", f"'{name}' cannot be negative.")
+            _check(number < 0, ERROR, f"{name}_negative", f"'{name}' cannot be negative.")
         )
         checks.append(_not_a_number(name, number))
     checks.append(
-        _issue(
+        _check(
             is_blank("accessorial_charge_usd"), WARNING, "accessorial_charge_usd_blank",
             "'accessorial_charge_usd' is blank — defaulted to 0.",
         )
@@ -114,74 +138,74 @@ def standard_checks() -> list[Column]:
     return checks
 
 
-def _not_a_number(name: str, number: Column) -> Column:
+def _not_a_number(name: str, number: Column) -> Check:
     bad = ~is_blank(name) & number.isNull()
-    return _issue(bad, ERROR, f"{name}_not_number", f"'{name}' is not a number.")
+    return _check(bad, ERROR, f"{name}_not_number", f"'{name}' is not a number.")
 
 
-def date_required() -> Column:
-    return _issue(is_blank("ship_date"), ERROR, "ship_date_missing", "'ship_date' is empty or missing.")
+def date_required() -> Check:
+    return _check(is_blank("ship_date"), ERROR, "ship_date_missing", "'ship_date' is empty or missing.")
 
 
-def positive_miles() -> Column:
-    return _issue(
-        parse_number("miles") <= 0, ERROR, "miles_not_positive", "Distance must be greater than 0"
+def positive_miles() -> Check:
+    return _check(
+        _number("miles") <= 0, ERROR, "miles_not_positive", "Distance must be greater than 0"
     )
 
 
-def long_distance(limit: float = 5000, severity: str = WARNING) -> Column:
-    number = parse_number("miles")
-    return _issue(
+def long_distance(limit: float = 5000, severity: str = WARNING) -> Check:
+    number = _number("miles")
+    return _check(
         number > limit, severity, "miles_long",
         "Distance of ", thousands(number), " miles exceeds typical US range. Verify accuracy.",
     )
 
 
-def future_date(as_of: date | str) -> Column:
-    return _issue(
-        parse_date("ship_date") > F.lit(str(as_of)).cast("timestamp_ntz"), WARNING, "ship_date_future",
+def future_date(as_of: date | str) -> Check:
+    return _check(
+        _date() > F.lit(str(as_of)).cast("timestamp_ntz"), WARNING, "ship_date_future",
         "Future date detected. Use only historical data for training.",
     )
 
 
-def in_domain(name: str, options: Sequence[str]) -> Column:
+def in_domain(name: str, options: Sequence[str]) -> Check:
     listed = ", ".join(options)
-    return _issue(
+    return _check(
         ~is_blank(name) & ~F.col(name).isin(list(options)), ERROR, f"{name}_unknown",
         f"'{name}' value '", F.col(name), f"' is not one of: {listed}.",
     )
 
 
-def state_code(name: str, codes: Sequence[str] = STATE_CODES) -> Column:
+def state_code(name: str, codes: Sequence[str] = STATE_CODES) -> Check:
     value = F.coalesce(F.col(name), F.lit(""))
-    return _issue(
+    return _check(
         ~value.isin(list(codes)), ERROR, f"{name}_state",
         "Invalid state code '", value, "'. Use 2-letter abbreviation.",
     )
 
 
-def encoding_damage(*names: str) -> Column:
+def encoding_damage(*names: str) -> Check:
     """A replacement character means that bytes could not be decoded."""
     damaged = F.lit(False)
     for name in names:
         damaged = damaged | F.coalesce(F.contains(F.col(name), F.lit("�")), F.lit(False))
-    return _issue(
+    return _check(
         damaged, WARNING, "encoding", "Special characters detected - ensure file is UTF-8 encoded"
     )
 
 
-def malformed_line() -> Column:
-    return _issue(F.col(CORRUPT).isNotNull(), ERROR, "malformed_line", "line could not be parsed.")
+def malformed_line() -> Check:
+    return _check(F.col(CORRUPT).isNotNull(), ERROR, "malformed_line", "line could not be parsed.")
 
 
-def missing_tier() -> Column:
-    return _issue(
+def missing_tier() -> Check:
+    return _check(
         is_blank("risk_tier"), WARNING, "risk_tier_default", "'risk_tier' defaulted to 'Low'"
     )
 
 
-def cost_without_flag(cost: str, flag: str) -> Column:
-    return _issue(
+def cost_without_flag(cost: str, flag: str) -> Check:
+    return _check(
         _contradiction(cost, flag), WARNING, "flag_corrected",
         "Cost present but flag is 'No'. Auto-correcting flag to 'Yes'.",
     )
@@ -190,19 +214,48 @@ def cost_without_flag(cost: str, flag: str) -> Column:
 # --- results --------------------------------------------------------------------------------
 
 
-def check(df: DataFrame, checks: Sequence[Column] | None = None) -> DataFrame:
-    """Add the ``issues`` array; needs a ``row_num`` column."""
-    found = F.array(*(standard_checks() if checks is None else checks))
-    return df.withColumn(ISSUES, F.filter(found, lambda issue: issue.isNotNull()))
+def check(df: DataFrame, checks: Sequence[Check] | None = None) -> DataFrame:
+    """Add ``n_errors``, ``n_warnings`` and the ``issues`` array; needs a ``row_num`` column.
+
+    Cells are parsed once, in a projection below the conditions. The counts come out of a
+    one-row generator: a filter on them stays above it, where it compares two integers. A plain
+    column would be pushed down, and every cell parsed again for each place that names it.
+    """
+    used = standard_checks() if checks is None else checks
+    cells = _parsed(df)
+
+    def failures(severity: str) -> Column:
+        return reduce(add, [c.failed.cast("int") for c in used if c.severity == severity], F.lit(0))
+
+    issues = [
+        F.when(
+            c.failed,
+            F.struct(
+                F.lit(c.severity).alias("severity"),
+                F.lit(c.rule).alias("rule"),
+                c.message.alias("message"),
+            ),
+        )
+        for c in used
+    ]
+    counts = F.struct(failures(ERROR).alias(ERRORS), failures(WARNING).alias(WARNINGS))
+    counted = df.withColumns(cells).select("*", F.inline(F.array(counts)))
+    listed = F.filter(F.array(*issues), lambda issue: issue.isNotNull())
+    return counted.withColumn(ISSUES, listed).drop(*cells)
 
 
-def _errors() -> Column:
-    return F.size(F.filter(ISSUES, lambda issue: issue["severity"] == ERROR))
+def _plain(checked: DataFrame) -> DataFrame:
+    return checked.drop(ISSUES, ERRORS, WARNINGS)
 
 
 def messages(checked: DataFrame) -> DataFrame:
-    """One row per message; ``position`` orders the messages of a row."""
-    listed = checked.select("row_num", "shipment_id", F.posexplode(ISSUES))
+    """One row per message; ``position`` orders the messages of a row.
+
+    Failed rows have at least one issue, so the outer form lists the same rows; for the inner
+    form Spark would also filter on the array's size, below the counts.
+    """
+    failed = checked.where(F.col(ERRORS) + F.col(WARNINGS) > 0)
+    listed = failed.select("row_num", "shipment_id", F.posexplode_outer(ISSUES))
     return listed.select(
         "row_num",
         "shipment_id",
@@ -213,23 +266,34 @@ def messages(checked: DataFrame) -> DataFrame:
     )
 
 
-def first_messages(checked: DataFrame, severity: str = ERROR, rows: int = 50) -> DataFrame:
-    """The first ``rows`` messages and, on each, how many there are beyond them."""
-    wanted = messages(checked).where(F.col("severity") == severity)
-    beyond = wanted.agg(F.greatest(F.count(F.lit(1)) - rows, F.lit(0)).alias("more")).scalar()
-    first = wanted.orderBy("row_num", "position").limit(rows)
+def first_messages(
+    df: DataFrame,
+    checks: Sequence[Check] | None = None,
+    severity: str = ERROR,
+    rows: int = 50,
+) -> DataFrame:
+    """The first ``rows`` messages of an unchecked upload and how many there are beyond them.
+
+    All rows are only counted. The first ``rows`` failed rows hold the first messages, so
+    messages are put together for those alone.
+    """
+    count = {ERROR: ERRORS, WARNING: WARNINGS}[severity]
+    counted = check(df, checks).select(*df.columns, count)
+    found = F.coalesce(F.sum(count), F.lit(0))
+    beyond = counted.agg(F.greatest(found - rows, F.lit(0)).alias("more")).scalar()
+    candidates = counted.where(F.col(count) > 0).orderBy("row_num").limit(rows).drop(count)
+    first = messages(check(candidates, checks)).where(F.col("severity") == severity)
+    first = first.orderBy("row_num", "position").limit(rows)
     return first.select("row_num", "rule", "message", beyond.alias("more"))
 
 
 def summary(checked: DataFrame) -> DataFrame:
     """Counts, both readings of "rows passed", and whether scoring may start."""
-    errors = _errors()
-    per_row = checked.select(errors.alias("e"), (F.size(ISSUES) - errors).alias("w"))
-    counted = per_row.agg(
+    counted = checked.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum("e"), F.lit(0)).alias("errors"),
-        F.coalesce(F.sum("w"), F.lit(0)).alias("warnings"),
-        count_where(F.col("e") == 0).alias("rows_without_error"),
+        F.coalesce(F.sum(ERRORS), F.lit(0)).alias("errors"),
+        F.coalesce(F.sum(WARNINGS), F.lit(0)).alias("warnings"),
+        count_where(F.col(ERRORS) == 0).alias("rows_without_error"),
     )
     return counted.select(
         "rows",
@@ -243,16 +307,16 @@ def summary(checked: DataFrame) -> DataFrame:
 
 def clean_rows(checked: DataFrame) -> DataFrame:
     """Rows without an error; warnings do not hold a row back."""
-    return checked.where(_errors() == 0).drop(ISSUES)
+    return _plain(checked.where(F.col(ERRORS) == 0))
 
 
 def quarantined_rows(checked: DataFrame) -> DataFrame:
-    return checked.where(_errors() > 0)
+    return checked.where(F.col(ERRORS) > 0)
 
 
 def may_score(checked: DataFrame) -> bool:
     """The upload as a whole passes (runs until the first error is found)."""
-    return checked.where(_errors() > 0).isEmpty()
+    return quarantined_rows(checked).isEmpty()
 
 
 def first_rows(df: DataFrame, rows: int = 25) -> DataFrame:
@@ -388,9 +452,3 @@ def resolve_duplicates(
     if not repeated.isEmpty() or not present.isEmpty():
         raise ValueError("upload cancelled: duplicate shipment ids")
     return existing.unionByName(incoming.select(*columns))
-
-
-def reject_reasons(checked: DataFrame) -> Mapping[str, int]:
-    """Messages per rule, for a log line (one row per rule reaches the driver)."""
-    rows = messages(checked).groupBy("rule").count().collect()
-    return {row["rule"]: row["count"] for row in rows}
