@@ -135,7 +135,7 @@ def range_warnings(new: DataFrame, ranges: DataFrame, *features: str) -> DataFra
                 value < low, warning("is below training minimum", low)
             )
         )
-    listed = new.select("shipment_id", F.inline(F.array(*found)))
+    listed = new.select("shipment_id", F.inline_outer(F.array(*found)))
     return listed.where(F.col("feature").isNotNull())
 
 

@@ -101,7 +101,8 @@ def risk_factors(
     """Five rows per shipment: factor, weight, share of the sum, rank.
 
     Ranked inside the row by sorting a five-element array, so nothing is shuffled. Ties keep
-    the order of declaration; unknown weights come last and leave the shares unknown.
+    the order of declaration; unknown weights come last and leave the shares unknown. The outer
+    explode spares the size filter that Spark would otherwise evaluate the array for.
     """
     weights = risk.factor_weights(watched_carriers, watched_places)
     entries = F.array(
@@ -120,7 +121,7 @@ def risk_factors(
     whole: Column = F.lit(0.0)
     for position in range(len(weights)):
         whole = whole + F.element_at("entries", position + 1)["weight"]
-    listed = rows.select("shipment_id", whole.alias("whole"), F.posexplode("entries"))
+    listed = rows.select("shipment_id", whole.alias("whole"), F.posexplode_outer("entries"))
     safe_whole = F.when(F.col("whole") == 0, F.lit(1.0)).otherwise(F.col("whole"))
     return listed.select(
         "shipment_id",
@@ -134,6 +135,6 @@ def risk_factors(
 def recommended_actions(df: DataFrame) -> DataFrame:
     """One row per shipment and step of advice."""
     advice = risk.recommended_actions("risk_tier", "accessorial_charge_usd")
-    return df.select("shipment_id", "risk_tier", F.posexplode(advice)).select(
+    return df.select("shipment_id", "risk_tier", F.posexplode_outer(advice)).select(
         "shipment_id", "risk_tier", (F.col("pos") + 1).alias("step"), F.col("col").alias("action")
     )
