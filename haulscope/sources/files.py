@@ -60,16 +60,20 @@ def read_upload(
         .option("enforceSchema", False)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
+        # A pruned parse would not notice a line that is short or long elsewhere.
+        .option("columnPruning", False)
         .option("encoding", encoding)
         .option("pathGlobFilter", "*" + EXTENSION)
         .csv(folder)
     )
     if max_bytes is not None:
         raw = raw.where(F.col("_metadata.file_size") <= max_bytes)
+    # Spark refuses queries over nothing but the corrupt record, so it is tied to a cell.
+    some_cell = F.length(F.coalesce(F.col(names[0]), F.lit(""))) >= 0
     # The source keeps the lines of one block in order inside one partition.
     placed = raw.select(
         *[_missing_to_null(F.col(n)).alias(n) for n in names],
-        CORRUPT,
+        F.when(some_cell, F.col(CORRUPT)).alias(CORRUPT),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("read_order"),
