@@ -585,7 +585,7 @@ _STRICT = [
     ("error", "miles_not_positive", f"({_number('miles')}) <= 0", "'Distance must be greater than 0'"),
     (
         "warning", "miles_long", f"({_number('miles')}) > 5000",
-        f"'Distance of ' || format('{{:,}}', CAST(round_even({_number('miles')}, 0) AS BIGINT))"
+        f"'Distance of ' || CAST(CAST(round_even({_number('miles')}, 0) AS BIGINT) AS VARCHAR)"
         " || ' miles exceeds typical US range. Verify accuracy.'",
     ),
     (
@@ -732,14 +732,14 @@ def _costs() -> dict[str, str]:
         round_even(greatest(yes, no)::DOUBLE / (yes + no), 6), NULL FROM f
       UNION ALL SELECT 'carrier_dominance', 'warning', top_rows::DOUBLE / rows >= 95e-2,
         round_even(top_rows::DOUBLE / rows, 6), NULL FROM f"""
+    whole = lambda x: f"CAST(CAST(round_even({x}, 0) AS BIGINT) AS VARCHAR)"
     feature = lambda f, title: f"""
       SELECT shipment_id, '{f}' AS feature, {f} AS value,
         CASE WHEN {f} > hi THEN hi ELSE lo END AS limit_value,
-        CASE WHEN {f} > hi THEN '{title} ' || format('{{:,}}', CAST(round_even({f}, 0) AS BIGINT))
-            || ' exceeds training maximum of ' || format('{{:,}}', CAST(round_even(hi, 0) AS BIGINT))
-          ELSE '{title} ' || format('{{:,}}', CAST(round_even({f}, 0) AS BIGINT))
-            || ' is below training minimum of ' || format('{{:,}}', CAST(round_even(lo, 0) AS BIGINT))
-        END || '. Prediction reliability reduced.' AS message
+        '{title} ' || {whole(f)} || CASE WHEN {f} > hi
+            THEN ' exceeds training maximum of ' || {whole("hi")}
+            ELSE ' is below training minimum of ' || {whole("lo")} END
+          || '. Prediction reliability reduced.' AS message
       FROM new, (SELECT min({f}) AS lo, max({f}) AS hi FROM s) WHERE {f} > hi OR {f} < lo"""
     new = f"""SELECT row_num, shipment_id, {_number("weight_lbs")} AS weight_lbs, {_number("miles")} AS miles
       FROM uploads"""

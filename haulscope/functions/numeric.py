@@ -65,6 +65,12 @@ def thousands(value: ColumnLike) -> Column:
     )
 
 
+def plain(value: ColumnLike) -> Column:
+    """Whole-number text without separators."""
+    value = as_col(value).cast("double")
+    return F.coalesce(F.rint(value).try_cast("bigint").cast("string"), value.cast("string"))
+
+
 # Fixed value: the number syntax an upload may use.
 NUMBER_PATTERN = r"(?i)^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$|^[+-]?inf(inity)?$"
 

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from haulscope.functions.numeric import finite, half_even, ratio, thousands
+from haulscope.functions.numeric import finite, half_even, plain, ratio
 
 # Least training rows, shares that count as severe imbalance and dominance.
 LEAST_ROWS = 100
@@ -124,8 +124,8 @@ def range_warnings(new: DataFrame, ranges: DataFrame, *features: str) -> DataFra
                 value.cast("double").alias("value"),
                 limit.alias("limit"),
                 F.concat(
-                    F.lit(f"{FEATURE_TITLES.get(feature, feature)} "), thousands(value),
-                    F.lit(f" {side} of "), thousands(limit),
+                    F.lit(f"{FEATURE_TITLES.get(feature, feature)} "), plain(value),
+                    F.lit(f" {side} of "), plain(limit),
                     F.lit(". Prediction reliability reduced."),
                 ).alias("message"),
             )

@@ -16,8 +16,9 @@ from operator import add
 from pyspark.sql import Column, DataFrame, functions as F
 
 from haulscope.functions.dates import parse_date
-from haulscope.functions.numeric import count_where, parse_number, thousands
+from haulscope.functions.numeric import count_where, parse_number, plain, thousands
 from haulscope.functions.text import is_blank
+from haulscope.operators.joins import join_measured
 from haulscope.schemas import STATE_CODES, UPLOAD_COLUMNS
 from haulscope.sources.files import CORRUPT
 
@@ -157,7 +158,7 @@ def long_distance(limit: float = 5000, severity: str = WARNING) -> Check:
     number = _number("miles")
     return _check(
         number > limit, severity, "miles_long",
-        "Distance of ", thousands(number), " miles exceeds typical US range. Verify accuracy.",
+        "Distance of ", plain(number), " miles exceeds typical US range. Verify accuracy.",
     )
 
 
@@ -372,10 +373,11 @@ def near_duplicates(df: DataFrame, column: str = "carrier") -> DataFrame:
 
 
 def unify_spelling(df: DataFrame, column: str = "carrier") -> DataFrame:
+    """Replace every spelling by its canonical one (runs jobs: see ``join_measured``)."""
     mapping = spellings(df, column).select(
         F.col("spelling").alias("_spelling"), F.col("canonical").alias("_canonical")
     )
-    joined = df.join(mapping, F.col(column) == F.col("_spelling"), "left")
+    joined = join_measured(df, mapping, F.col(column) == F.col("_spelling"), "left")
     unified = joined.withColumn(column, F.coalesce("_canonical", column))
     return unified.drop("_spelling", "_canonical")
 
@@ -413,21 +415,22 @@ def duplicate_ids(df: DataFrame, key: str = "shipment_id") -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame, key: str = "shipment_id") -> DataFrame:
-    """Every row whose id occurs more than once."""
+    """Every row whose id occurs more than once (runs jobs: see ``join_measured``)."""
     found = duplicate_ids(df, key).select(key, "occurrences")
-    return df.join(found, key)
+    return join_measured(df, found, key, "inner")
 
 
 def keep_one(df: DataFrame, keep: str = "first", key: str = "shipment_id") -> DataFrame:
     """One row per id, the first or the last; rows without an id all stay.
 
     Only ids and row numbers are shuffled to find the duplicates; the rows themselves meet the
-    short list of duplicated ids, by broadcast as long as that list is small.
+    list of duplicated ids in place, as long as that list is small (runs jobs: see
+    ``join_measured``).
     """
     kept = duplicate_ids(df, key).select(
         F.col(key).alias("_id"), F.col(f"{keep}_row").alias("_kept_row")
     )
-    joined = df.join(kept, F.col(key) == F.col("_id"), "left")
+    joined = join_measured(df, kept, F.col(key) == F.col("_id"), "left")
     stays = F.col("_kept_row").isNull() | (F.col("row_num") == F.col("_kept_row"))
     return joined.where(stays).drop("_id", "_kept_row")
 

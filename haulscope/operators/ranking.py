@@ -9,26 +9,23 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from haulscope.functions import risk
 from haulscope.functions.numeric import half_even, ratio
 from haulscope.operators.enrich import carrier_names
-
-# Up to this many ids a filter side may be broadcast (an id takes well under 100 bytes).
-BROADCAST_IDS = 100_000
-
+from haulscope.operators.joins import join_measured
+from haulscope.session import settle
 
 def latest(df: DataFrame, rows: int, *ties: str, date: str = "ship_date") -> DataFrame:
     """The ``rows`` newest rows; each task keeps its own top rows before anything moves."""
     return df.orderBy(F.desc_nulls_last(date), *[F.asc(t) for t in ties]).limit(rows)
 
 
-def context_of(few: DataFrame, rows: int, many: DataFrame, key: str) -> DataFrame:
-    """LEFT join of at most ``rows`` rows to a large table.
+def context_of(few: DataFrame, many: DataFrame, key: str) -> DataFrame:
+    """LEFT join of a top-n result to a large table (runs jobs: see ``join_measured``).
 
-    The large side is first cut to the wanted keys, so it is filtered in place instead of
-    shuffled while the ids fit a broadcast; beyond that Spark picks the join itself.
+    The few rows are computed once. The large side is first cut to their keys, in place while
+    the keys fit a broadcast, so it is not shuffled for the sake of a handful of rows.
     """
-    wanted = few.select(key).where(F.col(key).isNotNull()).distinct()
-    if rows <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    return few.join(many.join(wanted, key, "left_semi"), key, "left")
+    found = settle(few)
+    wanted = found.select(key).where(F.col(key).isNotNull()).distinct()
+    return found.join(join_measured(many, wanted, key, "left_semi"), key, "left")
 
 
 def top_charges(lines: DataFrame, rows: int = 15) -> DataFrame:

@@ -55,11 +55,11 @@ def tier_outcomes(tables: FreightTables, chosen: Selection = EVERYTHING) -> Data
     return metrics.tier_outcomes(regroup(rollup, "risk_tier"))
 
 
-def _with_context(few: DataFrame, rows: int, tables: FreightTables) -> DataFrame:
+def _with_context(few: DataFrame, tables: FreightTables) -> DataFrame:
     context = shipment_view(tables.shipments).select(
         "shipment_id", "carrier_id", "facility", "base_freight_usd", "risk_score", "risk_tier"
     )
-    joined = with_carrier(context_of(few, rows, context, "shipment_id"), tables.carriers)
+    joined = with_carrier(context_of(few, context, "shipment_id"), tables.carriers)
     return joined.drop("carrier_id").withColumn(
         "total_cost_usd",
         zero_if_null("base_freight_usd") + zero_if_null("accessorial_charge_usd"),
@@ -81,14 +81,14 @@ def latest_charges(tables: FreightTables, rows: int = 2000) -> DataFrame:
 def latest_charge_lines(tables: FreightTables, rows: int = 2000) -> DataFrame:
     """The newest charges with their context. The limit comes before the joins."""
     lines = charge_view(tables.charges).select(*LINE_COLUMNS)
-    return _with_context(latest(lines, rows, *LINE_TIES), rows, tables)
+    return _with_context(latest(lines, rows, *LINE_TIES), tables)
 
 
 def top_charge_lines(tables: FreightTables, rows: int = 15) -> DataFrame:
     lines = charge_view(tables.charges).select(
         "charge_id", "shipment_id", "ship_date", "accessorial_type", "accessorial_charge_usd"
     )
-    shown = _with_context(top_charges(lines, rows), rows, tables)
+    shown = _with_context(top_charges(lines, rows), tables)
     return shown.select(
         "charge_id", "shipment_id", "ship_date", "carrier", "facility", "accessorial_type",
         "accessorial_charge_usd", "base_freight_usd", "total_cost_usd", "risk_tier",

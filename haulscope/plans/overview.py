@@ -7,10 +7,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from haulscope.functions.dates import week_start
 from haulscope.functions.numeric import half_even, zero_if_null
 from haulscope.operators import metrics
-from haulscope.operators.enrich import carrier_names, shipment_view
 from haulscope.operators.filters import Selection
-from haulscope.operators.rollups import regroup, shipment_rollup
-from haulscope.plans.scope import EVERYTHING, per_carrier, shipments_in
+from haulscope.operators.rollups import shipment_rollup
+from haulscope.plans.scope import EVERYTHING, per_carrier, shipments_in, split_by
 from haulscope.sources.tables import FreightTables
 
 
@@ -60,24 +59,11 @@ def risk_kpis(tables: FreightTables, chosen: Selection = EVERYTHING) -> DataFram
 
 
 def risk_kpis_delta(tables: FreightTables, chosen: Selection) -> DataFrame:
-    """The KPIs of a selection and their distance from all shipments, from one scan.
-
-    Rows are summed by (carrier id, row filter passed?); the carrier names then decide which of
-    those few sums belong to the selection.
-    """
-    view = shipment_view(tables.shipments).withColumn(
-        "passed", F.coalesce(chosen.on_shipment(), F.lit(False))
-    )
-    parts = shipment_rollup(view, "carrier_id", "passed")
-    if chosen.carriers:
-        named = carrier_names(tables.carriers).where(chosen.on_carrier())
-        named = named.select("carrier_id", F.lit(True).alias("wanted")).distinct()
-        parts = parts.join(named, "carrier_id", "left")
-        parts = parts.withColumn("passed", F.col("passed") & F.col("wanted").isNotNull())
-    halves = regroup(parts, "passed")
+    """The KPIs of a selection and their distance from all shipments, from one scan."""
+    halves = split_by(tables, chosen)
     figures = ("n_rows", "risk_sum", "n_risk", "n_high", "acc_cents")
     both = halves.agg(
-        *[F.coalesce(F.sum(F.when(F.col("passed"), F.col(f))), F.lit(0)).alias(f) for f in figures],
+        *[F.coalesce(F.sum(F.when(F.col("inside"), F.col(f))), F.lit(0)).alias(f) for f in figures],
         *[F.coalesce(F.sum(f), F.lit(0)).alias(f"all_{f}") for f in figures],
     )
     risk = F.try_divide(F.col("risk_sum"), F.col("n_risk").cast("double")) * 100

@@ -37,6 +37,26 @@ def per_carrier(tables: FreightTables, chosen: Selection = EVERYTHING) -> DataFr
     return name_carriers(shipment_rollup(view, "carrier_id"), tables)
 
 
+def split_by(tables: FreightTables, chosen: Selection) -> DataFrame:
+    """Rollup of all shipments in at most two rows: inside the selection and outside.
+
+    Rows are summed by (carrier id, row filter passed?) in one scan; the carrier names then
+    decide which of those few sums belong to the selection.
+    """
+    view = shipment_view(tables.shipments).withColumn(
+        "inside", F.coalesce(chosen.on_shipment(), F.lit(False))
+    )
+    if not chosen.carriers:
+        return shipment_rollup(view, "inside")
+    parts = shipment_rollup(view, "carrier_id", "inside")
+    named = carrier_names(tables.carriers).where(chosen.on_carrier())
+    named = named.select("carrier_id", F.lit(True).alias("wanted")).distinct()
+    joined = parts.join(named, "carrier_id", "left")
+    return regroup(
+        joined.withColumn("inside", F.col("inside") & F.col("wanted").isNotNull()), "inside"
+    )
+
+
 def charges_in(
     tables: FreightTables,
     chosen: Selection = EVERYTHING,

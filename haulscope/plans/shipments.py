@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from haulscope.functions import risk
 from haulscope.operators import filters, ranking
 from haulscope.operators.enrich import carrier_names, shipment_view, with_carrier
 from haulscope.operators.filters import Selection
-from haulscope.plans.scope import EVERYTHING, shipments_in
+from haulscope.plans.scope import EVERYTHING, shipments_in, split_by
 from haulscope.sources.tables import FreightTables
 
 LIST_COLUMNS = (
@@ -82,36 +82,51 @@ def used_carriers(tables: FreightTables) -> DataFrame:
 
 
 def filter_options(tables: FreightTables) -> DataFrame:
-    """Every option of the filter lists as (field, option), and the span of dates as text."""
-    view = shipment_view(tables.shipments)
-    span = filters.date_span(view)
-
-    def listed(field: str, df: DataFrame, column: str) -> DataFrame:
-        return df.select(F.lit(field).alias("field"), F.col(column).cast("string").alias("option"))
-
-    def day(column: str) -> DataFrame:
-        shown = span.select(F.date_format(column, "yyyy-MM-dd").alias("d"))
-        return listed(column, shown, "d")
-
-    return (
-        listed("carrier", used_carriers(tables), "carrier")
-        .unionByName(listed("facility", filters.distinct_values(view, "facility"), "facility"))
-        .unionByName(
-            listed(
-                "accessorial_type",
-                filters.distinct_values(
-                    tables.charges.withColumnRenamed("charge_type", "accessorial_type"),
-                    "accessorial_type",
-                ),
-                "accessorial_type",
+    """Every option of the filter lists as (field, option), and the span of dates as text.
+
+    Shipments are scanned once: they are grouped by carrier id and facility, and the lists and
+    the span are read off that small result.
+    """
+    day = "yyyy-MM-dd"
+    groups = (
+        shipment_view(tables.shipments)
+        .groupBy("carrier_id", "facility")
+        .agg(F.min("ship_date").alias("first"), F.max("ship_date").alias("last"))
+        .join(carrier_names(tables.carriers), "carrier_id", "left")
+    )
+    unknown = F.lit(None).cast("timestamp_ntz")
+
+    def entry(field: str, option: Column, first: Column = unknown, last: Column = unknown) -> Column:
+        return F.struct(
+            F.lit(field).alias("field"), option.alias("option"),
+            first.alias("first"), last.alias("last"),
+        )
+
+    entries = groups.select(
+        F.inline(
+            F.array(
+                entry("carrier", F.col("carrier")),
+                entry("facility", F.col("facility")),
+                entry("min_date", F.lit(""), first=F.col("first")),
+                entry("max_date", F.lit(""), last=F.col("last")),
             )
         )
-        .unionByName(day("min_date"))
-        .unionByName(day("max_date"))
+    ).where(F.col("option").isNotNull())
+    grouped = entries.groupBy("field", "option").agg(
+        F.date_format(F.coalesce(F.min("first"), F.max("last")), day).alias("date")
+    )
+    listed = grouped.select("field", F.coalesce("date", "option").alias("option"))
+    types = tables.charges.where(F.col("charge_type").isNotNull()).select(
+        F.lit("accessorial_type").alias("field"), F.col("charge_type").alias("option")
     )
+    return listed.unionByName(types.distinct())
 
 
 def matched_counts(tables: FreightTables, chosen: Selection) -> DataFrame:
-    return filters.matched(
-        with_carrier(shipment_view(tables.shipments), tables.carriers), chosen
+    """Rows shown and rows in all."""
+    halves = split_by(tables, chosen)
+    shown = F.sum(F.when(F.col("inside"), F.col("n_rows")))
+    return halves.agg(
+        F.coalesce(shown, F.lit(0)).alias("shown"),
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("total"),
     )

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution does three jobs here: it switches to a broadcast join only after the
 # side's real size is known, splits skewed join partitions, and coalesces small ones.
@@ -29,15 +29,35 @@ def build_session(app_name: str = "haulscope", **overrides: str) -> SparkSession
     return builder.getOrCreate()
 
 
-def work_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the shared checkpoint directory of the session.
+def shared_root(spark: SparkSession) -> str:
+    """The shared checkpoint directory of the session.
 
     Only a local session, whose executors share the driver's disk, may fall back to a
     temporary folder; a cluster without ``spark.checkpoint.dir`` is refused.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="haulscope-")
-    return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}")
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if root:
+        return root
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="haulscope-"))
+    return context.getCheckpointDir()
+
+
+def work_folder(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder under the shared directory."""
+    return os.path.join(shared_root(spark), f"{purpose}-{uuid.uuid4().hex}")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a small intermediate result once, into the shared checkpoint directory (eager).
+
+    For results that several branches of a plan read: without it each branch scans the large
+    table again. Reliable, so a lost executor costs nothing.
+    """
+    context = df.sparkSession.sparkContext
+    root = shared_root(df.sparkSession)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
+    return df.checkpoint()

@@ -3,10 +3,11 @@
 The texts below are plain SQL that any ANSI engine reads, with ``{name}`` for the input
 tables, so a checker can put the same derivation in front of its own queries.
 
-Scale notes. The origin side keeps at most the ten suppliers 0..9 and the destination side
-one row per nation; both are grouped by their join key, which tells Catalyst that the key is
-unique, so the joins disappear from plans that do not use their columns. ``customer`` joins
-by whatever strategy its size calls for.
+Scale notes. The origin side is one row per supplier key 0..9 and the destination side one
+row per nation, of which the schema has 25: these two are small by construction and are
+broadcast. Both are grouped by their join key, which tells Catalyst that the key is unique, so
+the joins disappear from plans that do not use their columns. ``customer`` joins by whatever
+strategy its size calls for.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ GROUP BY n.n_nationkey
 """
 
 SHIPMENTS_SQL = f"""
-SELECT
+SELECT /*+ BROADCAST(org), BROADCAST(dst) */
   {_shipment_id("o.o_orderkey")} AS ShipmentId,
   o.o_orderdate AS ShipDate,
   CASE WHEN o.o_orderkey % 97 = 0 THEN NULL WHEN o.o_orderkey % 89 = 0 THEN -1
@@ -133,7 +134,7 @@ GROUP BY c_mktsegment
 
 # Upload rows with planted faults: the first matching case of a column wins.
 UPLOADS_SQL = f"""
-SELECT
+SELECT /*+ BROADCAST(org) */
   o.o_orderkey + 2 AS row_num,
   CASE WHEN o.o_orderkey % 101 = 0 THEN NULL
        WHEN o.o_orderkey % 103 = 0 THEN {_shipment_id("(o.o_orderkey - 1)")}

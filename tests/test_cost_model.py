@@ -173,6 +173,6 @@ def test_range_warnings(spark):
     )
     found = guards.range_warnings(new, guards.feature_ranges(training, "miles"), "miles").collect()
     assert {r.shipment_id: r.message for r in found} == {
-        "a": "Distance 6,500 exceeds training maximum of 4,200. Prediction reliability reduced.",
+        "a": "Distance 6500 exceeds training maximum of 4200. Prediction reliability reduced.",
         "c": "Distance 10 is below training minimum of 50. Prediction reliability reduced.",
     }

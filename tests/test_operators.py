@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from haulscope import FreightTables, Selection, schemas
-from haulscope.operators import enrich, filters, metrics, ranking
+from haulscope.operators import enrich, filters, joins, ranking
 from haulscope.operators.rollups import regroup, shipment_rollup
 from haulscope.plans import accessorials, carriers, overview, routes, shipments
 
@@ -267,11 +267,25 @@ def test_pages_meet(spark, rows):
     assert rows(ranking.page(df, 5)) == []
 
 
-def test_context_reads_only_wanted_keys(spark, rows):
+@pytest.mark.parametrize("limit", [0, joins.BROADCAST_BYTES])
+def test_context_of_few_rows(spark, rows, monkeypatch, limit):
     few = spark.createDataFrame([("A", 1), ("Z", 2), (None, 3)], "k string, n int")
     many = spark.createDataFrame([("A", 10), ("B", 20)], "k string, v int")
-    for limit in (3, ranking.BROADCAST_IDS + 1):
-        assert sorted(rows(ranking.context_of(few, limit, many, "k"), "n", "v")) == [(1, 10), (2, None), (3, None)]
+    monkeypatch.setattr(joins.join_measured, "__defaults__", (limit,))
+    found = ranking.context_of(few, many, "k")
+    assert sorted(rows(found, "n", "v")) == [(1, 10), (2, None), (3, None)]
+
+
+def test_a_side_is_broadcast_only_below_the_limit(spark):
+    large, side = spark.range(1000), spark.range(100).withColumn("t", F.lit("x" * 36))
+    assert joins.size_of(side) == 100 * 100
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        small = plan_of(joins.join_measured(large, side, "id", "left", limit=10_000))
+        beyond = plan_of(joins.join_measured(large, side, "id", "left", limit=9_999))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in small and "SortMergeJoin" in beyond
 
 
 def test_latest(spark, rows):
