@@ -151,6 +151,7 @@ def _lists() -> dict[str, str]:
               THEN round_even(total_cost_usd / miles, 4) END, 0) AS cost_per_mile FROM s""",
             "s",
         ),
+        "fallback_source": _over(f"SELECT {_LIST} FROM s", "s"),
         "preview_labels": _over(
             """SELECT DISTINCT CASE WHEN length(lane) <= 15 THEN lane
               ELSE substring(lane, 1, 12) || '…' END AS label, lane FROM s""",
@@ -347,6 +348,11 @@ def _carriers() -> dict[str, str]:
             f"SELECT * FROM ({_CARRIERS}) WHERE carrier IN ('Supplier#000000002', 'Supplier#000000003')",
             "s",
         ),
+        "carrier_metrics_newest": _over(
+            f"""WITH n AS (SELECT * FROM s ORDER BY ship_date DESC NULLS LAST, shipment_id LIMIT 1000)
+            {_CARRIERS.replace("FROM s ", "FROM n ")}""",
+            "s",
+        ),
         "carrier_metrics_none": _over(f"SELECT * FROM ({_CARRIERS}) WHERE false", "s"),
         "carrier_summary": _over(
             f"""SELECT carrier, shipments, round_even(avg_cost, 2) AS avg_cost,
@@ -414,6 +420,12 @@ def _accessorials() -> dict[str, str]:
         "accessorial_kpis": _over(kpis(), "l"),
         "accessorial_kpis_filtered": _over(kpis(LINES_CHOSEN), "l"),
         "accessorial_kpis_nothing": _over(kpis("accessorial_type = 'no such type'"), "l"),
+        "accessorial_kpis_newest": _over(
+            f"""WITH n AS (SELECT * FROM l ORDER BY ship_date DESC NULLS LAST, charge_id,
+              accessorial_charge_usd, accessorial_type, risk_flag LIMIT 2000)
+            {kpis().replace("FROM l ", "FROM n ")}""",
+            "l",
+        ),
         "accessorial_kpis_once": _over(
             f"""WITH p AS (SELECT shipment_id, any_value(base_freight_usd) AS base,
                 sum(CAST({amount} AS DECIMAL(18,2))) AS acc FROM l GROUP BY shipment_id)

@@ -279,6 +279,7 @@ def first_messages(
     messages are put together for those alone.
     """
     count = {ERROR: ERRORS, WARNING: WARNINGS}[severity]
+    checks = standard_checks() if checks is None else checks
     counted = check(df, checks).select(*df.columns, count)
     found = F.coalesce(F.sum(count), F.lit(0))
     beyond = counted.agg(F.greatest(found - rows, F.lit(0)).alias("more")).scalar()

@@ -10,7 +10,7 @@ from haulscope.functions.numeric import zero_if_null
 from haulscope.operators.filters import Selection
 from haulscope.operators.ranking import context_of, latest, top_charges
 from haulscope.operators.rollups import regroup
-from haulscope.plans.scope import EVERYTHING, charges_in, name_carriers
+from haulscope.plans.scope import CHARGE_TIES, EVERYTHING, charges_in, name_carriers
 from haulscope.sources.tables import FreightTables
 
 
@@ -74,8 +74,7 @@ LINE_TIES = ("charge_id", "accessorial_charge_usd", "accessorial_type", "risk_fl
 
 
 def latest_charges(tables: FreightTables, rows: int = 2000) -> DataFrame:
-    ties = ("charge_id", "amount", "charge_type", "risk_flag")
-    return latest(tables.charges, rows, *ties, date="invoice_date")
+    return latest(tables.charges, rows, *CHARGE_TIES, date="invoice_date")
 
 
 def latest_charge_lines(tables: FreightTables, rows: int = 2000) -> DataFrame:

@@ -7,11 +7,27 @@ from pyspark.sql import DataFrame, functions as F
 from haulscope.functions.dates import week_start
 from haulscope.operators.enrich import carrier_names, charge_view, shipment_view
 from haulscope.operators.filters import Selection
+from haulscope.operators.ranking import latest
 from haulscope.operators.rollups import charge_rollup, regroup, shipment_rollup, spread_base
 from haulscope.sources.tables import FreightTables
 
 EVERYTHING = Selection()
 
+# Order of charges of the same date.
+CHARGE_TIES = ("charge_id", "amount", "charge_type", "risk_flag")
+
+
+def newest_shipments(tables: FreightTables, rows: int = 1000) -> FreightTables:
+    """The bundle with only its newest shipments: the scope of a page that caps its rows."""
+    newest = latest(tables.shipments, rows, "ShipmentId", date="ShipDate")
+    return FreightTables(newest, tables.charges, tables.carriers, tables.facilities)
+
+
+def newest_charges(tables: FreightTables, rows: int = 2000) -> FreightTables:
+    """The bundle with only its newest charges, for the charge tracker."""
+    newest = latest(tables.charges, rows, *CHARGE_TIES, date="invoice_date")
+    return FreightTables(tables.shipments, newest, tables.carriers, tables.facilities)
+
 
 def shipments_in(tables: FreightTables, chosen: Selection = EVERYTHING) -> DataFrame:
     """Shipments of a selection, carrier still as id."""
