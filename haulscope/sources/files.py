@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
-from haulscope.functions.numeric import as_col
+from haulscope.operators.joins import join_measured
 
 # Accepted extension, size limit, and the texts of a refusal.
 EXTENSION = ".csv"
@@ -20,6 +20,9 @@ MISSING_TEXTS = (
 
 CORRUPT = "_corrupt_record"
 
+# Enough for the blocks of about 100 TB (128 MB each, paths of 200 characters).
+BROADCAST_BLOCK_BYTES = 256 * 1024 * 1024
+
 
 def file_report(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """One row per file: path, bytes, accepted, reason. File contents are not opened."""
@@ -50,7 +53,8 @@ def read_upload(
 
     Every file must carry the same header; a different one is an error, not a silent shift.
     Files over ``max_bytes`` are pruned by their metadata, so they are never opened.
-    ``row_num`` is the line number with the header as line 1, counted per file.
+    ``row_num`` is the line number with the header as line 1, counted per file; the lines are
+    counted when this is called.
     """
     names = columns or header_of(spark, folder)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
@@ -88,7 +92,8 @@ def _missing_to_null(cell: Column) -> Column:
 def _number_lines(placed: DataFrame) -> DataFrame:
     """Contiguous numbers without moving the rows: block counts become block offsets.
 
-    The only shuffle is over one row per (file, block); the window runs per file on those.
+    Counting the lines of each block is a pass of its own and runs at once. What is shuffled,
+    and then broadcast, is one row per (file, block); the window runs per file on those.
     """
     earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -104,7 +109,7 @@ def _number_lines(placed: DataFrame) -> DataFrame:
     same_block = (F.col("file") == F.col("o_file")) & (F.col("block") == F.col("o_block"))
     number = F.col("lines_before") + F.col("read_order") - F.col("first_read") + 2
     return (
-        placed.join(offsets, same_block, "left")
+        join_measured(placed, offsets, same_block, "left", limit=BROADCAST_BLOCK_BYTES)
         .withColumn("row_num", number)
         .drop("o_file", "o_block", "first_read", "lines_before")
     )
