@@ -313,7 +313,12 @@ def test_partitions_do_not_matter(name, spark, folder, monkeypatch):
             patch.setattr(
                 star_schema, "_run", lambda *args: original(*args).repartition(partitions)
             )
-            return sorted(map(str, entry.queries()[name](spark, folder).collect()))
+            entry._tables.cache_clear()
+            df = entry.queries()[name](spark, folder)
+            assert "REPARTITION_BY_NUM" in plan_of(df)
+            found = sorted(map(str, df.collect()))
+        entry._tables.cache_clear()
+        return found
 
     assert answer(1) == answer(7)
 
