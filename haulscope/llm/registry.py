@@ -11,6 +11,8 @@ from haulscope.llm import (
     line_dedup,
     quality_rules,
     sharding,
+    suffix_dedup,
+    wrapper_induction,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +20,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_wrapper_induction": wrapper_induction.query,
         "op6_decontamination": decontamination.query,
+        "op7_suffix_dedup": suffix_dedup.query,
         "op8_quality_rules": quality_rules.query,
         "op9_line_dedup": line_dedup.query,
         "op10_sharding": sharding.query,
