@@ -11,6 +11,7 @@ from haulscope.llm import (
     line_dedup,
     quality_rules,
     sharding,
+    simhash_dedup,
     suffix_dedup,
     wrapper_induction,
 )
@@ -20,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_simhash_dedup": simhash_dedup.query,
         "op3_wrapper_induction": wrapper_induction.query,
         "op6_decontamination": decontamination.query,
         "op7_suffix_dedup": suffix_dedup.query,
