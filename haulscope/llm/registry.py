@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from haulscope.llm import (
     decontamination,
     line_dedup,
+    mixing,
     quality_rules,
     sharding,
     simhash_dedup,
@@ -23,6 +24,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash_dedup": simhash_dedup.query,
         "op3_wrapper_induction": wrapper_induction.query,
+        "op4_mixing": mixing.query,
         "op6_decontamination": decontamination.query,
         "op7_suffix_dedup": suffix_dedup.query,
         "op8_quality_rules": quality_rules.query,
