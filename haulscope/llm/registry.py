@@ -14,6 +14,8 @@ from haulscope.llm import (
     sharding,
     simhash_dedup,
     suffix_dedup,
+    token_counts,
+    toxicity,
     wrapper_induction,
 )
 
@@ -23,8 +25,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_dedup": simhash_dedup.query,
+        "op2_toxicity": toxicity.query,
         "op3_wrapper_induction": wrapper_induction.query,
         "op4_mixing": mixing.query,
+        "op5_token_counts": token_counts.query,
         "op6_decontamination": decontamination.query,
         "op7_suffix_dedup": suffix_dedup.query,
         "op8_quality_rules": quality_rules.query,
