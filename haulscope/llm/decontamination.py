@@ -71,6 +71,14 @@ def window_runs(df: DataFrame) -> DataFrame:
     return df.withColumn("runs", F.transform("c", run))
 
 
+def whole_runs(words: str, n: int) -> Column:
+    """All windows of ``n`` words, for items of that many words, in the form of ``runs``."""
+    run = lambda f, i: F.struct(
+        f.alias("f"), i.alias("i"), F.lit(1).alias("len"), F.lit(n).alias("n")
+    )
+    return F.transform(grams(words, n), run)
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """The windows of all items: item_id, window (words joined by a space), n (its words)."""
     items = benchmark.select("item_id", exact_words(F.col("text")).alias("w"))
@@ -112,15 +120,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # First pass: fingerprints of every text, met with those of the benchmark.
     texts = keyed.select(*KEYS, folded_words(F.col("text")).alias("w"))
     texts = window_runs(texts.withColumn("g", grams("w", K)))
-    wholes = [
-        F.transform(
-            grams("w", n),
-            lambda f, i, n=n: F.struct(
-                f.alias("f"), i.alias("i"), F.lit(1).alias("len"), F.lit(n).alias("n")
-            ),
-        )
-        for n in short
-    ]
+    wholes = [whole_runs("w", n) for n in short]
     emitted = texts.select(*KEYS, F.explode(F.concat("runs", *wholes)).alias("r"))
     emitted = emitted.select(*KEYS, "r.*")
     met = join_measured(emitted, item_fingerprints(benchmark, short), "f", "inner")
