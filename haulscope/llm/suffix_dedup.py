@@ -240,6 +240,8 @@ def covered_runs(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Data
     runs = docs.select(*KEYS, "text").mapInArrow(_runs(length), f"k1 bigint, k2 bigint, {RUN}")
     runs = common.written(runs, "anchored-runs")
     anchors = runs.groupBy("h").agg(F.count("*").alias("places")).where(F.col("places") > 1)
+    # Written, so that the join below has two plain inputs and a hot anchor's rows can be split.
+    anchors = common.written(anchors, "anchors")
     shared = common.written(runs.join(anchors, "h"), "shared-runs")
 
     rep = F.min(F.struct(*KEYS, "start", "n")).alias("rep")
