@@ -111,7 +111,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     those with the names of results are replaced.
     """
     results = ("n_words", "n_hit", "items", "hit_runs")
-    docs = common.spare(docs, *results)
+    docs = common.spare(docs, *results, *KEYS)
     windows = item_windows(benchmark)
     # One row for each length below ten, nine at most.
     short = sorted(r.n for r in windows.where(F.col("n") < WINDOW).select("n").distinct().collect())
@@ -126,10 +126,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = join_measured(emitted, item_fingerprints(benchmark, short), "f", "inner")
     met = met.groupBy(*KEYS).agg(F.collect_set(F.struct("i", "len", "n")).alias("met"))
 
-    # Second pass: the texts that met, each once, compared in full where they met.
-    held = keyed.select(*KEYS, "text").join(met, list(KEYS))
-    held = held.groupBy(*KEYS).agg(F.first("text").alias("text"), F.first("met").alias("met"))
-    hits = extended(held, windows)
+    # Second pass: the texts that met, each fetched from its row with the least doc_id and compared
+    # in full where they met. Other copies of a text stay where they are.
+    least = keyed.groupBy(*KEYS).agg(F.min("doc_id").alias("_doc"))
+    wanted = met.join(least, list(KEYS)).withColumnsRenamed({"_k1": "_m1", "_k2": "_m2"})
+    same = (F.col("_k1") == F.col("_m1")) & (F.col("_k2") == F.col("_m2"))
+    held = keyed.select(*KEYS, "doc_id", "text").join(
+        wanted, same & F.col("doc_id").eqNullSafe(F.col("_doc"))
+    )
+    hits = extended(held.select(*KEYS, "text", "met"), windows)
 
     counted = keyed.withColumn("n_words", F.size(words_of_any_case("text")).cast("bigint"))
     joined = counted.join(hits, list(KEYS), "left")
