@@ -216,7 +216,8 @@ def _overview() -> dict[str, str]:
                 {_sum("accessorial_charge_usd")} AS accessorial_cost
               FROM s WHERE ship_date IS NOT NULL GROUP BY 1)
             SELECT *, {", ".join(
-                f"round_even(CAST({k} - lag({k}) OVER (ORDER BY week) AS DOUBLE), 4) AS {k}_change"
+                f"""CASE WHEN lag(week) OVER (ORDER BY week) = week - INTERVAL 7 DAY THEN
+                  round_even(CAST({k} - lag({k}) OVER (ORDER BY week) AS DOUBLE), 4) END AS {k}_change"""
                 for k in ("shipments", "avg_risk_pct", "high_risk", "accessorial_cost"))}
             FROM w""",
             "s",
@@ -348,11 +349,6 @@ def _carriers() -> dict[str, str]:
             f"SELECT * FROM ({_CARRIERS}) WHERE carrier IN ('Supplier#000000002', 'Supplier#000000003')",
             "s",
         ),
-        "carrier_metrics_newest": _over(
-            f"""WITH n AS (SELECT * FROM s ORDER BY ship_date DESC NULLS LAST, shipment_id LIMIT 1000)
-            {_CARRIERS.replace("FROM s ", "FROM n ")}""",
-            "s",
-        ),
         "carrier_metrics_none": _over(f"SELECT * FROM ({_CARRIERS}) WHERE false", "s"),
         "carrier_summary": _over(
             f"""SELECT carrier, shipments, round_even(avg_cost, 2) AS avg_cost,
@@ -420,12 +416,6 @@ def _accessorials() -> dict[str, str]:
         "accessorial_kpis": _over(kpis(), "l"),
         "accessorial_kpis_filtered": _over(kpis(LINES_CHOSEN), "l"),
         "accessorial_kpis_nothing": _over(kpis("accessorial_type = 'no such type'"), "l"),
-        "accessorial_kpis_newest": _over(
-            f"""WITH n AS (SELECT * FROM l ORDER BY ship_date DESC NULLS LAST, charge_id,
-              accessorial_charge_usd, accessorial_type, risk_flag LIMIT 2000)
-            {kpis().replace("FROM l ", "FROM n ")}""",
-            "l",
-        ),
         "accessorial_kpis_once": _over(
             f"""WITH p AS (SELECT shipment_id, any_value(base_freight_usd) AS base,
                 sum(CAST({amount} AS DECIMAL(18,2))) AS acc FROM l GROUP BY shipment_id)
@@ -542,6 +532,14 @@ def _blank(column: str) -> str:
     return f"coalesce(trim({column}), '') = ''"
 
 
+def _missing(column: str) -> str:
+    return f"coalesce({column}, '') = ''"
+
+
+_DATE = "try_strptime(trim({}), ['%Y-%m-%d', '%Y-%m-%dT%H:%M:%S', '%Y/%m/%d', '%m/%d/%Y'])"
+_SHIP_DATE = _DATE.format("ship_date")
+
+
 def _number(column: str) -> str:
     return f"CASE WHEN regexp_matches(trim({column}), {_NUMBER}) THEN TRY_CAST(trim({column}) AS DOUBLE) END"
 
@@ -555,7 +553,7 @@ def _issue_rows(extra: list[tuple[str, str, str, str]] = ()) -> str:
     checks.append(
         (
             "error", "ship_date_invalid",
-            "ship_date IS NOT NULL AND try_strptime(ship_date, '%Y-%m-%d') IS NULL",
+            f"NOT ({_missing('ship_date')}) AND {_SHIP_DATE} IS NULL",
             "'''ship_date'' value ''' || ship_date || ''' is not a valid date.'",
         )
     )
@@ -564,18 +562,18 @@ def _issue_rows(extra: list[tuple[str, str, str, str]] = ()) -> str:
         shown = f"coalesce(format('{{:,}}', CAST(round_even({n}, 0) AS BIGINT)), 'nan')"
         checks.append(
             (
-                "error", f"{c}_range", f"{_blank(c)} OR NOT ({n} BETWEEN 0 AND {top})",
+                "error", f"{c}_range", f"{_missing(c)} OR NOT ({n} BETWEEN 0 AND {top})",
                 f"'''{c}'' value ' || {shown} || ' is out of range (0–{top:,}).'",
             )
         )
         checks.append(
-            ("error", f"{c}_not_number", f"NOT ({_blank(c)}) AND ({n}) IS NULL", f"'''{c}'' is not a number.'")
+            ("error", f"{c}_not_number", f"NOT ({_missing(c)}) AND ({n}) IS NULL", f"'''{c}'' is not a number.'")
         )
     for c in ("base_freight_usd", "accessorial_charge_usd"):
         n = _number(c)
         checks.append(("error", f"{c}_negative", f"({n}) < 0", f"'''{c}'' cannot be negative.'"))
         checks.append(
-            ("error", f"{c}_not_number", f"NOT ({_blank(c)}) AND ({n}) IS NULL", f"'''{c}'' is not a number.'")
+            ("error", f"{c}_not_number", f"NOT ({_missing(c)}) AND ({n}) IS NULL", f"'''{c}'' is not a number.'")
         )
     checks.append(
         (
@@ -602,7 +600,7 @@ _STRICT = [
     ),
     (
         "warning", "ship_date_future",
-        "try_strptime(ship_date, '%Y-%m-%d') > TIMESTAMP '1999-06-30'",
+        f"{_SHIP_DATE} > TIMESTAMP '1999-06-30'",
         "'Future date detected. Use only historical data for training.'",
     ),
     (
@@ -623,6 +621,8 @@ def _uploads() -> dict[str, str]:
         (SELECT count(DISTINCT row_num) FROM m WHERE severity = 'error') AS bad)
       SELECT n AS rows, e AS errors, w AS warnings, n - e AS rows_passed_ref,
         n - bad AS rows_without_error, e = 0 AS may_score FROM t"""
+    malformed = [("error", "malformed_line", "row_num % 199 = 0", "'line could not be parsed.'")]
+    file_summary = summary.replace(rows, _issue_rows(malformed)).replace("FROM uploads", "FROM cells")
     first = f"""WITH m AS ({positioned.format(rows)}), e AS (SELECT * FROM m WHERE severity = 'error')
       SELECT row_num, rule, message, greatest((SELECT count(*) FROM e) - 50, 0) AS more
       FROM e ORDER BY row_num, position LIMIT 50"""
@@ -642,7 +642,7 @@ def _uploads() -> dict[str, str]:
         "upload_messages": _over(positioned.format(rows), "uploads"),
         "upload_messages_strict": _over(positioned.format(_issue_rows(_STRICT)), "uploads"),
         "upload_summary": _over(summary, "uploads"),
-        "upload_file_summary": _over(summary.replace("FROM uploads", "FROM cells"), "uploads", "cells"),
+        "upload_file_summary": _over(file_summary, "uploads", "cells"),
         "upload_first_errors": _over(first, "uploads"),
         "upload_preview": _over("SELECT * FROM uploads ORDER BY row_num LIMIT 25", "uploads"),
         "upload_clean_rows": _over(
@@ -673,6 +673,44 @@ def _uploads() -> dict[str, str]:
               WHERE ShipmentId NOT IN (SELECT shipment_id FROM good WHERE shipment_id IS NOT NULL)""",
             "uploads", "shipments",
         ),
+        "duplicates_kept": _over(
+            f"""WITH d AS ({repeated}), good AS (SELECT u.shipment_id, facility,
+                {num0("miles")} AS miles FROM uploads u LEFT JOIN d ON d.shipment_id = u.shipment_id
+                WHERE d.first_row IS NULL OR d.first_row = u.row_num)
+            SELECT ShipmentId AS shipment_id, FacilityType AS facility, DistanceMiles AS miles FROM shipments
+            UNION ALL SELECT * FROM good WHERE shipment_id IS NULL
+              OR shipment_id NOT IN (SELECT ShipmentId FROM shipments)""",
+            "uploads", "shipments",
+        ),
+        "upload_frame_messages": _over(
+            """SELECT 'error' AS severity, 'missing_columns' AS rule,
+              'Missing required column(s): miles' AS message FROM uploads HAVING count(*) > 0
+            UNION ALL SELECT 'warning', 'extra_columns', 'Column(s) will be ignored: Notes'
+              FROM uploads HAVING count(*) > 0
+            UNION ALL SELECT 'warning', 'small_file',
+              'Please upload a file with at least 10 shipment records.'
+              FROM uploads WHERE row_num <= 5 HAVING count(*) BETWEEN 1 AND 9""",
+            "uploads",
+        ),
+        "encoding_messages": _over(
+            """SELECT row_num, shipment_id, 0 AS position, 'warning' AS severity, 'encoding' AS rule,
+              'Row ' || CAST(row_num AS VARCHAR)
+                || ': Special characters detected - ensure file is UTF-8 encoded' AS message
+            FROM uploads WHERE row_num % 241 = 0 AND facility IS NOT NULL""",
+            "uploads",
+        ),
+        "flag_warnings": _over(
+            """SELECT ShipmentId AS shipment_id, 'flag_corrected' AS rule,
+              'Cost present but flag is ''No''. Auto-correcting flag to ''Yes''.' AS message
+            FROM shipments WHERE AccessorialCost > 0 AND AccessorialFlag = 0""",
+            "shipments",
+        ),
+        "tier_warnings": _over(
+            f"""SELECT row_num, 'Row ' || CAST(row_num AS VARCHAR)
+              || ': ''risk_tier'' defaulted to ''Low''' AS message
+            FROM uploads WHERE coalesce({_number("miles")}, 0) <= 1200""",
+            "uploads",
+        ),
         "carrier_near_duplicates": _over(
             f"SELECT * FROM ({spell} SELECT spelling, rows, normal, variants, canonical FROM p WHERE variants > 1)",
             "uploads",
@@ -762,11 +800,12 @@ def _costs() -> dict[str, str]:
         ),
         "cost_histogram": _over(
             """WITH k AS (SELECT total_cost_usd AS c FROM s WHERE total_cost_usd IS NOT NULL),
-              r AS (SELECT min(c) AS lo, max(c) AS hi, (max(c) - min(c)) / 30e0 AS w FROM k)
-            SELECT CAST(least(coalesce(floor((c - lo) / nullif(w, 0)), 0), 29) AS INTEGER) AS bin,
-              round_even(any_value(lo) + bin * any_value(w), 4) AS low_edge,
-              round_even(any_value(lo) + (bin + 1) * any_value(w), 4) AS high_edge, count(*) AS count
-            FROM k, r GROUP BY bin""",
+              r AS (SELECT min(c) AS lo, max(c) AS hi, (max(c) - min(c)) / 30e0 AS w FROM k),
+              n AS (SELECT CAST(least(coalesce(floor((c - lo) / nullif(w, 0)), 0), 29) AS INTEGER) AS bin,
+                count(*) AS found FROM k, r GROUP BY 1)
+            SELECT CAST(b.bin AS INTEGER) AS bin, round_even(lo + b.bin * w, 4) AS low_edge,
+              round_even(lo + (b.bin + 1) * w, 4) AS high_edge, coalesce(found, 0) AS count
+            FROM range(30) b(bin) CROSS JOIN r LEFT JOIN n ON n.bin = b.bin WHERE lo IS NOT NULL""",
             "s",
         ),
         "estimate_position": _over(
@@ -788,6 +827,35 @@ def _costs() -> dict[str, str]:
             FROM ({feature("weight_lbs", "Weight")} UNION ALL {feature("miles", "Distance")})""",
             "uploads", "s",
         ),
+        "imputation_warnings": _over(
+            f"""WITH new AS ({new}), m AS (SELECT median(weight_lbs) AS mw, median(miles) AS mm FROM s)
+            SELECT row_num, 'weight_lbs' AS feature, mw AS value,
+              'Weight is missing. The median of the training data is used.' AS message
+            FROM new, m WHERE weight_lbs IS NULL
+            UNION ALL SELECT row_num, 'miles', mm,
+              'Distance is missing. The median of the training data is used.' FROM new, m WHERE miles IS NULL""",
+            "uploads", "s",
+        ),
+        "estimate_checks": _over(
+            f"""WITH b AS (SELECT {_avg('cost_per_mile')} AS cpm, {_avg_money('total_cost_usd')} AS fleet FROM s),
+              t AS (SELECT median(miles) AS mm FROM s WHERE weight_lbs IS NOT NULL AND miles IS NOT NULL
+                AND total_cost_usd IS NOT NULL)
+            SELECT shipment_id, (CASE WHEN weight_lbs IS NULL THEN 1 ELSE 0 END)
+                + (CASE WHEN miles IS NULL THEN 1 ELSE 0 END) AS n_imputed, true AS in_order,
+              round_even(cpm * coalesce(miles, mm), 4) AS simple_estimate, fleet AS fleet_average
+            FROM s, b, t""",
+            "s",
+        ),
+        "importance_checks": _over(
+            """SELECT count(DISTINCT carrier) + count(DISTINCT facility) + 2 AS features,
+              true AS sorted_down, 1e0 AS whole
+            FROM s WHERE weight_lbs IS NOT NULL AND miles IS NOT NULL AND total_cost_usd IS NOT NULL""",
+            "s",
+        ),
+        "preview_checks": _over(
+            "SELECT least(count(*), 500) AS rows, least(count(*), 500) AS in_table FROM shipments",
+            "shipments",
+        ),
         "missing_features_filled": _over(
             f"""WITH new AS ({new}), m AS (SELECT median(weight_lbs) AS mw, median(miles) AS mm FROM s)
             SELECT row_num, coalesce(weight_lbs, mw) AS weight_lbs, coalesce(miles, mm) AS miles,

@@ -7,7 +7,9 @@ from pyspark.sql import Column, functions as F
 from haulscope.functions.numeric import ColumnLike, as_col
 
 # The accepted date formats, tried in this order.
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy")
+DATE_FORMATS = (
+    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "M/d/yyyy",
+)
 
 
 def parse_date(text: ColumnLike, formats: tuple[str, ...] = DATE_FORMATS) -> Column:

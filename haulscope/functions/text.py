@@ -36,6 +36,11 @@ def is_blank(text: ColumnLike) -> Column:
     return F.coalesce(F.trim(as_col(text).cast("string"), F.lit(" \t\r\n")), F.lit("")) == ""
 
 
+def is_missing(text: ColumnLike) -> Column:
+    """NULL or empty: white space is a value, if not a good one."""
+    return F.coalesce(as_col(text).cast("string"), F.lit("")) == ""
+
+
 # How model inputs are shown.
 FEATURE_LABELS = (
     ("carrier_", "Carrier: "),

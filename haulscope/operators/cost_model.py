@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from haulscope.functions.numeric import half_even
 from haulscope.functions.text import feature_label
 from haulscope.operators import guards
-from haulscope.session import work_folder
+from haulscope.session import cleaned, work_folder
 
+KEY = "shipment_id"
 CATEGORIES = ("carrier", "facility")
 NUMBERS = ("weight_lbs", "miles")
 TARGET = "total_cost_usd"
@@ -24,13 +25,23 @@ TREES = 200
 SEED = 42
 QUANTILE = 1.96
 
+# Training rows are dealt out by shipment id to so many partitions, whatever they were read from:
+# bootstrap samples are drawn per partition, so the forest must not depend on files or cores.
+TRAIN_PARTITIONS = 16
+# Each category is a feature and is listed on the driver; more of them are refused.
+MAX_CATEGORIES = 10_000
+# Leaves of all trees that the look-up of single-tree predictions may hold.
+MAX_LEAVES = 4_000_000
+
 
 @dataclass(frozen=True)
 class CostModel:
-    """A fitted pipeline and, per tree, the value of each leaf in pre-order."""
+    """A fitted pipeline, per tree the value of each leaf in pre-order, and the medians of the
+    numeric features over the training rows."""
 
     pipeline: PipelineModel
     leaf_values: DataFrame
+    medians: dict[str, float]
 
     @property
     def forest(self):
@@ -43,7 +54,7 @@ def training_rows(view: DataFrame) -> DataFrame:
     condition = known[0]
     for one in known[1:]:
         condition = condition & one
-    return view.where(condition).select(*CATEGORIES, *NUMBERS, TARGET)
+    return view.where(condition).select(KEY, *CATEGORIES, *NUMBERS, TARGET)
 
 
 def fit(
@@ -54,17 +65,21 @@ def fit(
     max_bins: int = 64,
     seed: int = SEED,
     least_rows: int = guards.LEAST_ROWS,
-    partitions: int | None = None,
 ) -> CostModel:
     """Train (eager). Spark bins split candidates and caps the depth, so the forest resembles
-    one grown to the last sample but does not equal it. ``partitions`` spreads rows that come
-    from too few files; by default they stay as they were read."""
-    rows = training_rows(view)
-    if partitions is not None:
-        rows = rows.repartition(partitions)
+    one grown to the last sample but does not equal it. Rows are dealt out by shipment id and
+    sorted, so that the same rows give the same forest however they were read."""
+    if trees * 2**max_depth > MAX_LEAVES:
+        raise ValueError(f"trees x 2^max_depth is limited to {MAX_LEAVES:,} leaves")
+    known = training_rows(view)
+    rows = known.repartition(TRAIN_PARTITIONS, KEY).sortWithinPartitions(*known.columns)
     seen = rows.limit(least_rows).count()
     if seen < least_rows:
         raise ValueError(f"Minimum {least_rows} historical records required. Current: {seen}.")
+    kinds = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in CATEGORIES]).first()
+    for name in CATEGORIES:
+        if kinds[name] > MAX_CATEGORIES:
+            raise ValueError(f"{name} has about {kinds[name]:,} values, {MAX_CATEGORIES:,} at most")
     indexed = [f"{c}_index" for c in CATEGORIES]
     hot = [f"{c}_hot" for c in CATEGORIES]
     # 'keep' gives unseen categories the last index, which the encoder drops: a zero vector.
@@ -86,7 +101,8 @@ def fit(
         ),
     ]
     pipeline = Pipeline(stages=stages).fit(rows)
-    return CostModel(pipeline, _leaf_values(view.sparkSession, pipeline))
+    medians = guards.exact_medians(known, *NUMBERS)
+    return CostModel(pipeline, _leaf_values(view.sparkSession, pipeline), medians)
 
 
 def _leaf_values(spark: SparkSession, pipeline: PipelineModel) -> DataFrame:
@@ -95,7 +111,7 @@ def _leaf_values(spark: SparkSession, pipeline: PipelineModel) -> DataFrame:
     Taken from the node table that saving the forest writes. Its size depends on the number of
     trees and their depth only, never on the training data.
     """
-    folder = work_folder(spark, "cost-model")
+    folder = cleaned(spark, work_folder(spark, "cost-model"))
     pipeline.stages[-1].write().save(folder)
     nodes = spark.read.parquet(f"{folder}/data").select("treeID", "nodeData.*")
     order = W.partitionBy("treeID").orderBy("id")
@@ -117,13 +133,14 @@ def _leaf_lookup(model: CostModel) -> Column:
 
 
 def predict(model: CostModel, rows: DataFrame) -> DataFrame:
-    """Add ``estimate``, ``lower``, ``upper`` and ``spread`` to every row.
+    """Add ``imputed``, ``estimate``, ``lower``, ``upper`` and ``spread`` to every row.
 
+    A missing weight or distance takes the training median; ``imputed`` names those features.
     The forest reports the leaf each row reaches in each tree; the leaf values turn that into
     one prediction per tree. Mean and population deviation of those give the interval. All of
     it runs in the JVM, without a shuffle.
     """
-    inputs = rows.na.drop(subset=list(NUMBERS))
+    inputs = guards.fill_missing(rows, model.medians)
     reached = model.pipeline.transform(inputs).drop(
         *[f"{c}_{kind}" for c in CATEGORIES for kind in ("index", "hot")], "features", "estimate"
     )
@@ -145,6 +162,7 @@ def predict(model: CostModel, rows: DataFrame) -> DataFrame:
     margin = F.sqrt(squares / count) * QUANTILE
     return with_mean.withColumn("_margin", margin).select(
         *rows.columns,
+        "imputed",
         "tree_estimates",
         "estimate",
         F.greatest(F.lit(0.0), F.col("estimate") - F.col("_margin")).alias("lower"),
@@ -155,9 +173,13 @@ def predict(model: CostModel, rows: DataFrame) -> DataFrame:
 def compare(predicted: DataFrame, baselines: DataFrame) -> DataFrame:
     """Set each estimate against cost per mile times miles and against the fleet mean."""
     fleet = baselines.select(F.struct("avg_cpm", "avg_total").alias("fleet")).scalar()
-    return predicted.withColumns(
-        {"simple_estimate": fleet["avg_cpm"] * F.col("miles"), "fleet_average": fleet["avg_total"]}
-    ).withColumns(
+    bound = predicted.withColumn("_fleet", fleet)
+    return bound.withColumns(
+        {
+            "simple_estimate": F.col("_fleet.avg_cpm") * F.col("miles"),
+            "fleet_average": F.col("_fleet.avg_total"),
+        }
+    ).drop("_fleet").withColumns(
         {
             "delta_simple": F.col("estimate") - F.col("simple_estimate"),
             "delta_fleet": F.col("estimate") - F.col("fleet_average"),

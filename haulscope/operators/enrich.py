@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from haulscope.functions.numeric import finite, ratio, zero_if_null
 from haulscope.functions.text import lane
+from haulscope.operators.joins import ids_in_use, join_measured
 
 # Stored name -> logical name.
 SHIPMENT_NAMES = {
@@ -50,7 +51,7 @@ def shipment_view(shipments: DataFrame, basis: str = "base") -> DataFrame:
 
 
 def charge_view(charges: DataFrame) -> DataFrame:
-    view = charges.withColumnsRenamed(CHARGE_NAMES)
+    view = with_default_type(charges.withColumnsRenamed(CHARGE_NAMES))
     return view.withColumn("accessorial_charge_usd", finite("accessorial_charge_usd"))
 
 
@@ -61,12 +62,21 @@ def carrier_names(carriers: DataFrame) -> DataFrame:
 def with_carrier(view: DataFrame, carriers: DataFrame) -> DataFrame:
     """LEFT join on the carrier id; an unknown carrier keeps a NULL name.
 
-    No broadcast hint: Spark broadcasts the carriers while they are small enough and, beyond
-    that, adaptive execution splits the partitions of hot carrier ids.
+    For results of a few rows. Facts of any size use ``with_used_carrier``.
     """
     return view.join(carrier_names(carriers), "carrier_id", "left")
 
 
+def with_used_carrier(view: DataFrame, carriers: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """``with_carrier`` for a fact table: it meets only the carriers that it uses, and in place.
+
+    ``keys`` is a frame with all carrier ids of ``view`` that is cheaper to read, if there is one.
+    Runs small jobs: see ``join_measured``.
+    """
+    used = ids_in_use(carrier_names(carriers), view if keys is None else keys, "carrier_id")
+    return join_measured(view, used, "carrier_id", "left")
+
+
 def charge_lines(charges: DataFrame, shipments: DataFrame, carriers: DataFrame) -> DataFrame:
     """One row per charge with the context of its shipment and carrier (both LEFT joins)."""
     context = shipment_view(shipments).select(
@@ -76,7 +86,8 @@ def charge_lines(charges: DataFrame, shipments: DataFrame, carriers: DataFrame)
         "charge_id", "shipment_id", "accessorial_type", "accessorial_charge_usd", "risk_flag",
         "ship_date", "disputed",
     )
-    joined = with_carrier(lines.join(context, "shipment_id", "left"), carriers)
+    keys = shipments.select(F.col("CarrierId").alias("carrier_id"))
+    joined = with_used_carrier(lines.join(context, "shipment_id", "left"), carriers, keys)
     return joined.drop("carrier_id").withColumn(
         "total_cost_usd",
         zero_if_null("base_freight_usd") + zero_if_null("accessorial_charge_usd"),
@@ -88,7 +99,3 @@ def with_default_type(df: DataFrame) -> DataFrame:
     if "accessorial_type" in df.columns:
         return df
     return df.withColumn("accessorial_type", F.lit("Unknown"))
-
-
-def drop_if_present(df: DataFrame, *names: str) -> DataFrame:
-    return df.drop(*names)

@@ -67,20 +67,11 @@ def _all(*conditions: Column | None) -> Column:
     return reduce(and_, present) if present else F.lit(True)
 
 
-def apply(df: DataFrame, chosen: Selection) -> DataFrame:
-    """Filter rows that already carry their carrier name."""
-    return df.where(chosen.on_shipment() & chosen.on_carrier())
-
-
 def only_carriers(df: DataFrame, carriers: Sequence[str]) -> DataFrame:
     """Comparison filter: an empty list selects nothing."""
     return df.where(F.col("carrier").isin(list(carriers)) if carriers else F.lit(False))
 
 
-def charged(df: DataFrame) -> DataFrame:
-    return df.where(F.col("accessorial_charge_usd") > 0)
-
-
 def search_id(df: DataFrame, needle: str, mode: str = "regex") -> DataFrame:
     """Ids that contain the upper-cased needle, as a pattern or literally."""
     identifier = F.col("shipment_id").cast("string")
@@ -90,21 +81,10 @@ def search_id(df: DataFrame, needle: str, mode: str = "regex") -> DataFrame:
 
 
 def lookup(df: DataFrame, shipment_id: str) -> DataFrame:
-    """The shipment of that id, or no row."""
-    return df.where(F.col("shipment_id") == shipment_id).limit(1)
+    """The newest shipment of that id, or no row."""
+    found = df.where(F.col("shipment_id") == shipment_id)
+    return found.orderBy(F.desc_nulls_last("ship_date")).limit(1)
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
-
-
-def date_span(df: DataFrame, column: str = "ship_date") -> DataFrame:
-    return df.agg(F.min(column).alias("min_date"), F.max(column).alias("max_date"))
-
-
-def matched(df: DataFrame, chosen: Selection) -> DataFrame:
-    """Rows shown and rows in all, from one pass."""
-    hit = chosen.on_shipment() & chosen.on_carrier()
-    return df.agg(
-        F.count(F.when(hit, F.lit(1))).alias("shown"), F.count(F.lit(1)).alias("total")
-    )

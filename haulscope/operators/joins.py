@@ -33,3 +33,8 @@ def join_measured(
     if size_of(settled) <= limit:
         settled = F.broadcast(settled)
     return large.join(settled, on, how)
+
+
+def ids_in_use(side: DataFrame, large: DataFrame, key: str) -> DataFrame:
+    """``side`` cut to the keys that ``large`` uses: its distinct keys, combined inside tasks."""
+    return side.join(large.select(key).distinct(), key, "left_semi")

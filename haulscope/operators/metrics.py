@@ -220,7 +220,9 @@ def carrier_radar(metrics: DataFrame) -> DataFrame:
             *[F.max(m).alias(f"{m}_hi") for m, _ in measures.values()],
         ).alias("bounds")
     )
-    limits = bounds.scalar()
+    # Bound once: each mention of a subquery is a copy of it in the plan.
+    bound = metrics.withColumn("limits", bounds.scalar())
+    limits = F.col("limits")
 
     def score(measure: str, inverted: bool) -> Column:
         low, high = limits[f"{measure}_lo"], limits[f"{measure}_hi"]
@@ -228,7 +230,7 @@ def carrier_radar(metrics: DataFrame) -> DataFrame:
         share = F.lit(1.0) - share if inverted else share
         return F.rint(F.when(low == high, F.lit(0.5)).otherwise(share) * 1e6) / 1e6
 
-    return metrics.select("carrier", *[score(*spec).alias(name) for name, spec in measures.items()])
+    return bound.select("carrier", *[score(*spec).alias(name) for name, spec in measures.items()])
 
 
 # --- accessorial charges --------------------------------------------------------------------
@@ -311,22 +313,26 @@ def risk_histogram(view: DataFrame) -> DataFrame:
 def cost_histogram(view: DataFrame, bins: int = 30) -> DataFrame:
     """Equal-width bins over [min, max] of the total cost; the maximum is in the last bin.
 
-    Two narrow scans: the range as a scalar subquery, then the counts. Empty bins are absent.
+    Two narrow scans: the range as a scalar subquery, then the counts. Empty bins stay with 0;
+    without any cost there are no bins.
     """
     known = view.where(F.col("total_cost_usd").isNotNull()).select(
         F.col("total_cost_usd").alias("cost")
     )
-    span = known.agg(F.struct(F.min("cost").alias("lo"), F.max("cost").alias("hi")).alias("s"))
-    span = span.scalar()
-    width = (span["hi"] - span["lo"]) / F.lit(float(bins))
-    position = F.coalesce(F.floor(F.try_divide(F.col("cost") - span["lo"], width)), F.lit(0))
+    span = known.agg(F.struct(F.min("cost").alias("lo"), F.max("cost").alias("hi")).alias("s")).scalar()
+    low = F.col("span.lo")
+    width = (F.col("span.hi") - low) / F.lit(float(bins))
+    position = F.coalesce(F.floor(F.try_divide(F.col("cost") - low, width)), F.lit(0))
     index = F.least(position, F.lit(bins - 1)).cast("int")
-    counts = known.groupBy(index.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    return counts.select(
+    counts = known.withColumn("span", span).groupBy(index.alias("bin"))
+    counts = counts.agg(F.count(F.lit(1)).alias("found"))
+    every = view.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    spanned = every.withColumn("span", span).where(low.isNotNull())
+    return spanned.join(counts, "bin", "left").select(
         "bin",
-        half_even(span["lo"] + F.col("bin") * width, 4).alias("low_edge"),
-        half_even(span["lo"] + (F.col("bin") + 1) * width, 4).alias("high_edge"),
-        "count",
+        half_even(low + F.col("bin") * width, 4).alias("low_edge"),
+        half_even(low + (F.col("bin") + 1) * width, 4).alias("high_edge"),
+        F.coalesce("found", F.lit(0)).alias("count"),
     ).orderBy("bin")
 
 

@@ -13,11 +13,11 @@ from datetime import date
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from haulscope.functions.dates import parse_date
 from haulscope.functions.numeric import count_where, parse_number, plain, thousands
-from haulscope.functions.text import is_blank
+from haulscope.functions.text import is_blank, is_missing
 from haulscope.operators.joins import join_measured
 from haulscope.schemas import STATE_CODES, UPLOAD_COLUMNS
 from haulscope.sources.files import CORRUPT
@@ -97,6 +97,15 @@ def size_issue(df: DataFrame, smallest: int = SMALLEST_UPLOAD) -> dict[str, str]
     return None
 
 
+def frame_messages(
+    spark: SparkSession, df: DataFrame, expected: Sequence[str] = UPLOAD_COLUMNS
+) -> DataFrame:
+    """``frame_issues`` and ``size_issue`` as a frame: severity, rule, message."""
+    found = [*frame_issues(df, expected), size_issue(df)]
+    rows = [(f["severity"], f["rule"], f["message"]) for f in found if f]
+    return spark.createDataFrame(rows, "severity string, rule string, message string")
+
+
 # --- row checks -----------------------------------------------------------------------------
 
 
@@ -106,8 +115,8 @@ def standard_checks() -> list[Check]:
         _check(is_blank(name), ERROR, f"{name}_missing", f"'{name}' is empty or missing.")
         for name in REQUIRED_TEXT
     ]
-    # A blank date is let through: only a text that is no date fails.
-    bad_date = ~is_blank("ship_date") & _date().isNull()
+    # A missing date is let through; any other text that is no date fails, white space included.
+    bad_date = ~is_missing("ship_date") & _date().isNull()
     checks.append(
         _check(
             bad_date, ERROR, "ship_date_invalid",
@@ -116,7 +125,7 @@ def standard_checks() -> list[Check]:
     )
     for name, (low, high) in NUMBER_RANGES.items():
         number = _number(name)
-        outside = is_blank(name) | ~number.between(low, high)
+        outside = is_missing(name) | ~number.between(low, high)
         checks.append(
             _check(
                 outside, ERROR, f"{name}_range",
@@ -140,7 +149,7 @@ def standard_checks() -> list[Check]:
 
 
 def _not_a_number(name: str, number: Column) -> Check:
-    bad = ~is_blank(name) & number.isNull()
+    bad = ~is_missing(name) & number.isNull()
     return _check(bad, ERROR, f"{name}_not_number", f"'{name}' is not a number.")
 
 
@@ -440,19 +449,23 @@ def resolve_duplicates(
     existing: DataFrame, incoming: DataFrame, policy: str, key: str = "shipment_id"
 ) -> DataFrame:
     """Add an upload to existing rows: ``skip`` or ``update`` ids that are already there, or
-    ``cancel`` (raise) if any id occurs twice."""
+    ``cancel`` (raise) if any id occurs twice.
+
+    The upload's ids are computed once. While they are few, the existing rows meet them in place
+    and are not shuffled (runs jobs: see ``join_measured``).
+    """
     columns = existing.columns
+    if policy not in ("skip", "update", "cancel"):
+        raise ValueError(f"unknown policy {policy!r}")
+    ids = incoming.where(F.col(key).isNotNull()).select(key).distinct()
+    if policy == "update":
+        newest = keep_one(incoming, "last", key).select(*columns)
+        return join_measured(existing, ids, key, "left_anti").unionByName(newest)
+    # Ids of the upload that are there already: no more rows than the upload has.
+    present = join_measured(existing.select(key), ids, key, "left_semi").distinct()
     if policy == "skip":
-        added = keep_one(incoming, "first", key).join(existing.select(key), key, "left_anti")
+        added = join_measured(keep_one(incoming, "first", key), present, key, "left_anti")
         return existing.unionByName(added.select(*columns))
-    if policy == "update":
-        newest = keep_one(incoming, "last", key)
-        untouched = existing.join(newest.select(key), key, "left_anti")
-        return untouched.unionByName(newest.select(*columns))
-    if policy != "cancel":
-        raise ValueError(f"unknown policy {policy!r}")
-    repeated = duplicate_ids(incoming, key)
-    present = incoming.join(existing.select(key), key, "left_semi")
-    if not repeated.isEmpty() or not present.isEmpty():
+    if not duplicate_ids(incoming, key).isEmpty() or not present.isEmpty():
         raise ValueError("upload cancelled: duplicate shipment ids")
     return existing.unionByName(incoming.select(*columns))

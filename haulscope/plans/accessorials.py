@@ -26,27 +26,27 @@ def accessorial_kpis(
 
 
 def charges_by_type(tables: FreightTables, chosen: Selection = EVERYTHING) -> DataFrame:
-    rollup = charges_in(tables, chosen, charge_keys=("accessorial_type",), need_shipment=False)
-    found = rollup.where(F.col("accessorial_type").isNotNull() & (F.col("n_charged") > 0))
+    rollup = charges_in(tables, chosen, charge_keys=("accessorial_type",), need_shipment=False, charged_only=True)
+    found = rollup.where(F.col("accessorial_type").isNotNull())
     return metrics.charges_by_type(regroup(found, "accessorial_type"))
 
 
 def weekly_charges(tables: FreightTables, chosen: Selection = EVERYTHING) -> DataFrame:
-    rollup = charges_in(tables, chosen, charge_keys=("week",), need_shipment=False)
-    found = rollup.where(F.col("week").isNotNull() & (F.col("n_charged") > 0))
+    rollup = charges_in(tables, chosen, charge_keys=("week",), need_shipment=False, charged_only=True)
+    found = rollup.where(F.col("week").isNotNull())
     return metrics.weekly_charges(regroup(found, "week"))
 
 
 def charges_by_carrier(tables: FreightTables, chosen: Selection = EVERYTHING) -> DataFrame:
-    rollup = charges_in(tables, chosen)
-    found = rollup.where(F.col("carrier_id").isNotNull() & (F.col("n_charged") > 0))
+    rollup = charges_in(tables, chosen, charged_only=True)
+    found = rollup.where(F.col("carrier_id").isNotNull())
     per_name = name_carriers(regroup(found, "carrier_id"), tables)
     return metrics.charges_by(per_name, "carrier")
 
 
 def charges_by_facility(tables: FreightTables, chosen: Selection = EVERYTHING) -> DataFrame:
-    rollup = charges_in(tables, chosen)
-    found = rollup.where(F.col("facility").isNotNull() & (F.col("n_charged") > 0))
+    rollup = charges_in(tables, chosen, charged_only=True)
+    found = rollup.where(F.col("facility").isNotNull())
     return metrics.charges_by(regroup(found, "facility"), "facility")
 
 

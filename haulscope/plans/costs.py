@@ -28,16 +28,9 @@ def fit(tables: FreightTables, **settings) -> cost_model.CostModel:
     return cost_model.fit(named_shipments(tables), **settings)
 
 
-def estimates(
-    tables: FreightTables, model: cost_model.CostModel, partitions: int | None = None
-) -> DataFrame:
-    """Estimate, interval and comparison for every shipment.
-
-    ``partitions`` spreads rows that come from too few files, as in ``cost_model.fit``.
-    """
+def estimates(tables: FreightTables, model: cost_model.CostModel) -> DataFrame:
+    """Estimate, interval and comparison for every shipment; missing features are filled."""
     rows = named_shipments(tables).select("shipment_id", "carrier", "facility", "weight_lbs", "miles")
-    if partitions is not None:
-        rows = rows.repartition(partitions)
     return cost_model.compare(cost_model.predict(model, rows), fleet_baselines(tables))
 
 

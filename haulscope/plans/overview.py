@@ -27,7 +27,7 @@ def weekly_operations(tables: FreightTables, chosen: Selection = EVERYTHING) ->
 
 
 def week_over_week(tables: FreightTables, chosen: Selection = EVERYTHING) -> DataFrame:
-    """KPIs of each week and their change from the week before it in the data.
+    """KPIs of each week and their change from the calendar week before; NULL if that has no rows.
 
     The window runs over one row per week.
     """
@@ -40,8 +40,12 @@ def week_over_week(tables: FreightTables, chosen: Selection = EVERYTHING) -> Dat
     )
     previous = W.orderBy("week")
     kpis = ("shipments", "avg_risk_pct", "high_risk", "accessorial_cost")
+    adjoining = F.lag("week").over(previous) == F.col("week") - F.expr("INTERVAL 7 DAYS")
     changes = {
-        f"{k}_change": half_even((F.col(k) - F.lag(k).over(previous)).cast("double"), 4) for k in kpis
+        f"{k}_change": F.when(
+            adjoining, half_even((F.col(k) - F.lag(k).over(previous)).cast("double"), 4)
+        )
+        for k in kpis
     }
     return weekly.withColumns(changes).orderBy("week")
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from haulscope.functions.dates import week_start
 from haulscope.operators.enrich import carrier_names, charge_view, shipment_view
 from haulscope.operators.filters import Selection
+from haulscope.operators.joins import join_measured
 from haulscope.operators.ranking import latest
 from haulscope.operators.rollups import charge_rollup, regroup, shipment_rollup, spread_base
 from haulscope.sources.tables import FreightTables
@@ -18,17 +19,11 @@ CHARGE_TIES = ("charge_id", "amount", "charge_type", "risk_flag")
 
 
 def newest_shipments(tables: FreightTables, rows: int = 1000) -> FreightTables:
-    """The bundle with only its newest shipments: the scope of a page that caps its rows."""
+    """The bundle with only its newest shipments: a bound on the rows a model is trained on."""
     newest = latest(tables.shipments, rows, "ShipmentId", date="ShipDate")
     return FreightTables(newest, tables.charges, tables.carriers, tables.facilities)
 
 
-def newest_charges(tables: FreightTables, rows: int = 2000) -> FreightTables:
-    """The bundle with only its newest charges, for the charge tracker."""
-    newest = latest(tables.charges, rows, *CHARGE_TIES, date="invoice_date")
-    return FreightTables(tables.shipments, newest, tables.carriers, tables.facilities)
-
-
 def shipments_in(tables: FreightTables, chosen: Selection = EVERYTHING) -> DataFrame:
     """Shipments of a selection, carrier still as id."""
     view = shipment_view(tables.shipments).where(chosen.on_shipment())
@@ -39,7 +34,7 @@ def _by_named_carriers(view: DataFrame, tables: FreightTables, chosen: Selection
     if not chosen.carriers:
         return view
     named = carrier_names(tables.carriers).where(chosen.on_carrier()).select("carrier_id")
-    return view.join(named, "carrier_id", "left_semi")
+    return join_measured(view, named, "carrier_id", "left_semi")
 
 
 def name_carriers(rollup: DataFrame, tables: FreightTables, *keys: str) -> DataFrame:
@@ -79,14 +74,18 @@ def charges_in(
     *,
     charge_keys: tuple[str, ...] = (),
     need_shipment: bool = True,
+    charged_only: bool = False,
 ) -> DataFrame:
     """Charge rollup per shipment (and ``charge_keys``) with the shipment's attributes.
 
     Charges are summed per shipment id before they meet the shipments: that uses the shuffle
-    the join needs anyway, and a shipment with very many charges is one row by then. Without
+    the join needs anyway, and a shipment with very many charges is one row by then. Charges
+    without an amount are left out of that shuffle with ``charged_only``. Without
     ``need_shipment`` (and without a carrier filter) the shipments are not read at all.
     """
     view = charge_view(tables.charges).where(chosen.on_charge())
+    if charged_only:
+        view = view.where(F.col("accessorial_charge_usd") > 0)
     view = view.withColumn("week", week_start("ship_date"))
     if not need_shipment and not chosen.carriers:
         return charge_rollup(view, *charge_keys)

@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from haulscope.functions import risk
 from haulscope.operators import filters, ranking
-from haulscope.operators.enrich import carrier_names, shipment_view, with_carrier
+from haulscope.operators.enrich import (
+    carrier_names, shipment_view, with_carrier, with_used_carrier,
+)
 from haulscope.operators.filters import Selection
+from haulscope.operators.joins import join_measured
 from haulscope.plans.scope import EVERYTHING, shipments_in, split_by
 from haulscope.sources.tables import FreightTables
 
@@ -21,7 +24,13 @@ LIST_COLUMNS = (
 
 def named_shipments(tables: FreightTables, chosen: Selection = EVERYTHING) -> DataFrame:
     """All logical columns of the selected shipments, with the carrier name."""
-    return with_carrier(shipments_in(tables, chosen), tables.carriers).drop("carrier_id")
+    if not chosen.carriers:
+        view = shipments_in(tables, chosen)
+        return with_used_carrier(view, tables.carriers).drop("carrier_id")
+    # The chosen carriers' names do both: they select the rows and name them.
+    view = shipment_view(tables.shipments).where(chosen.on_shipment())
+    names = carrier_names(tables.carriers).where(chosen.on_carrier())
+    return join_measured(view, names, "carrier_id", "inner").drop("carrier_id")
 
 
 def latest_shipments(tables: FreightTables, rows: int = 1000) -> DataFrame:
@@ -38,7 +47,7 @@ def shipment_list(tables: FreightTables, chosen: Selection = EVERYTHING) -> Data
 def search(tables: FreightTables, needle: str, chosen: Selection = EVERYTHING, mode: str = "regex") -> DataFrame:
     """Searched before the carriers are joined."""
     found = filters.search_id(shipments_in(tables, chosen), needle, mode)
-    return with_carrier(found, tables.carriers).select(*LIST_COLUMNS)
+    return with_used_carrier(found, tables.carriers).select(*LIST_COLUMNS)
 
 
 def lookup(tables: FreightTables, shipment_id: str) -> DataFrame:
@@ -67,7 +76,7 @@ def risk_factors(
     Only whether a carrier is watched matters, so no more than the watched carriers are joined.
     """
     watched = carrier_names(tables.carriers).where(F.col("carrier").isin(list(watched_carriers)))
-    view = shipment_view(tables.shipments).join(watched, "carrier_id", "left")
+    view = join_measured(shipment_view(tables.shipments), watched, "carrier_id", "left")
     return ranking.risk_factors(view, watched_carriers, watched_places)
 
 

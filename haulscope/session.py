@@ -41,7 +41,8 @@ def shared_root(spark: SparkSession) -> str:
         return root
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="haulscope-"))
+    folder = tempfile.mkdtemp(prefix="haulscope-")
+    context.setCheckpointDir(cleaned(spark, f"file://{folder}"))
     return context.getCheckpointDir()
 
 
@@ -50,6 +51,25 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return os.path.join(shared_root(spark), f"{purpose}-{uuid.uuid4().hex}")
 
 
+def cleaned(spark: SparkSession, folder: str) -> str:
+    """Have a work folder deleted when the session ends."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Compute a result once, as compressed Parquet in the shared directory, and read it back.
+
+    For large results that several passes read. The files go when the session ends.
+    """
+    spark = df.sparkSession
+    target = cleaned(spark, work_folder(spark, purpose))
+    df.write.parquet(target)
+    return spark.read.schema(df.schema).parquet(target)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute a small intermediate result once, into the shared checkpoint directory (eager).
 

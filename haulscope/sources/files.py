@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from haulscope.operators.joins import join_measured
+from haulscope.session import written
 
 # Accepted extension, size limit, and the texts of a refusal.
 EXTENSION = ".csv"
+ANY_CASE = "*.[cC][sS][vV]"
 MAX_BYTES = 10 * 1024 * 1024
 REFUSED_EXTENSION = "Only .csv files are supported. Please export as CSV format."
 REFUSED_SIZE = "File size exceeds {limit}MB limit. Please split into smaller files."
@@ -20,24 +22,25 @@ MISSING_TEXTS = (
 
 CORRUPT = "_corrupt_record"
 
-# Enough for the blocks of about 100 TB (128 MB each, paths of 200 characters).
-BROADCAST_BLOCK_BYTES = 256 * 1024 * 1024
+# Block offsets up to this size are broadcast (they also take that much of the driver's heap);
+# it is enough for about 25 TB in blocks of 128 MB with paths of 200 characters.
+BROADCAST_BLOCK_BYTES = 64 * 1024 * 1024
 
 
-def file_report(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+def file_report(spark: SparkSession, folder: str, max_bytes: int | None = MAX_BYTES) -> DataFrame:
     """One row per file: path, bytes, accepted, reason. File contents are not opened."""
     files = spark.read.format("binaryFile").load(folder).select("path", "length")
     wrong_kind = ~F.lower("path").endswith(EXTENSION)
-    too_big = F.col("length") > max_bytes
-    reason = F.when(wrong_kind, F.lit(REFUSED_EXTENSION)).when(
-        too_big, F.lit(REFUSED_SIZE.format(limit=max_bytes // (1024 * 1024)))
-    )
+    reason = F.when(wrong_kind, F.lit(REFUSED_EXTENSION))
+    if max_bytes is not None:
+        refusal = F.lit(REFUSED_SIZE.format(limit=max_bytes // (1024 * 1024)))
+        reason = reason.when(F.col("length") > max_bytes, refusal)
     return files.select("path", "length", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
 def header_of(spark: SparkSession, folder: str) -> list[str]:
     """Column names of the first line found (one-row job)."""
-    reader = spark.read.option("header", True).option("pathGlobFilter", "*" + EXTENSION)
+    reader = spark.read.option("header", True).option("pathGlobFilter", ANY_CASE)
     return reader.csv(folder).columns
 
 
@@ -47,15 +50,24 @@ def read_upload(
     columns: list[str] | None = None,
     *,
     encoding: str = "UTF-8",
-    max_bytes: int | None = MAX_BYTES,
+    max_bytes: int | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """All cells as text, plus ``_corrupt_record``, ``file`` and ``row_num``.
 
-    Every file must carry the same header; a different one is an error, not a silent shift.
-    Files over ``max_bytes`` are pruned by their metadata, so they are never opened.
-    ``row_num`` is the line number with the header as line 1, counted per file; the lines are
-    counted when this is called.
+    Every file must carry the same header; a different one is an error, not a silent shift. A
+    file over ``max_bytes``, if a limit is given, is an error too. ``row_num`` is the line number
+    with the header as line 1, counted per file. With ``multi_line`` a quoted cell may hold line
+    breaks: a record then counts as one line however many it takes, and a file is read by one task.
+
+    The files are parsed when this is called, once: the cells go to the shared work folder with
+    their places, so that numbers do not depend on how a later scan would split the files.
     """
+    if max_bytes is not None:
+        report = file_report(spark, folder, max_bytes)
+        big = report.where(F.lower("path").endswith(EXTENSION) & ~F.col("accepted")).first()
+        if big:
+            raise ValueError(f"{big['reason']} ({big['path']})")
     names = columns or header_of(spark, folder)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
     raw = (
@@ -67,11 +79,10 @@ def read_upload(
         # A pruned parse would not notice a line that is short or long elsewhere.
         .option("columnPruning", False)
         .option("encoding", encoding)
-        .option("pathGlobFilter", "*" + EXTENSION)
+        .option("multiLine", multi_line)
+        .option("pathGlobFilter", ANY_CASE)
         .csv(folder)
     )
-    if max_bytes is not None:
-        raw = raw.where(F.col("_metadata.file_size") <= max_bytes)
     # Spark refuses queries over nothing but the corrupt record, so it is tied to a cell.
     some_cell = F.length(F.coalesce(F.col(names[0]), F.lit(""))) >= 0
     # The source keeps the lines of one block in order inside one partition.
@@ -82,7 +93,7 @@ def read_upload(
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("read_order"),
     )
-    return _number_lines(placed).drop("block", "read_order")
+    return _number_lines(written(placed, "upload")).drop("block", "read_order")
 
 
 def _missing_to_null(cell: Column) -> Column:
@@ -92,8 +103,8 @@ def _missing_to_null(cell: Column) -> Column:
 def _number_lines(placed: DataFrame) -> DataFrame:
     """Contiguous numbers without moving the rows: block counts become block offsets.
 
-    Counting the lines of each block is a pass of its own and runs at once. What is shuffled,
-    and then broadcast, is one row per (file, block); the window runs per file on those.
+    ``placed`` is stored, so places are data and the same for both passes. What is shuffled, and
+    then broadcast, is one row per (file, block); the window runs per file on those.
     """
     earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
@@ -107,7 +118,8 @@ def _number_lines(placed: DataFrame) -> DataFrame:
         )
     )
     same_block = (F.col("file") == F.col("o_file")) & (F.col("block") == F.col("o_block"))
-    number = F.col("lines_before") + F.col("read_order") - F.col("first_read") + 2
+    known = F.col("lines_before") + F.col("read_order") - F.col("first_read") + 2
+    number = F.coalesce(known, F.raise_error(F.lit("a line without its block")).cast("bigint"))
     return (
         join_measured(placed, offsets, same_block, "left", limit=BROADCAST_BLOCK_BYTES)
         .withColumn("row_num", number)
@@ -125,4 +137,6 @@ def append_parquet(df: DataFrame, folder: str, partition_by: str | None = None)
 
 def export_csv(df: DataFrame, folder: str) -> None:
     """Result export with a header line in each part file."""
-    df.write.mode("errorifexists").option("header", True).csv(folder)
+    writer = df.write.mode("errorifexists").option("header", True)
+    # Cells go out as they are, white space at their ends included.
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)

@@ -33,6 +33,8 @@ _MILES = "(o.o_orderkey * 37 + o.o_custkey * 101) % 2400"
 _WEIGHT = "500 + (o.o_orderkey * 131 + o.o_custkey * 17) % 43501"
 _RISK = "CAST(50 + (o.o_orderkey * 7 + o.o_custkey * 13) % 931 AS DOUBLE) / CAST(1000 AS DOUBLE)"
 
+_DAY = "CAST(CAST(o.o_orderdate AS DATE) AS STRING)"
+
 
 def _shipment_id(key: str) -> str:
     text = f"CAST({key} AS STRING)"
@@ -140,7 +142,12 @@ SELECT /*+ BROADCAST(org) */
        WHEN o.o_orderkey % 103 = 0 THEN {_shipment_id("(o.o_orderkey - 1)")}
        ELSE {_shipment_id("o.o_orderkey")} END AS shipment_id,
   CASE WHEN o.o_orderkey % 107 = 0 THEN '2024-13-01' WHEN o.o_orderkey % 109 = 0 THEN NULL
-       ELSE CAST(CAST(o.o_orderdate AS DATE) AS STRING) END AS ship_date,
+       WHEN o.o_orderkey % 197 = 0 THEN '  '
+       WHEN o.o_orderkey % 199 = 0 THEN {_DAY} || 'T08:30:00'
+       WHEN o.o_orderkey % 211 = 0 THEN replace({_DAY}, '-', '/')
+       WHEN o.o_orderkey % 223 = 0 THEN CAST(CAST(substr({_DAY}, 6, 2) AS INTEGER) AS STRING) || '/'
+         || CAST(CAST(substr({_DAY}, 9, 2) AS INTEGER) AS STRING) || '/' || substr({_DAY}, 1, 4)
+       ELSE {_DAY} END AS ship_date,
   CASE WHEN o.o_orderkey % 113 = 0 THEN '   '
        WHEN o.o_orderkey % 19 = 0 THEN upper(org.origin_carrier)
        WHEN o.o_orderkey % 23 = 0 THEN lower(org.origin_carrier)
@@ -148,14 +155,17 @@ SELECT /*+ BROADCAST(org) */
   CASE WHEN o.o_orderkey % 127 <> 0 THEN c.c_mktsegment END AS facility,
   CASE WHEN o.o_orderkey % 131 = 0 THEN 'heavy' WHEN o.o_orderkey % 137 = 0 THEN '-200'
        WHEN o.o_orderkey % 139 = 0 THEN NULL WHEN o.o_orderkey % 149 = 0 THEN '200001'
+       WHEN o.o_orderkey % 227 = 0 THEN '  '
        ELSE CAST({_WEIGHT} AS STRING) END AS weight_lbs,
   CASE WHEN o.o_orderkey % 151 = 0 THEN 'about 500' WHEN o.o_orderkey % 157 = 0 THEN '6500'
+       WHEN o.o_orderkey % 229 = 0 THEN ' '
        ELSE CAST({_MILES} AS STRING) END AS miles,
   CASE WHEN o.o_orderkey % 163 = 0 THEN '-1.00' WHEN o.o_orderkey % 167 = 0 THEN NULL
        WHEN o.o_orderkey % 173 = 0 THEN '12d' WHEN o.o_orderkey % 179 = 0 THEN '1_000'
+       WHEN o.o_orderkey % 233 = 0 THEN '   '
        ELSE CAST(CAST(o.o_totalprice AS DECIMAL(12, 2)) AS STRING) END AS base_freight_usd,
   CASE WHEN o.o_orderkey % 181 = 0 THEN '-5' WHEN o.o_orderkey % 191 = 0 THEN NULL
-       WHEN o.o_orderkey % 193 = 0 THEN 'n/a'
+       WHEN o.o_orderkey % 193 = 0 THEN 'n/a' WHEN o.o_orderkey % 239 = 0 THEN '  '
        ELSE CAST(5000 + (o.o_orderkey * 7919) % 80001 AS STRING) END AS accessorial_charge_usd
 FROM {{orders}} o
 JOIN {{customer}} c ON c.c_custkey = o.o_custkey

@@ -11,7 +11,7 @@ from haulscope.plans import costs, shipments
 
 @pytest.fixture(scope="module")
 def model(tables):
-    return costs.fit(tables, trees=20, max_depth=5, partitions=4)
+    return costs.fit(tables, trees=20, max_depth=5)
 
 
 @pytest.fixture(scope="module")
@@ -19,15 +19,39 @@ def estimates(tables, model):
     return costs.estimates(tables, model).cache()
 
 
-def test_every_complete_shipment_is_estimated(estimates, tables):
-    complete = shipments.named_shipments(tables).where("miles IS NOT NULL AND weight_lbs IS NOT NULL")
-    assert estimates.count() == complete.count()
+def test_every_shipment_is_estimated_and_filled_ones_are_marked(estimates, tables):
+    named = shipments.named_shipments(tables)
+    assert estimates.count() == named.count()
+    missing = named.where("miles IS NULL OR weight_lbs IS NULL").count()
+    assert estimates.where("size(imputed) > 0").count() == missing > 0
+    assert estimates.where("miles IS NULL OR weight_lbs IS NULL OR estimate IS NULL").count() == 0
+
+
+def test_how_rows_were_read_does_not_matter(tables):
+    view = shipments.named_shipments(tables)
+    found = []
+    for partitions in (2, 7):
+        fitted = cost_model.fit(view.repartition(partitions), trees=5, max_depth=3)
+        rows = cost_model.predict(fitted, view).select("shipment_id", "estimate").collect()
+        found.append({r.shipment_id: r.estimate for r in rows})
+    assert found[0].keys() == found[1].keys()
+    assert all(found[0][k] == pytest.approx(found[1][k], rel=1e-9) for k in found[0])
+
+
+def test_too_many_categories_or_leaves_are_refused(tables, monkeypatch):
+    view = shipments.named_shipments(tables)
+    with pytest.raises(ValueError, match="leaves"):
+        cost_model.fit(view, trees=200, max_depth=25)
+    monkeypatch.setattr(cost_model, "MAX_CATEGORIES", 3)
+    with pytest.raises(ValueError, match="carrier has about"):
+        cost_model.fit(view, trees=2, max_depth=2)
 
 
 def test_mean_of_trees_is_the_forest(estimates, model, tables):
     inputs = shipments.named_shipments(tables).select(
         "shipment_id", *cost_model.CATEGORIES, *cost_model.NUMBERS
-    ).na.drop(subset=["miles"])
+    )
+    inputs = guards.fill_missing(inputs, model.medians)
     forest = model.pipeline.transform(inputs).select("shipment_id", F.col("estimate").alias("forest"))
     gap = estimates.join(forest, "shipment_id").agg(F.max(F.abs(F.col("estimate") - F.col("forest"))))
     assert gap.first()[0] < 1e-9
@@ -35,7 +59,7 @@ def test_mean_of_trees_is_the_forest(estimates, model, tables):
 
 def test_single_trees_agree(estimates, model, tables):
     """The looked-up leaf values are what each tree predicts by itself."""
-    row = estimates.orderBy("shipment_id").first()
+    row = estimates.where("size(imputed) = 0").orderBy("shipment_id").first()
     one = shipments.named_shipments(tables).where(F.col("shipment_id") == row.shipment_id)
     features = one.select(*cost_model.CATEGORIES, *cost_model.NUMBERS)
     for stage in model.pipeline.stages[:-1]:
@@ -145,12 +169,27 @@ def test_class_weights(spark):
     [
         [3.0], [1.0, 2.0], [5.0, 1.0, 3.0], [7.0] * 9, [1.0] * 50 + [2.0] * 50,
         [0.1 * i for i in range(1001)], [1e-9, 1e9, 2e9, -1e9], [float(i * i) for i in range(500)],
+        [-1.7e308, 0.0, 1.7e308], [1.7e308, 1.6e308], [-1.7e308, 1.7e308], [5e-324, 0.0, 1e-300],
     ],
 )
 def test_median_is_exact(spark, values):
     df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double")
-    for bins in (3, 1024):
-        assert guards.exact_medians(df, "x", bins=bins) == {"x": statistics.median(values)}
+    expected = statistics.median([v / 4 for v in values]) * 4
+    assert guards.exact_medians(df, "x") == {"x": pytest.approx(expected, rel=1e-15, abs=0)}
+
+
+def test_medians_are_right_when_the_brackets_miss(spark, monkeypatch):
+    monkeypatch.setattr(guards, "BRACKET", -0.4)
+    df = spark.createDataFrame([(float(i % 7), float(i)) for i in range(100)], "x double, y double")
+    assert guards.exact_medians(df, "x", "y") == {"x": 3.0, "y": 49.5}
+
+
+def test_imputation_warnings(spark):
+    df = spark.createDataFrame([("a", None, 3.0), ("b", 1.0, 2.0)], "shipment_id string, miles double, weight_lbs double")
+    found = guards.imputation_warnings(guards.fill_missing(df, {"miles": 5.0, "weight_lbs": 7.0})).collect()
+    assert [tuple(r) for r in found] == [
+        ("a", "miles", 5.0, "Distance is missing. The median of the training data is used.")
+    ]
 
 
 def test_median_of_nothing(spark):

@@ -31,11 +31,42 @@ def test_default_limit_message(spark, tmp_path, rows):
     assert reason == "File size exceeds 10MB limit. Please split into smaller files."
 
 
-def test_reading_skips_files_over_the_limit(spark, tmp_path, rows):
+def test_a_file_over_a_given_limit_is_an_error_and_there_is_no_limit_by_default(spark, tmp_path, rows):
     write(tmp_path, "small.csv", HEADER, LINE.format(1))
     write(tmp_path, "large.csv", HEADER, *[LINE.format(i) for i in range(100)])
-    read = files.read_upload(spark, str(tmp_path), max_bytes=1000)
-    assert rows(read, "shipment_id", "row_num") == [("S1", 2)]
+    with pytest.raises(ValueError, match="exceeds"):
+        files.read_upload(spark, str(tmp_path), max_bytes=1000)
+    assert files.read_upload(spark, str(tmp_path)).count() == 101
+
+
+def test_report_header_and_reader_agree_on_upper_case_names(spark, tmp_path, rows):
+    write(tmp_path, "B.CSV", HEADER, LINE.format(1))
+    write(tmp_path, "c.Csv", HEADER, LINE.format(2))
+    assert files.file_report(spark, str(tmp_path)).where("accepted").count() == 2
+    assert sorted(rows(files.read_upload(spark, str(tmp_path)), "shipment_id")) == ["S1", "S2"]
+
+
+def test_line_numbers_do_not_depend_on_settings_of_a_later_scan(spark, tmp_path, rows):
+    write(tmp_path, "a.csv", HEADER, *[LINE.format(i) for i in range(2, 3002)])
+    keys = ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        spark.conf.set(keys[1], "1000")
+        read = files.read_upload(spark, str(tmp_path))
+        spark.conf.set(keys[0], "16")
+        spark.conf.set(keys[2], "9000")
+        found = rows(read, "shipment_id", "row_num")
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(found) == 3000 and all(shipment == f"S{number}" for shipment, number in found)
+
+
+def test_quoted_line_breaks(spark, tmp_path, rows):
+    write(tmp_path, "u.csv", HEADER, LINE.format(1).replace("Acme", '"Ac\nme"'), LINE.format(2))
+    read = files.read_upload(spark, str(tmp_path), multi_line=True)
+    assert sorted(rows(read, "row_num", "shipment_id", "carrier")) == [(2, "S1", "Ac\nme"), (3, "S2", "Acme")]
+    assert quality.messages(quality.check(read, [quality.malformed_line()])).count() == 0
 
 
 def test_line_numbers_over_many_blocks(spark, tmp_path, rows):
@@ -105,6 +136,9 @@ def test_exports(spark, tmp_path, rows):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     files.export_csv(df, str(tmp_path / "csv"))
     assert sorted(rows(spark.read.option("header", True).csv(str(tmp_path / "csv")))) == [("1", "a"), ("2", "b")]
+    padded = spark.createDataFrame([(" a  ",)], "v string")
+    files.export_csv(padded, str(tmp_path / "padded"))
+    assert rows(spark.read.option("header", True).csv(str(tmp_path / "padded"))) == [" a  "]
     for _ in range(2):
         files.append_parquet(df, str(tmp_path / "pq"), partition_by="k")
     assert spark.read.parquet(str(tmp_path / "pq")).count() == 4

@@ -85,7 +85,6 @@ def test_lists(few, rows):
         (Selection(carriers=["Acme"], facilities=["Dock"]), []),
     ]:
         assert ids(rows, shipments.named_shipments(few, chosen)) == expected
-        assert ids(rows, filters.apply(shipments.named_shipments(few), chosen)) == expected
 
 
 def test_comparison_of_no_carriers_is_empty(few):
@@ -110,7 +109,6 @@ def test_unknown_type_is_added_only_if_absent(spark, rows):
     df = spark.createDataFrame([(1, "Layover")], "k int, accessorial_type string")
     assert rows(enrich.with_default_type(df), "accessorial_type") == ["Layover"]
     assert rows(enrich.with_default_type(df.drop("accessorial_type")), "accessorial_type") == ["Unknown"]
-    assert enrich.drop_if_present(df, "k", "nothing").columns == ["accessorial_type"]
 
 
 # --- metrics --------------------------------------------------------------------------------
