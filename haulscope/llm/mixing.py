@@ -228,7 +228,10 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) ->
     planned = common.written(plan(targets(narrow), block_words), "mix-plan")
     taken = slots(planned, draws(planned, seed=seed), seed)
     cut = pieces(narrow, planned, block_words)
-    found = cut.join(taken.select("source_no", "block", "time"), ["source_no", "block"])
+    # Spark takes the slots, made by Python from a few draws, for a few rows: they are as many as
+    # there are blocks, so they are never broadcast.
+    times = taken.select("source_no", "block", "time").hint("merge")
+    found = cut.hint("merge").join(times, ["source_no", "block"])
     goals = planned.select(F.col("source").alias("_s"), "source_size", "target")
     joined = sized.join(goals, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     return joined, found.select("row_key", "time", "first", "words")
