@@ -26,7 +26,7 @@ SHARD_SLOTS = 65_536
 MAX_TIMES = 3
 SEED = 20_240_601
 # Documents of a source are put in line by chunks, so that no window holds a whole source.
-CHUNK_DOCS = 20_000
+CHUNK_DOCS = 4_000
 WEIGHTS = (1, 2, 3)
 
 
