@@ -346,3 +346,39 @@ def test_filters_and_columns_reach_the_scan(spark, folder):
 def test_group_limit_before_the_shuffle(spark, folder):
     plan = plan_of(entry.queries()["similar_shipments"](spark, folder))
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+# Facts that meet carriers: none of them may be shuffled by carrier for it.
+CARRIER_JOINS = (
+    "enriched_shipments charge_lines shipments_by_weight fallback_source search_shipments "
+    "filtered_shipments similar_to_one risk_factors ops_weekly_filtered accessorial_kpis_filtered "
+    "charges_by_type_filtered charges_by_carrier_filtered charges_weekly_filtered"
+).split()
+
+
+@pytest.mark.parametrize("name", CARRIER_JOINS)
+def test_facts_are_not_shuffled_by_carrier(name, spark, folder):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = entry.queries()[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, old)
+    shuffles = [line for line in plan.splitlines() if "hashpartitioning(carrier_id" in line]
+    # Sums per carrier are shuffled, a row for each carrier and task; facts are not.
+    assert name.startswith("charges_by_carrier") or not shuffles
+    assert "BroadcastHashJoin" in plan
+
+
+def test_lookup_takes_the_newest_of_repeated_ids(spark):
+    rows = [("S1", day, cost) for day, cost in (("2024-01-01", 1.0), ("2024-03-01", 3.0), (None, 9.0), ("2024-02-01", 2.0))]
+    df = spark.createDataFrame(rows, "shipment_id string, ship_date string, cost double")
+    assert [r.cost for r in filters.lookup(df, "S1").collect()] == [3.0]
+
+
+def test_a_week_without_rows_leaves_no_change_to_compare(spark, monkeypatch):
+    days = ["2024-01-02", "2024-01-09", "2024-01-30"]
+    few = bundle(spark, [shipment(i, ShipDate=datetime.fromisoformat(d)) for i, d in enumerate(days)])
+    found = overview.week_over_week(few).collect()
+    assert [r.shipments_change for r in found] == [None, 0.0, None]
