@@ -202,3 +202,35 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def oracle() -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words = f"regexp_extract_all({lower}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    return f"""
+        WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+        b AS (
+            SELECT item_id, {words} AS w, least(len(w), {WINDOW}) AS n FROM benchmark WHERE len(w) > 0
+        ), item_windows AS (
+            SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS window
+            FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM b)
+        ), doc_windows AS (
+            SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS window
+            FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i
+                  FROM d, (SELECT DISTINCT n FROM item_windows) WHERE len(w) >= n)
+        ), met AS (
+            SELECT doc_id, x.n, i, item_id FROM doc_windows x
+            JOIN item_windows y ON x.window = y.window AND x.n = y.n
+        ), hit AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM met) GROUP BY doc_id
+        ), items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met
+                  WHERE item_id IS NOT NULL) GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+               coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+    """

@@ -151,3 +151,49 @@ def clean(docs: DataFrame, rules: LineRules = RULES) -> DataFrame:
 def query(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.read(spark, folder, "documents").select("doc_id", "text")
     return clean(docs).drop("text", "cleaned_text")
+
+
+def oracle() -> str:
+    """The same in words: separators and stray symbols are told by whole words here."""
+    r = RULES
+    words = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+    has_word = "regexp_matches({}, '[^\\x20\\x09-\\x0D]')"
+    phrases = "|".join(p.replace(" ", r"\s+") for p in r.phrases)
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {words.format("t")} AS w FROM documents),
+        grams AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS times
+            FROM (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS gram
+                  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d))
+        ), repeats AS (
+            SELECT doc_id, count(DISTINCT p) AS n
+            FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM grams WHERE times > 1)
+            GROUP BY doc_id
+        ), lines AS (
+            SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d
+        ), worded AS (
+            SELECT doc_id, line, {words.format("line")} AS lw, len(lw) AS n,
+                   len(list_filter(lw, lambda x: x IN ('|', '»', '›', '·', '•', '>', '>>', '::'))) AS seps,
+                   len(list_filter(lw, lambda x: regexp_matches(x, '[{SYMBOLS}~^=_]{{3,}}$'))) AS odd
+            FROM lines WHERE {has_word.format("line")}
+        ), judged AS (
+            SELECT *, seps >= {r.separators} OR seps * 2 >= n OR odd > n * {r.symbol_words}
+                OR (regexp_matches(line, '(?i)\\b(?:{phrases})\\b') AND n <= {r.boilerplate_words})
+                OR (n >= 10 AND len(list_distinct(lw)) < n * {r.distinct_words}) AS fails
+            FROM worded
+        ), left_over AS (
+            SELECT doc_id, count(*) - count(DISTINCT line) AS dup,
+                   coalesce(sum(n) FILTER (WHERE NOT fails), 0) AS words_left
+            FROM judged GROUP BY doc_id
+        ), counted AS (
+            SELECT d.doc_id, len(w)::BIGINT AS n_words,
+                   length(array_to_string(w, ''))::BIGINT AS word_chars,
+                   length(regexp_replace(t, '[^{SYMBOLS}]+', '', 'g'))::BIGINT AS n_symbols,
+                   coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words,
+                   coalesce(words_left, 0)::BIGINT AS n_words_left
+            FROM d LEFT JOIN repeats USING (doc_id) LEFT JOIN left_over USING (doc_id)
+        )
+        SELECT *, n_words < {r.min_words} OR 100 * n_repeat_words > {r.repeat_percent} * n_words AS base_failed,
+               NOT base_failed AND n_words - n_words_left <= n_words * {r.lost_share} AS kept
+        FROM counted
+    """

@@ -39,6 +39,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_decontamination": decontamination.oracle(),
+        "op8_quality_rules": quality_rules.oracle(),
         "op9_line_dedup": line_dedup.oracle(),
         "op10_sharding": sharding.oracle(),
     }
