@@ -194,6 +194,13 @@ def state_code(name: str, codes: Sequence[str] = STATE_CODES) -> Check:
     )
 
 
+def whole_cents(name: str) -> Check:
+    """Amounts are summed in cents; more digits than two would be rounded away."""
+    number = _number(name) * 100
+    off = F.abs(number - F.rint(number)) > F.greatest(F.abs(number), F.lit(1.0)) * 1e-9
+    return _check(off, WARNING, f"{name}_digits", f"'{name}' has more than two decimal digits.")
+
+
 def encoding_damage(*names: str) -> Check:
     """A replacement character means that bytes could not be decoded."""
     damaged = F.lit(False)

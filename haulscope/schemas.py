@@ -1,4 +1,8 @@
-"""Declared schemas of the four stored tables and of the upload file."""
+"""Declared schemas of the four stored tables and of the upload file.
+
+Amounts of money have at most two decimal digits: sums are taken in whole cents. The check
+``operators.quality.whole_cents`` reports amounts with more.
+"""
 
 from pyspark.sql import types as T
 

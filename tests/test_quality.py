@@ -217,3 +217,50 @@ def test_hashed_noise_does_not_depend_on_partitions(spark, rows):
     assert all(plain <= value <= plain + 0.2 + 1e-9 for value in one)
     with pytest.raises(ValueError):
         scoring.score(df, "dice")
+
+
+def test_amounts_with_more_than_two_digits_are_reported(spark, rows):
+    cells = ["0.29", "1234567.89", "0.295", "-3.001", "7", None, "x"]
+    df = spark.createDataFrame(
+        [(i, f"S{i}", c) for i, c in enumerate(cells)], "row_num int, shipment_id string, base_freight_usd string"
+    )
+    checked = quality.check(df, [quality.whole_cents("base_freight_usd")])
+    assert sorted(rows(quality.messages(checked), "row_num")) == [2, 3]
+
+
+@pytest.mark.parametrize(
+    "column, cell, rules",
+    [
+        ("weight_lbs", "  ", ["weight_lbs_not_number"]),
+        ("miles", " ", ["miles_not_number"]),
+        ("base_freight_usd", "   ", ["base_freight_usd_not_number"]),
+        ("accessorial_charge_usd", "  ", ["accessorial_charge_usd_blank", "accessorial_charge_usd_not_number"]),
+        ("ship_date", "  ", ["ship_date_invalid"]),
+        ("ship_date", "2024-01-05T10:00:00", []),
+        ("ship_date", "2024/01/05", []),
+        ("ship_date", "1/5/2024", []),
+        ("ship_date", "13/5/2024", ["ship_date_invalid"]),
+    ],
+)
+def test_white_space_is_no_value_and_more_date_texts_are_read(spark, rows, column, cell, rules):
+    good = {
+        "shipment_id": "S1", "ship_date": "2024-01-05", "carrier": "Acme", "facility": "Yard",
+        "weight_lbs": "1000", "miles": "10", "base_freight_usd": "5", "accessorial_charge_usd": "0",
+    }
+    cells = good | {column: cell}
+    df = spark.createDataFrame([(2, *cells.values())], ["row_num", *cells])
+    assert sorted(rows(quality.messages(quality.check(df)), "rule")) == rules
+
+
+def test_skip_and_update_do_not_shuffle_the_stored_table(spark):
+    stored = spark.range(5_000).selectExpr("concat('S', id) shipment_id", "id * 2 AS miles")
+    incoming = spark.createDataFrame([("S7", 1, 2), ("N1", 2, 3), ("N1", 3, 4), (None, 4, 5)], "shipment_id string, miles bigint, row_num int")
+    skipped = quality.resolve_duplicates(stored, incoming, "skip")
+    assert skipped.count() == 5_002 and skipped.where("shipment_id = 'N1'").first().miles == 2
+    updated = quality.resolve_duplicates(stored, incoming, "update")
+    assert updated.count() == 5_002 and updated.where("shipment_id = 'S7'").first().miles == 1
+    plan = updated._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan and "SortMergeJoin" not in plan
+    with pytest.raises(ValueError):
+        quality.resolve_duplicates(stored, incoming, "cancel")
+    assert quality.resolve_duplicates(stored, incoming.where("row_num = 3"), "cancel").count() == 5_001
