@@ -1,5 +1,7 @@
 """Every registered query against its SQL in DuckDB, by value."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -20,7 +22,9 @@ def test_equals_sql(name, spark, folder, con):
 
 
 def test_few_queries_have_no_sql():
-    assert set(QUERIES) - set(SQL) == {"cost_predictions", "feature_importance", "table_preview"}
+    # The document operators have tests of their own.
+    without = {n for n in set(QUERIES) - set(SQL) if n != "pipeline" and not re.match(r"op\d+_", n)}
+    assert without == {"cost_predictions", "feature_importance", "table_preview"}
     assert not set(SQL) - set(QUERIES)
 
 
