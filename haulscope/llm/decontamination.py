@@ -157,8 +157,12 @@ def words_of_any_case(text: str) -> Column:
 def extended(held: DataFrame, windows: DataFrame) -> DataFrame:
     """Per text the hit words and the items, from windows that are equal word for word."""
     held = held.withColumn("w", exact_words(F.col("text")))
+    # The words are named twice, so that Spark keeps them as a column and doesn't cut the text
+    # again for each window.
     window = lambda i, n: F.struct(
-        i.alias("i"), n.alias("n"), F.array_join(F.slice("w", i + 1, n), " ").alias("window")
+        i.alias("i"),
+        n.alias("n"),
+        F.array_join(F.slice("w", i + 1, F.least(n, F.size("w"))), " ").alias("window"),
     )
     each = lambda r: F.transform(
         F.sequence(r["i"], r["i"] + r["len"] - 1), lambda i: window(i, r["n"])
@@ -176,15 +180,13 @@ def extended(held: DataFrame, windows: DataFrame) -> DataFrame:
     starts = F.filter("p", lambda x, i: (i == 0) | (F.get(F.col("p"), i - 1) != x - 1))
     ends = F.filter("p", lambda x, i: F.coalesce(F.get(F.col("p"), i + 1) != x + 1, F.lit(True)))
     hit = hit.withColumns({"s": starts, "e": ends})
-    run = lambda x, i: F.struct(
-        x.alias("first"), (F.get(F.col("e"), i) - x + 1).alias("length")
-    )
+    run = lambda a, b: F.struct(a.alias("first"), (b - a + 1).alias("length"))
     names = F.sort_array(F.transform("ids", lambda x: x.cast("string")))
     return hit.select(
         *KEYS,
         F.size("p").cast("bigint").alias("n_hit"),
         names.alias("items"),
-        F.transform("s", run).alias("hit_runs"),
+        F.zip_with("s", "e", run).alias("hit_runs"),
     )
 
 
