@@ -254,7 +254,10 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Da
             lambda p: F.slice("_all", (p["first"] + 1).cast("int"), p["words"].cast("int")),
         )
     )
-    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(F.array_join(cut, " "))
+    # The words are named twice, so that Spark keeps them as a column and doesn't cut the text
+    # again for each piece.
+    whole = F.col("_words") == F.size("_all")
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(cut, " "))
     rebuilt = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
