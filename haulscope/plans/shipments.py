@@ -56,10 +56,18 @@ def lookup(tables: FreightTables, shipment_id: str) -> DataFrame:
 
 
 def page(tables: FreightTables, number: int, size: int = 25) -> DataFrame:
+    """A page by its number. All rows up to it meet in one task: for the first pages only; readers
+    that go on use ``page_after``."""
     shown = ranking.page(shipment_view(tables.shipments), number, size)
     return with_carrier(shown, tables.carriers).select(*LIST_COLUMNS)
 
 
+def page_after(tables: FreightTables, shipment_id: str, size: int = 25) -> DataFrame:
+    """The page that follows a shipment; its cost does not depend on how deep it lies."""
+    shown = ranking.page_after(shipment_view(tables.shipments), shipment_id, size)
+    return with_carrier(shown, tables.carriers).select(*LIST_COLUMNS)
+
+
 def similar(tables: FreightTables, rows: int = 10, same_facility: bool = False) -> DataFrame:
     return ranking.similar_shipments(
         shipment_view(tables.shipments), tables.carriers, rows, same_facility
