@@ -6,7 +6,9 @@ import string
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from haulscope.session import work_folder
+from haulscope.session import written
+
+__all__ = ["ascii_lower", "digest", "lines", "read", "spare", "words", "written"]
 
 # Words are cut at the six ASCII white-space characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -50,20 +52,5 @@ def spare(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in wanted])
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """Compute a result once, as compressed Parquet in the shared folder, and read it back.
-
-    For results that several later steps read. The files go when the session ends.
-    """
-    spark = df.sparkSession
-    target = work_folder(spark, purpose)
-    df.write.parquet(target)
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(target)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(target)
-
-
-
 def _col(text: str | Column) -> Column:
     return F.col(text) if isinstance(text, str) else text
