@@ -156,9 +156,9 @@ def near_duplicates(docs: DataFrame, max_cell: int = MAX_CELL) -> DataFrame:
     The component of a document is the smallest doc_id that links of at most three unlike bits
     lead to, its own included. Texts without words, NULL among them, have fingerprint zero and are
     linked like all others. NULL doc_ids are ignored as component ids (NULL if there is no other);
-    ``component_key``, the least fingerprint of the group as a number, is never NULL. Repeated rows and doc_ids
-    give repeated results. Other columns pass through, those with the names of results are
-    replaced.
+    ``component_key``, the least fingerprint of the group as a number, is never NULL. Repeated
+    rows and doc_ids give repeated results. Other columns pass through, those with the names of
+    results are replaced.
     """
     docs = common.spare(docs, "fingerprint", "component_id", "component_key", "fp", "_key1", "_key2")
     keyed = docs.select("*", *common.digest("text"))
@@ -171,7 +171,8 @@ def near_duplicates(docs: DataFrame, max_cell: int = MAX_CELL) -> DataFrame:
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left")
     rooted = rooted.select("fp", "least", F.coalesce("component", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id", F.col("root").alias("component_key"))
+    named = rooted.select("fp", "root").join(ids, "root")
+    named = named.select("fp", "component_id", F.col("root").alias("component_key"))
     texts = prints.select("_key1", "_key2", "fp").distinct().join(named, "fp")
     joined = keyed.join(texts, ["_key1", "_key2"])
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")

@@ -252,7 +252,9 @@ def covered_runs(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Data
     listed = kinds.select(
         F.col("rep.k1").alias("k1"),
         F.col("rep.k2").alias("k2"),
-        F.struct("rep.start", "rep.n", "h", "c", "w", F.coalesce("hot", F.lit(False)).alias("hot")).alias("r"),
+        F.struct(
+            "rep.start", "rep.n", "h", "c", "w", F.coalesce("hot", F.lit(False)).alias("hot")
+        ).alias("r"),
     )
     # One row a text: its representative runs, if any.
     wanted = (
@@ -290,8 +292,9 @@ def covered_runs(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Data
     )
     cover = found.unionByName(spans)
     back = shared.select(*KEYS, "start", "h", "c").join(cover, ["h", "c"])
+    at = F.col("start")
     moved = F.transform(
-        "cover", lambda s: F.struct((s["a"] + F.col("start")).alias("a"), (s["b"] + F.col("start")).alias("b"))
+        "cover", lambda s: F.struct((s["a"] + at).alias("a"), (s["b"] + at).alias("b"))
     )
     per_text = back.select(*KEYS, F.explode(moved).alias("s")).groupBy(*KEYS)
     return held.select(*KEYS, "text"), per_text.agg(F.collect_set("s").alias("spans"))
@@ -343,7 +346,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = True) -> Dat
     keyed = docs.select("*", k1, k2)
     held, covers = covered_runs(keyed.select(*KEYS, "doc_id", "text"), length)
     held = held.join(covers, list(KEYS))
-    schema = "k1 bigint, k2 bigint, kept binary, kept_sha256 string, removed array<struct<first:int,length:int>>"
+    schema = (
+        "k1 bigint, k2 bigint, kept binary, kept_sha256 string, "
+        "removed array<struct<first:int,length:int>>"
+    )
     cut = held.mapInArrow(_cut, schema).dropDuplicates(list(KEYS))
     text = F.coalesce("text", F.lit(""))
     counted = keyed.withColumns(

@@ -63,12 +63,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, bits: int
         parts = (model.bias, model.terms, model.weights, model.factors)
         yield pd.DataFrame({"model": [pickle.dumps(parts)]})
 
-    kinds = f"order bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, terms array<int>"
+    key = docs.schema["doc_id"].dataType.simpleString()
+    kinds = f"order bigint, doc_id {key}, toxic int, terms array<int>"
     chosen = sample(docs, labels, rows).withColumn("toxic", F.col("toxic").cast("int"))
     model = chosen.mapInPandas(terms, kinds).repartition(1).mapInPandas(fitted, "model binary")
     found = model.first()
-    parts = pickle.loads(bytes(found[0])) if found else (-2.2, np.zeros(0, int), np.zeros(0), np.zeros((0, 4)))
-    return Machine(*parts)
+    if not found:
+        return Machine(-2.2, np.zeros(0, int), np.zeros(0), np.zeros((0, 4)))
+    return Machine(*pickle.loads(bytes(found[0])))
 
 
 def score(docs: DataFrame, model: Machine, bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
