@@ -7,14 +7,18 @@ template; slots whose text varies hold content. A page is then aligned once more
 exemplar: text in template nodes goes, as does text in parts that HTML itself marks as menus,
 headers, footers, sidebars, notices, adverts, forms or comments.
 
+Copies of one article would make its text look constant, so every distinct main text of a host has
+one vote, which its copies share.
+
 Counts are summed inside each task and again by host, so a host with a third of all pages is a few
 rows. The exemplars are broadcast only when measured to be small.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -29,6 +33,8 @@ from haulscope.operators.joins import join_measured
 # share of those has the same text in it.
 MIN_PAGES = 3
 SAME_SHARE = 0.8
+# One vote in whole units, so that sums don't depend on their order; copies share it evenly.
+VOTE = 1 << 30
 # Cells of one alignment table; longer lists of children are matched in their order.
 MAX_CELLS = 250_000
 
@@ -184,20 +190,32 @@ def _alike(x: Node, y: Node) -> bool:
 
 def main_blocks(root: Node, template: set[int]) -> list[str]:
     """The texts of the blocks of the main part. ``template``: numbers of elements to leave out."""
-    region, nested = _region(root)
+    region, nested = _region(root, template)
     found = blocks(region, lambda node: marked(node) or (node.tag == "article" and nested))
-    varying = [text for owner, text in found if owner.no not in template or owner is region]
-    # Where most of the text is "template" the host's pages are copies of one article.
-    whole = sum(len(text) for _, text in found)
-    return varying if 2 * sum(map(len, varying)) >= whole else [text for _, text in found]
+    return [text for owner, text in found if owner.no not in template]
 
 
-def _region(root: Node) -> tuple[Node, bool]:
+def _region(root: Node, template: set[int]) -> tuple[Node, bool]:
     """The element that holds the main text, and whether articles inside it are comments.
 
     The article with most text; else main; else the smallest element that holds nearly all text
-    outside links.
+    outside links. Text in template elements doesn't count.
     """
+    holders, nested = _holders(root)
+    if holders:
+        weigh = lambda node: _size(blocks(node, marked), template)
+        return max(holders, key=lambda x: (weigh(x), -x.no)), nested
+    here, whole = root, _plain(root, template)
+    while True:
+        inside = [(_plain(c, template), c) for c in here.elements() if c.tag in BLOCK and not marked(c)]
+        weight, heavy = max(inside, key=lambda x: x[0], default=(0, None))
+        if heavy is None or heavy.tag not in _HOLDERS or weight < 0.8 * whole:
+            return here, False
+        here = heavy
+
+
+def _holders(root: Node) -> tuple[list[Node], bool]:
+    """The elements that HTML itself names as main text: articles (True), else mains, else none."""
     articles, mains, todo = [], [], [root]
     while todo:
         node = todo.pop()
@@ -210,46 +228,60 @@ def _region(root: Node) -> tuple[Node, bool]:
                 todo.append(child)
             elif not marked(child):
                 todo.append(child)
-    weigh = lambda node: sum(len(t) for _, t in blocks(node, marked))
-    if articles:
-        return max(articles, key=lambda x: (weigh(x), -x.no)), True
-    if mains:
-        return max(mains, key=lambda x: (weigh(x), -x.no)), False
-    here, whole = root, _plain(root)
-    while True:
-        inside = [c for c in here.elements() if c.tag in BLOCK and not marked(c)]
-        heavy = max(inside, key=_plain, default=None)
-        if heavy is None or heavy.tag not in _HOLDERS or _plain(heavy) < 0.8 * whole:
-            return here, False
-        here = heavy
+    return articles or mains, bool(articles)
 
 
 _HOLDERS = frozenset("html body div section center table tbody tr td fieldset".split())
 
 
-def _plain(node: Node) -> int:
+def _size(found: list[tuple[Node, str]], template: set[int]) -> int:
+    return sum(len(text) for owner, text in found if owner.no not in template)
+
+
+def _plain(node: Node, template: set[int]) -> int:
     """Characters of text outside links."""
-    return sum(len(t) for _, t in blocks(node, lambda c: c.tag == "a" or marked(c)))
+    return _size(blocks(node, lambda c: c.tag == "a" or marked(c)), template)
 
 
 # --- on Spark ---------------------------------------------------------------------------------
 
 
+def _mark(keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds a hash of the text in all parts that may be a page's main; ``html`` goes unless kept."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_main_hash(parse(page)) for page in batch.column("html").to_pylist()]
+            names = [n for n in batch.schema.names if keep or n != "html"]
+            arrays = [batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, pa.int64())], [*names, "_main"])
+
+    return mark
+
+
+def _main_hash(tree: Node) -> int:
+    # All parts, as constant text can outweigh the main part until the template is known.
+    parts = sorted(_holders(tree)[0] or [tree], key=lambda node: node.no)
+    texts = "\n\n".join(text for part in parts for _, text in blocks(part, marked))
+    found = hashlib.blake2b(texts.encode("utf-8", "surrogatepass"), digest_size=8)
+    return int.from_bytes(found.digest(), "big", signed=True)
+
+
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per host and exemplar node: pages that have the node, and pages with the same text in it."""
+    """Per host and exemplar node: votes of pages that have it, and of those with the same text in it."""
     counts: dict[tuple[str, int], list[int]] = {}
     trees: dict[str, Node] = {}
     for batch in batches:
-        for host, page, exemplar in zip(batch["host"], batch["html"], batch["exemplar"], strict=True):
-            if exemplar is None or page is None or page == exemplar:
-                continue
-            tree = _kept_tree(trees, exemplar)
+        columns = (batch[name] for name in ("host", "html", "exemplar", "_copies"))
+        for host, page, exemplar, copies in zip(*columns, strict=True):
+            tree, vote = _kept_tree(trees, exemplar), VOTE // copies
             for x, y in align(tree, parse(page)):
                 if x.tag in BLOCK:
                     seen = counts.setdefault((host, x.no), [0, 0])
-                    seen[0] += 1
+                    seen[0] += vote
                     text = own_text(x)
-                    seen[1] += bool(text.strip()) and text == own_text(y)
+                    if text.strip() and text == own_text(y):
+                        seen[1] += vote
         if len(counts) > 200_000:
             yield _frame(counts)
             counts = {}
@@ -295,28 +327,42 @@ def with_host(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """Per host: its exemplar page and the numbers of the exemplar's template nodes.
 
-    ``pages`` has ``host`` and ``html``. All pages vote, but for copies of the exemplar.
+    ``pages`` has ``host`` and ``html``. Every distinct main text votes once, but for the exemplar's.
     """
-    full = pages.where(F.length("html") > 0).select("host", "html")
-    exemplars = full.groupBy("host").agg(
-        F.min_by("html", F.xxhash64("html")).alias("exemplar")
+    full = pages.where(F.length("html") > 0).select("host", "html", F.xxhash64("html").alias("_page"))
+    marks = full.mapInArrow(_mark(keep=False), "host string, _page bigint, _main bigint")
+    marks = marks.groupBy("host", "_main").agg(
+        F.min("_page").alias("_page"), F.count("*").alias("_copies")
+    )
+    marks = common.written(marks, "marks")
+    picks = marks.groupBy("host").agg(
+        F.min("_page").alias("_page"), F.min_by("_main", "_page").alias("_first")
     )
+    exemplars = join_measured(full, picks, ["host", "_page"], "inner")
+    exemplars = exemplars.groupBy("host", "_first").agg(F.min("html").alias("exemplar"))
     exemplars = common.written(exemplars, "exemplars")
-    pairs = join_measured(full, exemplars, "host", "inner")
+    voters = full.drop("_page").mapInArrow(_mark(keep=True), "host string, html string, _main bigint")
+    pairs = join_measured(voters, exemplars, "host", "inner").where("_main != _first")
+    copies = marks.where("_copies > 1").select("host", "_main", "_copies")
+    pairs = join_measured(pairs, copies, ["host", "_main"], "left")
+    pairs = pairs.select("host", "html", "exemplar", F.coalesce("_copies", F.lit(1)).alias("_copies"))
     votes = pairs.mapInPandas(_votes, "host string, node int, pages bigint, same bigint")
     sums = votes.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
+    # Shares of a vote are rounded down: a hundredth makes up for it.
     constant = sums.where(
-        (F.col("pages") >= MIN_PAGES) & (F.col("same") >= SAME_SHARE * F.col("pages"))
+        (F.col("pages") >= int((MIN_PAGES - 0.01) * VOTE))
+        & (F.col("same") >= SAME_SHARE * F.col("pages"))
     )
     constant = constant.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("constant"))
-    return exemplars.join(constant, "host", "left")
+    return exemplars.drop("_first").join(constant, "host", "left")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """All pages with ``text`` (the main text, empty if there is none) and ``n_chars``.
 
     ``html`` is left out of the result. A NULL or empty page has an empty text. Pages without a
-    host in their URL share one exemplar. Blocks are joined by two line feeds. The input's own
+    host in their URL share one exemplar. Blocks are joined by two line feeds. Pages that
+    are equal in main text but for a counter or date count as different texts. The input's own
     columns with the names of results are replaced, all others pass through; repeated rows give
     repeated results.
     """

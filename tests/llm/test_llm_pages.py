@@ -97,3 +97,12 @@ def test_very_long_pages_take_time_in_proportion(spark):
     long = lambda k: body("<article>" + "".join(f"<p>{k} {i}</p>" for i in range(20_000)) + "</article>")
     df = spark.createDataFrame([(k, "http://l.example", long(k)) for k in range(4)], SCHEMA)
     assert all(r.text.count("\n\n") == 19_999 for r in w.extract(df).collect())
+
+
+def test_short_stories_lose_long_boilerplate(spark):
+    frame = "<div>All about things since 1901</div><p>{}</p><div>" + "Write to the editor. " * 20 + "</div>"
+    rows = [(i, f"https://s.example/{i}", body(frame.format(f"Story {i}."))) for i in range(8)]
+    # Copies of one story share a vote: they don't make it template.
+    rows += [(100 + i, f"https://s.example/{i}", body(f"<nav>{i}</nav>" + frame.format("Twice told."))) for i in range(40)]
+    found = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert found == {i: f"Story {i}." if i < 100 else "Twice told." for i in found} and len(found) == 48
