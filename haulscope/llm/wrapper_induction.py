@@ -1,7 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-Pages of a host are made from few templates. Each host has one exemplar page; every page's tree is
-aligned with the exemplar's by simple tree matching, and for each exemplar node it is counted how
+Pages of a host are made from few templates. They are grouped by layout, which is the skeleton of a
+page's upper levels, and each layout has an exemplar page; layouts with too few different pages to
+tell a template join the host's most frequent one. Every page's tree is aligned with its exemplar's by simple tree matching, and for each exemplar node it is counted how
 many pages have it and how many have it with the same text. Nodes whose text stays the same are
 template; slots whose text varies hold content. A page is then aligned once more with the
 exemplar: text in template nodes goes, as does text in parts that HTML itself marks as menus,
@@ -23,7 +24,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from haulscope.llm import common
 from haulscope.llm.html_text import BLOCK, Node, blocks, parse
@@ -33,6 +34,10 @@ from haulscope.operators.joins import join_measured
 # share of those has the same text in it.
 MIN_PAGES = 3
 SAME_SHARE = 0.8
+# The levels below the body that make a layout, and the share of the smaller page's elements on
+# these levels that an exemplar must match for the page to vote.
+LEVELS = 2
+WELL = 0.75
 # One vote in whole units, so that sums don't depend on their order; copies share it evenly.
 VOTE = 1 << 30
 # Cells of one alignment table; longer lists of children are matched in their order.
@@ -243,41 +248,121 @@ def _plain(node: Node, template: set[int]) -> int:
     return _size(blocks(node, lambda c: c.tag == "a" or marked(c)), template)
 
 
+def layout(root: Node) -> str:
+    """The skeleton of a page's upper levels: names of block elements other than those of running text.
+
+    Runs of equal subtrees count once; an only child below the body is no level of its own.
+    """
+    return _skeleton(_top(root), LEVELS)
+
+
+_RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 hgroup hr pre blockquote address figure figcaption".split())
+
+
+def _skeleton(node: Node, levels: int) -> str:
+    names: list[str] = []
+    for child in node.elements():
+        if child.tag in BLOCK and child.tag not in _RUNNING:
+            name = f"{child.tag}({_skeleton(child, levels - 1)})" if levels > 1 else child.tag
+            if not names or names[-1] != name:
+                names.append(name)
+    return " ".join(names)
+
+
+def _top(root: Node) -> Node:
+    """The body, or the innermost only child around everything in it."""
+    top = _body(root)
+    while True:
+        inside = [c for c in top.elements() if c.tag in BLOCK]
+        if len(inside) != 1 or inside[0].tag not in _HOLDERS:
+            return top
+        top = inside[0]
+
+
+def _body(root: Node) -> Node:
+    todo = [root]
+    for node in todo:
+        for child in node.elements():
+            if child.tag == "body":
+                return child
+            if child.tag == "html":
+                todo.append(child)
+    return root
+
+
+def aligns_well(a: Node, b: Node, pairs: list[tuple[Node, Node]]) -> bool:
+    """Whether two pages have enough of their upper levels in common to be made from one template."""
+    upper_a, upper_b = _upper(a), _upper(b)
+    both = sum(x.no in upper_a and y.no in upper_b for x, y in pairs)
+    return both >= WELL * min(len(upper_a), len(upper_b))
+
+
+def _upper(root: Node) -> set[int]:
+    found: set[int] = set()
+    level = [_top(root)]
+    for _ in range(LEVELS):
+        level = [c for node in level for c in node.elements() if c.tag in BLOCK]
+        found.update(c.no for c in level)
+    return found
+
+
 # --- on Spark ---------------------------------------------------------------------------------
 
 
 def _mark(keep: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds a hash of the text in all parts that may be a page's main; ``html`` goes unless kept."""
+    """Adds each page's layout and a hash of the text in all parts that may be its main.
+
+    ``html`` goes unless kept.
+    """
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_main_hash(parse(page)) for page in batch.column("html").to_pylist()]
+            layouts, mains = [], []
+            for page in batch.column("html").to_pylist():
+                tree = parse(page)
+                layouts.append(_hash(layout(tree)))
+                mains.append(_main_hash(tree))
             names = [n for n in batch.schema.names if keep or n != "html"]
-            arrays = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, pa.int64())], [*names, "_main"])
+            arrays = [*(batch.column(n) for n in names), pa.array(layouts, pa.int64())]
+            names += ["_layout", "_main"]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(mains, pa.int64())], names)
 
     return mark
 
 
+def _layouts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        pages = batch.column("html").to_pylist()
+        found = [_hash(layout(parse(page))) if page else None for page in pages]
+        arrays = [*batch.columns, pa.array(found, pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "_layout"])
+
+
 def _main_hash(tree: Node) -> int:
     # All parts, as constant text can outweigh the main part until the template is known.
     parts = sorted(_holders(tree)[0] or [tree], key=lambda node: node.no)
-    texts = "\n\n".join(text for part in parts for _, text in blocks(part, marked))
-    found = hashlib.blake2b(texts.encode("utf-8", "surrogatepass"), digest_size=8)
+    return _hash("\n\n".join(text for part in parts for _, text in blocks(part, marked)))
+
+
+def _hash(text: str) -> int:
+    found = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8)
     return int.from_bytes(found.digest(), "big", signed=True)
 
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per host and exemplar node: votes of pages that have it, and of those with the same text in it."""
-    counts: dict[tuple[str, int], list[int]] = {}
+    """Per exemplar node: votes of pages that have it, and of those with the same text in it."""
+    counts: dict[tuple[str, int, int], list[int]] = {}
     trees: dict[str, Node] = {}
     for batch in batches:
-        columns = (batch[name] for name in ("host", "html", "exemplar", "_copies"))
-        for host, page, exemplar, copies in zip(*columns, strict=True):
-            tree, vote = _kept_tree(trees, exemplar), VOTE // copies
-            for x, y in align(tree, parse(page)):
+        columns = (batch[name] for name in ("host", "_group", "html", "exemplar", "_copies"))
+        for host, group, page, exemplar, copies in zip(*columns, strict=True):
+            tree, other, vote = _kept_tree(trees, exemplar), parse(page), VOTE // copies
+            pairs = align(tree, other)
+            if not aligns_well(tree, other, pairs):
+                continue
+            for x, y in pairs:
                 if x.tag in BLOCK:
-                    seen = counts.setdefault((host, x.no), [0, 0])
+                    seen = counts.setdefault((host, group, x.no), [0, 0])
                     seen[0] += vote
                     text = own_text(x)
                     if text.strip() and text == own_text(y):
@@ -289,8 +374,8 @@ def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _frame(counts: dict) -> pd.DataFrame:
-    rows = [(host, no, *n) for (host, no), n in counts.items()]
-    return pd.DataFrame(rows, columns=["host", "node", "pages", "same"])
+    rows = [(*key, *n) for key, n in counts.items()]
+    return pd.DataFrame(rows, columns=["host", "_group", "node", "pages", "same"])
 
 
 def _kept_tree(trees: dict[str, Node], page: str) -> Node:
@@ -324,51 +409,85 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.withColumn("host", F.lower(host))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """Per host: its exemplar page and the numbers of the exemplar's template nodes.
+def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The group of each layout of a host, and per group its exemplar and its template.
 
-    ``pages`` has ``host`` and ``html``. Every distinct main text votes once, but for the exemplar's.
+    The template is the list of the numbers of the exemplar's template nodes. ``pages`` has ``host``
+    and ``html``. Every distinct main text of a group votes once, but for the exemplar's.
     """
     full = pages.where(F.length("html") > 0).select("host", "html", F.xxhash64("html").alias("_page"))
-    marks = full.mapInArrow(_mark(keep=False), "host string, _page bigint, _main bigint")
-    marks = marks.groupBy("host", "_main").agg(
+    marks = full.mapInArrow(
+        _mark(keep=False), "host string, _page bigint, _layout bigint, _main bigint"
+    )
+    marks = marks.groupBy("host", "_layout", "_main").agg(
         F.min("_page").alias("_page"), F.count("*").alias("_copies")
     )
     marks = common.written(marks, "marks")
-    picks = marks.groupBy("host").agg(
-        F.min("_page").alias("_page"), F.min_by("_main", "_page").alias("_first")
+    layouts = marks.groupBy("host", "_layout").agg(
+        F.count("*").alias("_texts"),
+        F.min("_page").alias("_page"),
+        F.min_by("_main", "_page").alias("_first"),
+    )
+    layouts = common.written(layouts, "layouts")
+    most = layouts.groupBy("host").agg(
+        F.max_by("_layout", F.struct("_texts", "_layout")).alias("_most")
     )
+    # A layout with too few texts to tell a template goes to the host's most frequent layout.
+    own = F.col("_texts") > MIN_PAGES
+    groups = layouts.join(most, "host").select(
+        "host", "_layout", F.when(own, F.col("_layout")).otherwise(F.col("_most")).alias("_group"),
+        "_page", "_first",
+    )
+    groups = common.written(groups, "groups")
+    picks = groups.where("_layout = _group").select("host", "_group", "_page", "_first")
+    groups = groups.select("host", "_layout", "_group")
+
     exemplars = join_measured(full, picks, ["host", "_page"], "inner")
-    exemplars = exemplars.groupBy("host", "_first").agg(F.min("html").alias("exemplar"))
+    exemplars = exemplars.groupBy("host", "_group", "_first").agg(F.min("html").alias("exemplar"))
     exemplars = common.written(exemplars, "exemplars")
-    voters = full.drop("_page").mapInArrow(_mark(keep=True), "host string, html string, _main bigint")
-    pairs = join_measured(voters, exemplars, "host", "inner").where("_main != _first")
-    copies = marks.where("_copies > 1").select("host", "_main", "_copies")
-    pairs = join_measured(pairs, copies, ["host", "_main"], "left")
-    pairs = pairs.select("host", "html", "exemplar", F.coalesce("_copies", F.lit(1)).alias("_copies"))
-    votes = pairs.mapInPandas(_votes, "host string, node int, pages bigint, same bigint")
-    sums = votes.groupBy("host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
+    voters = full.drop("_page").mapInArrow(
+        _mark(keep=True), "host string, html string, _layout bigint, _main bigint"
+    )
+    voters = join_measured(voters, groups, ["host", "_layout"], "inner")
+    pairs = join_measured(voters, exemplars, ["host", "_group"], "inner").where("_main != _first")
+    copies = join_measured(marks, groups, ["host", "_layout"], "inner")
+    copies = copies.groupBy("host", "_group", "_main").agg(F.sum("_copies").alias("_copies"))
+    pairs = join_measured(pairs, copies.where("_copies > 1"), ["host", "_group", "_main"], "left")
+    pairs = pairs.select(
+        "host", "_group", "html", "exemplar", F.coalesce("_copies", F.lit(1)).alias("_copies")
+    )
+    votes = pairs.mapInPandas(
+        _votes, "host string, _group bigint, node int, pages bigint, same bigint"
+    )
+    sums = votes.groupBy("host", "_group", "node").agg(
+        F.sum("pages").alias("pages"), F.sum("same").alias("same")
+    )
     # Shares of a vote are rounded down: a hundredth makes up for it.
     constant = sums.where(
         (F.col("pages") >= int((MIN_PAGES - 0.01) * VOTE))
         & (F.col("same") >= SAME_SHARE * F.col("pages"))
     )
-    constant = constant.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("constant"))
-    return exemplars.drop("_first").join(constant, "host", "left")
+    constant = constant.groupBy("host", "_group").agg(
+        F.sort_array(F.collect_list("node")).alias("constant")
+    )
+    return groups, exemplars.drop("_first").join(constant, ["host", "_group"], "left")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """All pages with ``text`` (the main text, empty if there is none) and ``n_chars``.
 
     ``html`` is left out of the result. A NULL or empty page has an empty text. Pages without a
-    host in their URL share one exemplar. Blocks are joined by two line feeds. Pages that
-    are equal in main text but for a counter or date count as different texts. The input's own
+    host in their URL count as one host. Blocks are joined by two line feeds. Pages that are
+    equal in main text but for a counter or date count as different texts. The input's own
     columns with the names of results are replaced, all others pass through; repeated rows give
     repeated results.
     """
-    pages = common.spare(pages, "text", "n_chars", "host", "exemplar", "constant")
+    pages = common.spare(pages, "text", "n_chars", "host", "exemplar", "constant", "_layout", "_group")
     keyed = with_host(pages)
-    joined = join_measured(keyed, templates(keyed), "host", "left").drop("host")
+    groups, known = templates(keyed)
+    laid = StructType([*keyed.schema.fields, StructField("_layout", LongType())])
+    joined = join_measured(keyed.mapInArrow(_layouts, laid), groups, ["host", "_layout"], "left")
+    joined = join_measured(joined, known, ["host", "_group"], "left")
     kept = [field for field in pages.schema.fields if field.name != "html"]
     schema = StructType([*kept, StructField("text", StringType())])
     names = [field.name for field in kept]

@@ -106,3 +106,19 @@ def test_short_stories_lose_long_boilerplate(spark):
     rows += [(100 + i, f"https://s.example/{i}", body(f"<nav>{i}</nav>" + frame.format("Twice told."))) for i in range(40)]
     found = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     assert found == {i: f"Story {i}." if i < 100 else "Twice told." for i in found} and len(found) == 48
+
+
+def test_each_layout_of_a_host_has_a_template(spark):
+    """60 of 100 pages in one layout, 40 in another; each has its own constant text."""
+    one = "<div><span>Slogan of one</span></div><div><p>{}</p></div><div>Footer of one</div>"
+    two = "<section><h2>Slogan of two</h2></section><section><p>{}</p><ul><li>Menu of two</ul></section>"
+    rows = [(i, f"https://two.example/{i}", body((two if i % 5 < 2 else one).format(f"Story {i} is told."))) for i in range(30)]
+    found = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert found == {i: f"Story {i} is told." for i in range(30)}
+
+
+def test_layouts_tell_templates_and_not_articles():
+    at = lambda inner: w.layout(parse(body(inner)))
+    assert at("<div>a</div><div><p>b</div>") == at("<div>x</div><div><h2>t</h2><p>y<p>z</div>")
+    assert at("<div>a</div><div><p>b</div>") != at("<section><p>b</section>")
+    assert at("<div><div>a</div><main>b</main></div>") == at("<div>a</div><main>b</main>")
