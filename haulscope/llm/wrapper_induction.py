@@ -19,8 +19,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -40,8 +43,14 @@ LEVELS = 2
 WELL = 0.75
 # One vote in whole units, so that sums don't depend on their order; copies share it evenly.
 VOTE = 1 << 30
-# Cells of one alignment table; longer lists of children are matched in their order.
+# Cells of one alignment table; longer lists of children are cut at equal subtrees first.
 MAX_CELLS = 250_000
+# Up to so many cells every pair of subtrees is matched for itself; beyond, each pair of kinds once.
+FEW_CELLS = 256
+# Parts of a divided table that are worked out in full.
+SMALL_TABLE = 2_048
+# An equal text counts for as many elements in an alignment, so that it outweighs the places of others.
+TEXT = 1_000
 
 # Parts that never hold main text, by element, role, and words of class or id.
 NEVER = frozenset(
@@ -104,75 +113,234 @@ def _holds(node: Node, tags: tuple[str, ...]) -> bool:
 
 def own_text(node: Node) -> str:
     """The text directly in an element and its inline elements, white space as it stands."""
-    found = []
-    for child in node.children:
+    found, todo = [], node.children[::-1]
+    while todo:
+        child = todo.pop()
         if isinstance(child, str):
             found.append(child)
         elif child.tag not in BLOCK and child.tag not in NEVER:
-            found.append(own_text(child) if child.children else " ")
+            if child.children:
+                todo.extend(reversed(child.children))
+            else:
+                found.append(" ")
     return "".join(found)
 
 
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Pairs of matching elements of two trees, by simple tree matching.
 
-    Roots with equal names match; below them, the lists of block children are aligned in order so
-    that the matched subtrees are as large as possible. Equal subtrees at both ends, and then
-    equal names at the front, are matched at once, which leaves tables for real differences only.
+    Roots with equal names match; below them, the lists of children are aligned in order so that the
+    matched subtrees have as many equal texts as possible, then as many elements. Elements with
+    equal names and texts at both ends are matched at once. Trees may have any depth.
     """
+    work = _Alignment()
+    stack = [work.match(a, b)]
+    while stack:
+        need = next(stack[-1], None)
+        if need is None:
+            stack.pop()
+        else:
+            stack.append(work.match(*need))
     pairs: list[tuple[Node, Node]] = []
-    sizes: dict[tuple[int, int], tuple[int, list]] = {}
-    _match(a, b, sizes)
     todo = [(a, b)]
     while todo:
         x, y = todo.pop()
         pairs.append((x, y))
-        todo.extend(sizes[x.no, y.no][1])
+        todo.extend(work.sizes.get((x.no, y.no), _NO_CHILDREN)[1])
     return pairs
 
 
-def _match(x: Node, y: Node, sizes: dict) -> int:
-    key = (x.no, y.no)
-    if key in sizes:
-        return sizes[key][0]
-    p = [c for c in x.children if not isinstance(c, str) and (c.tag in BLOCK or c.children)]
-    q = [c for c in y.children if not isinstance(c, str) and (c.tag in BLOCK or c.children)]
-    chosen: list[tuple[Node, Node]] = []
-    lo, hi, hj = 0, len(p), len(q)
-    while lo < hi and lo < hj and _alike(p[lo], q[lo]):
-        chosen.append((p[lo], q[lo]))
-        lo += 1
-    while hi > lo and hj > lo and _alike(p[hi - 1], q[hj - 1]):
-        hi, hj = hi - 1, hj - 1
-        chosen.append((p[hi], q[hj]))
-    at = lo
-    while at < hi and at < hj and p[at].tag == q[at].tag and _leaf(p[at]) and _leaf(q[at]):
-        chosen.append((p[at], q[at]))
-        at += 1
-    rest_p, rest_q = p[at:hi], q[at:hj]
-    total = 1 + sum(_match(u, v, sizes) for u, v in chosen)
-    if rest_p and rest_q:
-        if len(rest_p) * len(rest_q) > MAX_CELLS:
-            more = [(u, v) for u, v in zip(rest_p, rest_q, strict=False) if u.tag == v.tag]
-            total += sum(_match(u, v, sizes) for u, v in more)
+_NO_CHILDREN: tuple[int, list] = (0, [])
+
+
+class _Side:
+    """What the alignment needs to know of one tree's elements, each found once."""
+
+    def __init__(self):
+        self._children: dict[int, list[Node]] = {}
+        self._texts: dict[int, int] = {}
+
+    def children(self, x: Node) -> list[Node]:
+        found = self._children.get(x.no)
+        if found is None:
+            found = [c for c in x.children if not isinstance(c, str) and (c.tag in BLOCK or c.children)]
+            self._children[x.no] = found
+        return found
+
+    def text(self, x: Node) -> int:
+        """A hash of an element's own text, 0 for white space."""
+        found = self._texts.get(x.no)
+        if found is None:
+            text = own_text(x)
+            found = self._texts[x.no] = hash(text) if text.strip() else 0
+        return found
+
+    def below(self, nodes: list[Node]) -> list[Node]:
+        """The nodes and all elements below them; an element comes before its children."""
+        found = list(nodes)
+        for x in found:
+            found.extend(self.children(x))
+        return found
+
+    def kinds(self, nodes: list[Node], texts: set[int] | None = None) -> list[int]:
+        """Hashes of whole subtrees: names and texts (all, or just those that are in ``texts``)."""
+        kinds: dict[int, int] = {}
+        for x in reversed(self.below(nodes)):
+            text = self.text(x) if x.tag in BLOCK else 0
+            if texts is not None and text not in texts:
+                text = 0
+            kinds[x.no] = hash((x.tag, text, tuple(kinds[c.no] for c in self.children(x))))
+        return [kinds[x.no] for x in nodes]
+
+
+class _Alignment:
+    """Matches of two trees. Methods that yield ask for the match of the two elements first."""
+
+    def __init__(self):
+        self.a, self.b = _Side(), _Side()
+        self.sizes: dict[tuple[int, int], tuple[int, list]] = {}
+
+    def match(self, x: Node, y: Node) -> Iterator[tuple[Node, Node]]:
+        p, q = self.a.children(x), self.b.children(y)
+        if len(p) == 1 and len(q) == 1:
+            chosen = [(p[0], q[0])] if p[0].tag == q[0].tag else []
         else:
-            gained, more = _table(rest_p, rest_q, sizes)
-            total += gained
-        chosen += more
-    sizes[key] = (total, chosen)
-    return total
-
-
-def _table(p: list[Node], q: list[Node], sizes: dict) -> tuple[int, list[tuple[Node, Node]]]:
-    best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-    for i, u in enumerate(p, 1):
-        row, above = best[i], best[i - 1]
-        for j, v in enumerate(q, 1):
-            most = above[j] if above[j] >= row[j - 1] else row[j - 1]
-            if u.tag == v.tag:
-                most = max(most, above[j - 1] + _match(u, v, sizes))
-            row[j] = most
-    pairs, i, j = [], len(p), len(q)
+            chosen = yield from self.lists(p, q)
+        total = self.own(x, y)
+        for u, v in chosen:
+            total += (yield from self.size(u, v))
+        self.sizes[x.no, y.no] = (total, chosen)
+
+    def size(self, u: Node, v: Node) -> Iterator[tuple[Node, Node]]:
+        if not self.a.children(u) or not self.b.children(v):
+            return self.own(u, v)
+        if (u.no, v.no) not in self.sizes:
+            yield u, v
+        return self.sizes[u.no, v.no][0]
+
+    def own(self, u: Node, v: Node) -> int:
+        """The weight of two elements of one name without their children."""
+        if u.tag not in BLOCK:
+            return 1
+        text = self.a.text(u)
+        return 1 + TEXT if text and text == self.b.text(v) else 1
+
+    def alike(self, u: Node, v: Node) -> bool:
+        """Equal names and equal texts of elements without blocks below."""
+        return u.tag == v.tag and self.a.text(u) == self.b.text(v) and _leaf(u) and _leaf(v)
+
+    def lists(self, p: list[Node], q: list[Node]) -> Iterator[tuple[Node, Node]]:
+        """The pairs of two lists of children."""
+        chosen: list[tuple[Node, Node]] = []
+        lo, hi, hj = 0, len(p), len(q)
+        while lo < hi and lo < hj and self.alike(p[lo], q[lo]):
+            chosen.append((p[lo], q[lo]))
+            lo += 1
+        while hi > lo and hj > lo and self.alike(p[hi - 1], q[hj - 1]):
+            hi, hj = hi - 1, hj - 1
+            chosen.append((p[hi], q[hj]))
+        p, q = p[lo:hi], q[lo:hj]
+        if len(p) * len(q) <= MAX_CELLS:
+            chosen += yield from self.rest(p, q)
+            return chosen
+        # Long lists: equal subtrees that each list has once, as many as are in order in both.
+        at_p = at_q = 0
+        for i, j in [*_in_order(self.a.kinds(p), self.b.kinds(q)), (len(p), len(q))]:
+            chosen += yield from self.rest(p[at_p:i], q[at_q:j])
+            if i < len(p):
+                chosen.append((p[i], q[j]))
+            at_p, at_q = i + 1, j + 1
+        return chosen
+
+    def rest(self, p: list[Node], q: list[Node]) -> Iterator[tuple[Node, Node]]:
+        if not p or not q:
+            return []
+        if self.uniform(p, q):
+            return list(zip(p, q, strict=False))
+        plain = not any(map(self.a.children, p)) or not any(map(self.b.children, q))
+        few = len(p) * len(q) <= (MAX_CELLS if plain else FEW_CELLS)
+        return (yield from (self.table if few else self.halves)(p, q))
+
+    def table(self, p: list[Node], q: list[Node]) -> Iterator[tuple[Node, Node]]:
+        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        others = [(v, v.tag, not self.b.children(v), self.b.text(v)) for v in q]
+        for i, u in enumerate(p, 1):
+            row, above = best[i], best[i - 1]
+            name, plain, text = u.tag, not self.a.children(u), self.a.text(u)
+            text = text if name in BLOCK else 0
+            left = corner = 0
+            for j, (v, tag, bare, same) in enumerate(others, 1):
+                up = above[j]
+                if up > left:
+                    left = up
+                if tag == name:
+                    if plain or bare:
+                        size = 1 + TEXT if text and text == same else 1
+                    else:
+                        size = yield from self.size(u, v)
+                    if corner + size > left:
+                        left = corner + size
+                row[j] = left
+                corner = up
+        return [(p[i], q[j]) for i, j in _traced(best)]
+
+    def uniform(self, p: list[Node], q: list[Node]) -> bool:
+        """Whether all are elements of one name without children and no text is in both lists.
+
+        Then all pairs have equal weight.
+        """
+        if len({x.tag for x in p} | {x.tag for x in q}) > 1:
+            return False
+        if any(map(self.a.children, p)) and any(map(self.b.children, q)):
+            return False
+        return not ({self.a.text(x) for x in p} & {self.b.text(x) for x in q}) - {0}
+
+    def halves(self, p: list[Node], q: list[Node]) -> Iterator[tuple[Node, Node]]:
+        """The table's result in linear memory: two rows, by divide and conquer.
+
+        Subtrees of equal names whose texts are not in the other list weigh the same: each such kind
+        is matched once.
+        """
+        texts = {self.a.text(x) for x in self.a.below(p) if x.tag in BLOCK}
+        texts &= {self.b.text(x) for x in self.b.below(q) if x.tag in BLOCK}
+        kinds_p, kinds_q = self.a.kinds(p, texts), self.b.kinds(q, texts)
+        of_p, of_q = dict(zip(kinds_p, p, strict=True)), dict(zip(kinds_q, q, strict=True))
+        # A pair of different names never pays.
+        weights = np.full((len(of_p), len(of_q)), -(1 << 40), np.int64)
+        for i, u in enumerate(of_p.values()):
+            for j, v in enumerate(of_q.values()):
+                if u.tag == v.tag:
+                    weights[i, j] = yield from self.size(u, v)
+        place_p = {kind: i for i, kind in enumerate(of_p)}
+        place_q = {kind: j for j, kind in enumerate(of_q)}
+        r = np.array([place_p[kind] for kind in kinds_p])
+        c = np.array([place_q[kind] for kind in kinds_q])
+        return [(p[i], q[j]) for i, j in _divided(r, c, weights)]
+
+
+def _in_order(p: list[int], q: list[int]) -> list[tuple[int, int]]:
+    """Places of values that both lists have just once: the most that are in order in both."""
+    in_p, in_q = Counter(p), Counter(q)
+    place = {kind: j for j, kind in enumerate(q)}
+    found = [(i, place[k]) for i, k in enumerate(p) if in_p[k] == 1 and in_q[k] == 1]
+    ends: list[int] = []
+    last: list[int] = []
+    before: list[int] = []
+    for n, (_, j) in enumerate(found):
+        at = bisect_left(ends, j)
+        before.append(last[at - 1] if at else -1)
+        ends[at : at + 1] = [j]
+        last[at : at + 1] = [n]
+    pairs, n = [], last[-1] if last else -1
+    while n >= 0:
+        pairs.append(found[n])
+        n = before[n]
+    return pairs[::-1]
+
+
+def _traced(best: list[list[int]]) -> list[tuple[int, int]]:
+    """The pairs that a full table stands for."""
+    pairs, i, j = [], len(best) - 1, len(best[0]) - 1
     while i and j:
         if best[i][j] == best[i - 1][j]:
             i -= 1
@@ -180,17 +348,60 @@ def _table(p: list[Node], q: list[Node], sizes: dict) -> tuple[int, list[tuple[N
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs.append((p[i], q[j]))
-    return best[-1][-1], pairs
+            pairs.append((i, j))
+    return pairs
 
 
-def _leaf(x: Node) -> bool:
-    return not any(not isinstance(c, str) and c.tag in BLOCK for c in x.children)
+def _weighed(rows: list[int], columns: list[int], weights: list[list[int]]) -> list[tuple[int, int]]:
+    best = [[0] * (len(columns) + 1)]
+    for kind in rows:
+        above, weight = best[-1], weights[kind]
+        row = [0]
+        for j, other in enumerate(columns, 1):
+            row.append(max(above[j], row[-1], above[j - 1] + weight[other]))
+        best.append(row)
+    return _traced(best)
+
+
+def _divided(r: np.ndarray, c: np.ndarray, weights: np.ndarray) -> list[tuple[int, int]]:
+    """Places of the heaviest pairing in order of two lists of kinds."""
+    pairs: list[tuple[int, int]] = []
+    listed = weights.tolist()
+    todo = [(0, len(r), 0, len(c))]
+    while todo:
+        i, i_end, j, j_end = todo.pop()
+        if i == i_end or j == j_end:
+            continue
+        rows, columns = r[i:i_end], c[j:j_end]
+        if (rows == rows[0]).all() and (columns == columns[0]).all():
+            if weights[rows[0], columns[0]] > 0:
+                pairs += zip(range(i, i_end), range(j, j_end), strict=False)
+        elif len(rows) * len(columns) <= SMALL_TABLE:
+            found = _weighed(rows.tolist(), columns.tolist(), listed)
+            pairs += [(i + x, j + y) for x, y in found]
+        elif len(rows) == 1:
+            at = int(weights[rows[0], columns].argmax())
+            if weights[rows[0], columns[at]] > 0:
+                pairs.append((i, j + at))
+        else:
+            half = len(rows) // 2
+            ahead = _last_row(rows[:half], columns, weights)
+            back = _last_row(rows[half:][::-1], columns[::-1], weights)[::-1]
+            at = int((ahead + back).argmax())
+            todo += [(i, i + half, j, j + at), (i + half, i_end, j + at, j_end)]
+    return pairs
+
 
+def _last_row(rows: np.ndarray, columns: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    row = np.zeros(len(columns) + 1, np.int64)
+    for kind in rows:
+        row[1:] = np.maximum(row[1:], row[:-1] + weights[kind, columns])
+        np.maximum.accumulate(row, out=row)
+    return row
 
-def _alike(x: Node, y: Node) -> bool:
-    """Equal names and equal texts of elements without blocks below."""
-    return x.tag == y.tag and _leaf(x) and _leaf(y) and own_text(x) == own_text(y)
+
+def _leaf(x: Node) -> bool:
+    return not any(not isinstance(c, str) and c.tag in BLOCK for c in x.children)
 
 
 def main_blocks(root: Node, template: set[int]) -> list[str]:

@@ -1,3 +1,6 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,3 +125,36 @@ def test_layouts_tell_templates_and_not_articles():
     assert at("<div>a</div><div><p>b</div>") == at("<div>x</div><div><h2>t</h2><p>y<p>z</div>")
     assert at("<div>a</div><div><p>b</div>") != at("<section><p>b</section>")
     assert at("<div><div>a</div><main>b</main></div>") == at("<div>a</div><main>b</main>")
+
+
+def test_deep_pages_of_one_host(spark):
+    deep = lambda k: body("<div>" * 1_200 + f"<p>Story {k}.")
+    inline = lambda k: body("<p>" + "<font>" * 1_500 + f"Story {k}.")
+    rows = [(i, "http://deep.example/", page(i)) for i, page in enumerate([deep, deep, inline, inline])]
+    found = {r.page_id: r.text for r in w.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found == {i: f"Story {i}." for i in range(4)}
+
+
+@pytest.mark.parametrize("n", [30, 400, 900])
+def test_constant_text_in_the_middle_of_long_lists(n):
+    def thread(k, n):
+        items = [f"<div><h3>{k} by {i}</h3><p>{k} says {i}</p></div>" for i in range(n)]
+        items.insert(n // 2, "<div>House rules</div>")
+        return parse("<section>" + "".join(items) + "</section>")
+
+    pairs = w.align(thread(1, n), thread(2, n + 1))
+    assert len(pairs) == 2 + 3 * n + 1
+    assert [w.own_text(y) for x, y in pairs if w.own_text(x) == "House rules"] == ["House rules"]
+
+
+def test_divided_tables_are_as_good_as_whole_ones(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(200):
+        weights = np.array([[rng.choice([-(1 << 40), 1, 2, 1_001]) for _ in range(4)] for _ in range(3)])
+        r, c = (np.array([rng.randrange(k) for _ in range(rng.randint(1, 12))]) for k in (3, 4))
+        whole = w._weighed(r.tolist(), c.tolist(), weights.tolist())
+        monkeypatch.setattr(w, "SMALL_TABLE", 3)
+        parts = sorted(w._divided(r, c, weights))
+        assert all(i < k and j < m for (i, j), (k, m) in zip(parts, parts[1:], strict=False))
+        weigh = lambda pairs: sum(weights[r[i], c[j]] for i, j in pairs)
+        assert weigh(parts) == weigh(whole)
