@@ -1,7 +1,7 @@
 """Line-first cleaning: rules judge each line, the document is judged by what is left.
 
-A line fails when it looks like navigation (words between separators, or a few words without an
-end), when its punctuation is off (words that end in stray symbols), when it names boilerplate, or
+A line fails when it looks like navigation (words between separators; a menu with one entry a line
+has none and passes), when its punctuation is off (words that end in stray symbols), when it names boilerplate, or
 when it is one word said over and over. Failing lines are removed; a document that loses too large
 a share of its words, or fails the base rules, is rejected. All rules are column expressions over
 the one row: no shuffle, no Python, and a long document costs time in proportion to its length.
