@@ -137,12 +137,12 @@ def test_deep_pages_of_one_host(spark):
 
 @pytest.mark.parametrize("n", [30, 400, 900])
 def test_constant_text_in_the_middle_of_long_lists(n):
-    def thread(k, n):
+    def thread(k, n, at):
         items = [f"<div><h3>{k} by {i}</h3><p>{k} says {i}</p></div>" for i in range(n)]
-        items.insert(n // 2, "<div>House rules</div>")
+        items.insert(at, "<div>House rules</div>")
         return parse("<section>" + "".join(items) + "</section>")
 
-    pairs = w.align(thread(1, n), thread(2, n + 1))
+    pairs = w.align(thread(1, n, n // 2), thread(2, n + 1, n // 2 + 1))
     assert len(pairs) == 2 + 3 * n + 1
     assert [w.own_text(y) for x, y in pairs if w.own_text(x) == "House rules"] == ["House rules"]
 
