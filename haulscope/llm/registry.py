@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from haulscope.llm import (
     decontamination,
     line_dedup,
+    merkle_manifest,
     mixing,
     quality_rules,
     sharding,
@@ -34,6 +35,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": quality_rules.query,
         "op9_line_dedup": line_dedup.query,
         "op10_sharding": sharding.query,
+        "op13_merkle_manifest": merkle_manifest.query,
     }
 
 
@@ -43,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_quality_rules": quality_rules.oracle(),
         "op9_line_dedup": line_dedup.oracle(),
         "op10_sharding": sharding.oracle(),
+        "op13_merkle_manifest": merkle_manifest.oracle(),
     }
