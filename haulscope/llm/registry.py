@@ -11,11 +11,13 @@ from haulscope.llm import (
     line_dedup,
     merkle_manifest,
     mixing,
+    pii_bootstrap,
     quality_rules,
     sharding,
     simhash_dedup,
     suffix_dedup,
     token_counts,
+    tokenizer_alignment,
     toxicity,
     wrapper_induction,
 )
@@ -35,6 +37,8 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": quality_rules.query,
         "op9_line_dedup": line_dedup.query,
         "op10_sharding": sharding.query,
+        "op11_pii_bootstrap": pii_bootstrap.query,
+        "op12_tokenizer_alignment": tokenizer_alignment.query,
         "op13_merkle_manifest": merkle_manifest.query,
     }
 
