@@ -5,14 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import (
+    OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler,
+)
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from haulscope.functions.numeric import half_even
 from haulscope.functions.text import feature_label
-from haulscope.operators import guards
+from haulscope.operators import forest, guards
 from haulscope.session import cleaned, work_folder
 
 KEY = "shipment_id"
@@ -28,25 +29,31 @@ QUANTILE = 1.96
 # Training rows are dealt out by shipment id to so many partitions, whatever they were read from:
 # bootstrap samples are drawn per partition, so the forest must not depend on files or cores.
 TRAIN_PARTITIONS = 16
-# Each category is a feature and is listed on the driver; more of them are refused.
+# Up to this many values of a category, each is a feature; beyond, values are hashed into buckets,
+# which are the features: values of one bucket are not told apart.
 MAX_CATEGORIES = 10_000
-# Leaves of all trees that the look-up of single-tree predictions may hold.
+BUCKETS = 1_024
+# Leaves that all trees together may have.
 MAX_LEAVES = 4_000_000
 
 
 @dataclass(frozen=True)
 class CostModel:
-    """A fitted pipeline, per tree the value of each leaf in pre-order, and the medians of the
-    numeric features over the training rows."""
+    """A fitted pipeline, its forest as node arrays, and the medians of the numeric features over the
+    training rows."""
 
     pipeline: PipelineModel
-    leaf_values: DataFrame
+    nodes: forest.Nodes
     medians: dict[str, float]
 
     @property
     def forest(self):
         return self.pipeline.stages[-1]
 
+    @property
+    def indexer(self):
+        return next(s for s in self.pipeline.stages if isinstance(s, StringIndexerModel))
+
 
 def training_rows(view: DataFrame) -> DataFrame:
     """The model's columns of the rows that have all of them but, perhaps, a category."""
@@ -76,22 +83,21 @@ def fit(
     seen = rows.limit(least_rows).count()
     if seen < least_rows:
         raise ValueError(f"Minimum {least_rows} historical records required. Current: {seen}.")
-    kinds = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in CATEGORIES]).first()
-    for name in CATEGORIES:
-        if kinds[name] > MAX_CATEGORIES:
-            raise ValueError(f"{name} has about {kinds[name]:,} values, {MAX_CATEGORIES:,} at most")
+    kinds = rows.agg(*[F.count_distinct(c).alias(c) for c in CATEGORIES]).first()
+    hashed = [c for c in CATEGORIES if kinds[c] > MAX_CATEGORIES]
+    labels = [f"{c}_bucket" if c in hashed else c for c in CATEGORIES]
     indexed = [f"{c}_index" for c in CATEGORIES]
     hot = [f"{c}_hot" for c in CATEGORIES]
     # 'keep' gives unseen categories the last index, which the encoder drops: a zero vector.
     stages = [
-        StringIndexer(inputCols=list(CATEGORIES), outputCols=indexed, handleInvalid="keep"),
+        *([_buckets(hashed)] if hashed else []),
+        StringIndexer(inputCols=labels, outputCols=indexed, handleInvalid="keep"),
         OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
         VectorAssembler(inputCols=[*hot, *NUMBERS], outputCol="features"),
         RandomForestRegressor(
             featuresCol="features",
             labelCol=TARGET,
             predictionCol="estimate",
-            leafCol="leaf",
             numTrees=trees,
             maxDepth=max_depth,
             maxBins=max_bins,
@@ -102,71 +108,48 @@ def fit(
     ]
     pipeline = Pipeline(stages=stages).fit(rows)
     medians = guards.exact_medians(known, *NUMBERS)
-    return CostModel(pipeline, _leaf_values(view.sparkSession, pipeline), medians)
+    return CostModel(pipeline, _nodes(view.sparkSession, pipeline), medians)
 
 
-def _leaf_values(spark: SparkSession, pipeline: PipelineModel) -> DataFrame:
-    """One row per leaf: tree, position among the leaves of its tree, value.
+def _buckets(hashed: list[str]) -> SQLTransformer:
+    """A pipeline stage that adds the bucket of each category that has too many values."""
+    parts = [
+        f"CASE WHEN {c} IS NOT NULL THEN concat('bucket ', lpad(CAST(pmod(xxhash64({c}), {BUCKETS}) AS STRING), 4, '0')) END AS {c}_bucket"
+        for c in hashed
+    ]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
 
-    Taken from the node table that saving the forest writes. Its size depends on the number of
-    trees and their depth only, never on the training data.
-    """
+
+def _nodes(spark: SparkSession, pipeline: PipelineModel) -> forest.Nodes:
+    """The forest's nodes, from the table that saving it writes."""
     folder = cleaned(spark, work_folder(spark, "cost-model"))
     pipeline.stages[-1].write().save(folder)
-    nodes = spark.read.parquet(f"{folder}/data").select("treeID", "nodeData.*")
-    order = W.partitionBy("treeID").orderBy("id")
-    return nodes.where(F.col("leftChild") < 0).select(
-        F.col("treeID").alias("tree"),
-        (F.row_number().over(order) - 1).alias("leaf"),
-        F.col("prediction").alias("value"),
-    )
-
-
-def _leaf_lookup(model: CostModel) -> Column:
-    """``array<array<double>>`` [tree][leaf] as a scalar subquery."""
-    per_tree = model.leaf_values.groupBy("tree").agg(
-        F.sort_array(F.collect_list(F.struct("leaf", "value")))["value"].alias("values")
-    )
-    return per_tree.agg(
-        F.sort_array(F.collect_list(F.struct("tree", "values")))["values"].alias("lookup")
-    ).scalar()
+    indexer = next(s for s in pipeline.stages if isinstance(s, StringIndexerModel))
+    return forest.flatten(spark, folder, [len(seen) for seen in indexer.labelsArray])
 
 
 def predict(model: CostModel, rows: DataFrame) -> DataFrame:
     """Add ``imputed``, ``estimate``, ``lower``, ``upper`` and ``spread`` to every row.
 
     A missing weight or distance takes the training median; ``imputed`` names those features.
-    The forest reports the leaf each row reaches in each tree; the leaf values turn that into
-    one prediction per tree. Mean and population deviation of those give the interval. All of
-    it runs in the JVM, without a shuffle.
+    Categories are indexed in the JVM; all trees are then evaluated at once over Arrow batches,
+    where the rows lie. Mean and population deviation of the trees give the interval.
     """
     inputs = guards.fill_missing(rows, model.medians)
-    reached = model.pipeline.transform(inputs).drop(
-        *[f"{c}_{kind}" for c in CATEGORIES for kind in ("index", "hot")], "features", "estimate"
-    )
-    values = F.transform(
-        F.arrays_zip("at", "values"), lambda pair: F.get(pair["values"], pair["at"].cast("int"))
-    )
-    looked_up = reached.withColumns(
-        {"at": vector_to_array("leaf"), "values": _leaf_lookup(model)}
-    )
-    per_tree = looked_up.withColumn("tree_estimates", values).drop("leaf", "at", "values")
-    count = F.size("tree_estimates")
-    summed = F.aggregate("tree_estimates", F.lit(0.0), lambda acc, x: acc + x)
-    with_mean = per_tree.withColumn("estimate", summed / count)
-    squares = F.aggregate(
-        "tree_estimates",
-        F.lit(0.0),
-        lambda acc, x: acc + (x - F.col("estimate")) * (x - F.col("estimate")),
-    )
-    margin = F.sqrt(squares / count) * QUANTILE
-    return with_mean.withColumn("_margin", margin).select(
+    for stage in model.pipeline.stages:
+        inputs = stage.transform(inputs)
+        if isinstance(stage, StringIndexerModel):
+            break
+    columns = [*(f"{c}_index" for c in CATEGORIES), *NUMBERS]
+    kept = list(dict.fromkeys([*rows.columns, *NUMBERS, "imputed"]))
+    found = forest.evaluate(inputs, model.nodes, columns, kept, QUANTILE)
+    return found.select(
         *rows.columns,
         "imputed",
         "tree_estimates",
         "estimate",
-        F.greatest(F.lit(0.0), F.col("estimate") - F.col("_margin")).alias("lower"),
-        (F.col("estimate") + F.col("_margin")).alias("upper"),
+        F.greatest(F.lit(0.0), F.col("estimate") - F.col("margin")).alias("lower"),
+        (F.col("estimate") + F.col("margin")).alias("upper"),
     ).withColumn("spread", F.col("upper") - F.col("lower"))
 
 
@@ -188,11 +171,11 @@ def compare(predicted: DataFrame, baselines: DataFrame) -> DataFrame:
 
 
 def feature_importance(model: CostModel, rows: int | None = None) -> DataFrame:
-    """Importance per named feature, largest first (one row per feature of the model)."""
-    forest = model.forest
+    """Importance per named feature, largest first (one row per feature of the model). Features are the
+    values of a category, or its buckets where it has been hashed, and the numbers."""
     spark = SparkSession.active()
-    values = forest.featureImportances.toArray().tolist()
-    labels = model.pipeline.stages[0].labelsArray
+    values = model.forest.featureImportances.toArray().tolist()
+    labels = model.indexer.labelsArray
     names = [f"{c}_{label}" for c, seen in zip(CATEGORIES, labels) for label in seen]
     pairs = list(zip([*names, *NUMBERS], values, strict=True))
     table = spark.createDataFrame(pairs, "feature string, importance double")

@@ -38,13 +38,56 @@ def test_how_rows_were_read_does_not_matter(tables):
     assert all(found[0][k] == pytest.approx(found[1][k], rel=1e-9) for k in found[0])
 
 
-def test_too_many_categories_or_leaves_are_refused(tables, monkeypatch):
+def test_too_many_leaves_are_refused(tables):
     view = shipments.named_shipments(tables)
     with pytest.raises(ValueError, match="leaves"):
         cost_model.fit(view, trees=200, max_depth=25)
-    monkeypatch.setattr(cost_model, "MAX_CATEGORIES", 3)
-    with pytest.raises(ValueError, match="carrier has about"):
-        cost_model.fit(view, trees=2, max_depth=2)
+
+
+def test_categories_up_to_the_limit_are_features_and_beyond_it_buckets(tables, monkeypatch):
+    view = shipments.named_shipments(tables)
+    carriers = view.where("carrier IS NOT NULL").select("carrier").distinct().count()
+    for limit, bucketed in ((carriers, False), (carriers - 1, True)):
+        monkeypatch.setattr(cost_model, "MAX_CATEGORIES", limit)
+        fitted = cost_model.fit(view, trees=2, max_depth=3)
+        labels = fitted.indexer.labelsArray[0]
+        assert all(label.startswith("bucket ") for label in labels) is bucketed
+        assert len(labels) == carriers or bucketed
+        listed = [r.feature for r in cost_model.feature_importance(fitted).collect()]
+        assert any(f.startswith("Carrier: bucket ") for f in listed) is bucketed
+        forest_estimates(fitted, view)
+
+
+def forest_estimates(fitted, view):
+    """The array walk and Spark's own forest say the same of every row."""
+    inputs = guards.fill_missing(
+        view.select("shipment_id", *cost_model.CATEGORIES, *cost_model.NUMBERS), fitted.medians
+    )
+    theirs = fitted.pipeline.transform(inputs).select("shipment_id", F.col("estimate").alias("forest"))
+    ours = cost_model.predict(fitted, inputs.drop("imputed"))
+    gap = ours.join(theirs, "shipment_id").agg(F.max(F.abs(F.col("estimate") - F.col("forest")))).first()[0]
+    assert gap is not None and gap < 1e-9
+
+
+def test_fifty_thousand_carriers(spark):
+    n = 60_000
+    named = spark.range(n).withColumn("carrier", F.format_string("Carrier %05d", F.col("id") % 50_000))
+    # The carriers of one bucket cost more.
+    dear = F.pmod(F.xxhash64("carrier"), F.lit(cost_model.BUCKETS)) == 5
+    rows = named.select(
+        F.format_string("S%06d", "id").alias("shipment_id"),
+        "carrier",
+        F.when(F.col("id") % 2 == 0, "Dock").otherwise("Yard").alias("facility"),
+        (F.col("id") % 977 + 1.0).alias("weight_lbs"),
+        F.when(F.col("id") % 50 != 7, F.col("id") % 313 + 1.0).alias("miles"),
+        (F.when(dear, 50_000.0).otherwise(0.0) + F.col("id") % 313).alias("total_cost_usd"),
+    )
+    fitted = cost_model.fit(rows, trees=3, max_depth=4, max_bins=16)
+    assert len(fitted.indexer.labelsArray[0]) == cost_model.BUCKETS
+    forest_estimates(fitted, rows)
+    assert cost_model.predict(fitted, rows).where("estimate IS NOT NULL").count() == n
+    top = cost_model.feature_importance(fitted, 2).collect()
+    assert "Carrier: bucket 0005" in {r.feature for r in top}
 
 
 def test_mean_of_trees_is_the_forest(estimates, model, tables):
