@@ -128,6 +128,13 @@ def _lists() -> dict[str, str]:
             f"SELECT {_LIST}, lane, total_cost_usd FROM s WHERE shipment_id = 'SHP-0000042'", "s"
         ),
         "shipment_page": _over(f"SELECT {_LIST} FROM s ORDER BY shipment_id LIMIT 25 OFFSET 50", "s"),
+        "deep_page": _over(
+            f"""WITH n AS (SELECT count(*) AS total FROM s)
+            SELECT {_LIST}, row_number() OVER (ORDER BY shipment_id) + 9975 AS place,
+              CAST(9976 AS BIGINT) AS first_row, CAST(10000 AS BIGINT) AS last_row, total AS total_rows
+            FROM (SELECT {_LIST} FROM s ORDER BY shipment_id LIMIT 25 OFFSET 9975) CROSS JOIN n""",
+            "s",
+        ),
         "next_page": _over(
             f"SELECT {_LIST} FROM s WHERE shipment_id > 'SHP-0000074' ORDER BY shipment_id LIMIT 25", "s"
         ),
@@ -815,6 +822,17 @@ def _costs() -> dict[str, str]:
             FROM (VALUES {picks}) e(estimate), s WHERE total_cost_usd IS NOT NULL GROUP BY estimate""",
             "s",
         ),
+        "freight_positions": _over(
+            f"""WITH k AS (SELECT total_cost_usd AS c, count(*) AS n FROM s
+                WHERE total_cost_usd IS NOT NULL GROUP BY 1),
+              r AS (SELECT c, sum(n) OVER (ORDER BY c) AS upto FROM k)
+            SELECT shipment_id, base_freight_usd AS estimate,
+              CAST(CASE WHEN base_freight_usd IS NOT NULL THEN coalesce(upto, 0) END AS BIGINT) AS below,
+              CAST((SELECT sum(n) FROM k) AS BIGINT) AS history,
+              {_pct("CASE WHEN base_freight_usd IS NOT NULL THEN coalesce(upto, 0) END", "(SELECT sum(n) FROM k)", 4)} AS percentile
+            FROM s ASOF LEFT JOIN r ON s.base_freight_usd >= r.c""",
+            "s",
+        ),
         "model_guards": _over(guards, "shipments"),
         "class_weights": _over(
             """SELECT AccessorialFlag, count(*) AS rows,

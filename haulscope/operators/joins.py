@@ -6,17 +6,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from haulscope.session import settle
 
-# A side is broadcast up to this many bytes of text plus a flat amount per row.
+# A side is broadcast up to this many bytes: what its texts, arrays, maps and structs hold, plus a flat
+# amount per row.
 BROADCAST_BYTES = 64 * 1024 * 1024
 BYTES_PER_ROW = 64
 
 
 def size_of(df: DataFrame) -> int:
-    """Bytes of a (settled) result: its texts and a flat amount per row. Runs a job."""
-    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
-    per_row = F.lit(BYTES_PER_ROW)
-    for text in texts:
-        per_row = per_row + text
+    """Bytes of a (settled) result: its texts, its nested values as JSON (never fewer bytes than
+    their texts, a handful for each number), and a flat amount per row. Runs a job."""
+    per_row = F.lit(BYTES_PER_ROW).cast("bigint")
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            per_row = per_row + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            per_row = per_row + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
     return df.agg(F.coalesce(F.sum(per_row.cast("bigint")), F.lit(0))).first()[0]
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from haulscope.operators import cost_model, guards, metrics
+from haulscope.functions.numeric import percent
+from haulscope.operators import cost_model, guards, metrics, ranges
 from haulscope.operators.enrich import shipment_view
 from haulscope.operators.rollups import shipment_rollup
 from haulscope.plans.scope import shipments_in
@@ -24,6 +25,20 @@ def estimate_position(tables: FreightTables, estimates: list[float]) -> DataFram
     return metrics.estimate_position(shipment_view(tables.shipments), estimates)
 
 
+def estimate_positions(tables: FreightTables, estimates: DataFrame, column: str = "estimate") -> DataFrame:
+    """Any table of estimates with ``below``, ``history`` and ``percentile``: the share of past shipments
+    that cost no more than each estimate."""
+    past = shipment_view(tables.shipments).select("total_cost_usd")
+    placed = ranges.positions(past, "total_cost_usd", estimates, column)
+    return placed.withColumn("percentile", percent("below", "history", 4))
+
+
+def freight_positions(tables: FreightTables) -> DataFrame:
+    """Every shipment's base freight among the total costs of all shipments."""
+    freight = shipment_view(tables.shipments).select("shipment_id", F.col("base_freight_usd").alias("estimate"))
+    return estimate_positions(tables, freight)
+
+
 def fit(tables: FreightTables, **settings) -> cost_model.CostModel:
     return cost_model.fit(named_shipments(tables), **settings)
 

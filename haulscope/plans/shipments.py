@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from haulscope.functions import risk
-from haulscope.operators import filters, ranking
+from haulscope.operators import filters, ranges, ranking
 from haulscope.operators.enrich import (
     carrier_names, shipment_view, with_carrier, with_used_carrier,
 )
@@ -68,6 +68,12 @@ def page_after(tables: FreightTables, shipment_id: str, size: int = 25) -> DataF
     return with_carrier(shown, tables.carriers).select(*LIST_COLUMNS)
 
 
+def page_index(tables: FreightTables, size: int = 25) -> ranges.PageIndex:
+    """All shipments of the list in the order of their ids, for pages at any depth."""
+    listed = with_carrier(shipment_view(tables.shipments), tables.carriers).select(*LIST_COLUMNS)
+    return ranges.page_index(listed, "shipment_id", size=size)
+
+
 def similar(tables: FreightTables, rows: int = 10, same_facility: bool = False) -> DataFrame:
     return ranking.similar_shipments(
         shipment_view(tables.shipments), tables.carriers, rows, same_facility

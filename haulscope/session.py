@@ -59,14 +59,15 @@ def cleaned(spark: SparkSession, folder: str) -> str:
     return folder
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, *folders: str) -> DataFrame:
     """Compute a result once, as compressed Parquet in the shared directory, and read it back.
 
-    For large results that several passes read. The files go when the session ends.
+    For large results that several passes read. ``folders`` are columns that become folders, so that
+    readers open only those they ask for. The files go when the session ends.
     """
     spark = df.sparkSession
     target = cleaned(spark, work_folder(spark, purpose))
-    df.write.parquet(target)
+    df.write.partitionBy(*folders).parquet(target) if folders else df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
 
 
