@@ -13,10 +13,13 @@ in a shuffle, and every batch gets back what its own pairs count.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,15 @@ SHIFT = 1 << 32
 # Texts are cut before a single space between two characters that are no white space: no token of
 # either tokenizer goes across such a place.
 CUT = r"(?<!\s)(?= \S)"
+# Words of these characters are cut alike by every version of the Unicode tables; they take the faster
+# of two encoders of the same vocabulary.
+PLAIN = r"[\x09-\x0D\x20-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]*"
+# Fixed value: how byte-level vocabularies cut texts before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Longer words go to the encoder that works in place.
+LONG_WORD = 1_000
+# Words that are encoded in one text.
+TOGETHER = 512
 
 
 # --- galloping --------------------------------------------------------------------------------
@@ -165,7 +177,7 @@ class Aligned:
 def _flat(lists: Iterable[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     lists = list(lists)
     counts = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum())), counts
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts
 
 
 # --- tokenizers -------------------------------------------------------------------------------
@@ -211,8 +223,25 @@ class Tokenizers:
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.name_a = [str(i) for i in range(len(self.bytes_a))]
         self.name_b = [str(i) for i in range(len(self.bytes_b))]
-        self.known: dict[str, tuple[list[int], list[int]]] = {}
+        # Per word its ids of both tokenizers, and whether they give back its bytes.
+        self.known: dict[str, tuple[list[int], list[int], bool]] = {}
         self.cut = re.compile(CUT)
+        self.plain = re.compile(PLAIN)
+        self.ranked = self._ranked(byte_file)
+
+    def _ranked(self, byte_file: bytes):
+        """An encoder that merges by rank, if the file's vocabulary is numbered in the order of its merges
+        and cut by the usual pattern; else None."""
+        import tiktoken
+
+        about = json.loads(byte_file)
+        how, model = about.get("pre_tokenizer") or {}, about["model"]
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        usual = how.get("type") == "ByteLevel" and how.get("use_regex") and not how.get("add_prefix_space")
+        if not usual or about.get("normalizer") or [model["vocab"][m] for m in merges] != list(range(256, 256 + len(merges))):
+            return None
+        ranks = {self.bytes_a[i]: i for i in range(256 + len(merges))}
+        return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def words(self, text: str) -> list[str]:
         """A text with a space before it, in parts that are encoded alike alone and in the text."""
@@ -223,26 +252,60 @@ class Tokenizers:
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = list(parts)
-        if new:
-            a = self.byte_bpe.encode_batch_fast(new, add_special_tokens=False)
-            b = self.piece_bpe.encode([p[1:] for p in new], num_threads=1)
-            self.known.update(zip(new, zip((x.ids for x in a), b, strict=True), strict=True))
+        # ASCII words first: they never meet a character that sends their neighbours the slow way.
+        new.sort(key=str.isascii, reverse=True)
+        for begin in range(0, len(new), TOGETHER):
+            words = new[begin : begin + TOGETHER]
+            ids = self._together(words) or self._alone(words)
+            self.known.update(zip(words, ids, strict=True))
+
+    def _together(self, words: list[str]) -> list[tuple[list[int], list[int], bool]] | None:
+        """Ids of words from one text, since a call for each costs more than its encoding; None where
+        the text could be cut otherwise (see ``CUT``) or tokens do not end with every word."""
+        text = "".join(words)
+        # Words that would not be cut here again.
+        if not all([len(w) > 1 and not w[1].isspace() and not w[-1].isspace() for w in words]):
+            return None
+        if not self.ranked or max(map(len, words)) > LONG_WORD or not self.plain.fullmatch(text):
+            return None
+        ends = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])
+        data, parts = text.encode(), []
+        both = ((self.ranked.encode_ordinary(text), self.bytes_a, self.size_a),)
+        both += ((self.piece_bpe.encode(text[1:]), self.bytes_b, self.size_b),)
+        for ids, table, sizes in both:
+            if not self._same(ids, table, data):
+                return None
+            found = np.cumsum(sizes[ids])
+            at = np.searchsorted(found, ends)
+            if (found[at] != ends).any():
+                return None
+            stops = (at + 1).tolist()
+            parts.append([ids[i:k] for i, k in zip([0, *stops[:-1]], stops, strict=True)])
+        return [(a, b, True) for a, b in zip(*parts, strict=True)]
+
+    def _alone(self, words: list[str]) -> list[tuple[list[int], list[int], bool]]:
+        of_a = [x.ids for x in self.byte_bpe.encode_batch_fast(words, add_special_tokens=False)]
+        of_b = self.piece_bpe.encode([w[1:] for w in words], num_threads=1)
+        found = []
+        for word, a, b in zip(words, of_a, of_b, strict=True):
+            data = word.encode()
+            found.append((a, b, self._same(a, self.bytes_a, data) and self._same(b, self.bytes_b, data)))
+        return found
 
     def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both tokenizers; none for NULL, the empty text, or where the bytes differ."""
         cut = [self.words(t) if t else [] for t in texts]
-        self.learn({w for words in cut for w in words})
+        self.learn(set(chain.from_iterable(cut)))
+        known = self.known
         found_a, found_b = [], []
         for text, words in zip(texts, cut, strict=True):
-            a: list[int] = []
-            b: list[int] = []
-            for word in words:
-                of_a, of_b = self.known[word]
-                a += of_a
-                b += of_b
-            data = (" " + text).encode() if text else b""
-            if not self._same(a, self.bytes_a, data) or not self._same(b, self.bytes_b, data):
-                a, b = [], []
+            ids = [known[word] for word in words]
+            a = list(chain.from_iterable([x[0] for x in ids]))
+            b = list(chain.from_iterable([x[1] for x in ids]))
+            if not all([x[2] for x in ids]):
+                data = (" " + text).encode()
+                if not (self._same(a, self.bytes_a, data) and self._same(b, self.bytes_b, data)):
+                    a, b = [], []
             found_a.append(a)
             found_b.append(b)
         return found_a, found_b
@@ -292,30 +355,38 @@ def _align(byte_file, piece_file):
     """Documents to rows of documents and of the different pairs of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = Tokenizers(byte_file.value, piece_file.value)
-        task, number = TaskContext.get().partitionId() << 32, 0
-        keys: list[int | None] = []
-        a: list[list[int]] = []
-        b: list[list[int]] = []
-        held = 0
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for part in _slices(texts):
-                of_a, of_b = both.encode(texts[part])
-                for key, x, y in zip(ids[part], of_a, of_b, strict=True):
-                    keys.append(key)
-                    a.append(x)
-                    b.append(y)
-                    held += len(x) + len(y)  # as many links at most
-                    if held >= BATCH_LINKS:
-                        yield from _batch(task + number, keys, a, b, both)
-                        keys, a, b, held, number = [], [], [], 0, number + 1
-        if keys:
-            yield from _batch(task + number, keys, a, b, both)
+        # Lists of ids by the million and no cycles among them: the collector would only walk them.
+        gc.disable()
+        try:
+            both = Tokenizers(byte_file.value, piece_file.value)
+            yield from _batches(batches, both, TaskContext.get().partitionId() << 32)
+        finally:
+            gc.enable()
 
     return run
 
 
+def _batches(batches: Iterator[pa.RecordBatch], both: Tokenizers, number: int) -> Iterator[pa.RecordBatch]:
+    keys: list[int | None] = []
+    a: list[list[int]] = []
+    b: list[list[int]] = []
+    held = 0
+    for batch in batches:
+        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        for part in _slices(texts):
+            of_a, of_b = both.encode(texts[part])
+            for key, x, y in zip(ids[part], of_a, of_b, strict=True):
+                keys.append(key)
+                a.append(x)
+                b.append(y)
+                held += len(x) + len(y)  # as many links at most
+                if held >= BATCH_LINKS:
+                    yield from _batch(number, keys, a, b, both)
+                    keys, a, b, held, number = [], [], [], 0, number + 1
+    if keys:
+        yield from _batch(number, keys, a, b, both)
+
+
 def _slices(texts: list[str | None]) -> Iterator[slice]:
     begin, held = 0, 0
     for i, text in enumerate(texts):
