@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from haulscope.operators.joins import join_measured
-from haulscope.session import written
+from haulscope.session import settle, written
+from haulscope.sources import multiline
 
 # Accepted extension, size limit, and the texts of a refusal.
 EXTENSION = ".csv"
@@ -96,6 +99,42 @@ def read_upload(
     return _number_lines(written(placed, "upload")).drop("block", "read_order")
 
 
+def read_quoted(spark: SparkSession, folder: str, columns: list[str] | None = None, *, encoding: str = "UTF-8") -> DataFrame:
+    """As ``read_upload``, for large files whose quoted cells may hold line breaks: files are split.
+
+    ``row_num`` is the line in which a record starts and ``last_line`` the one in which it ends. Quotes
+    inside quoted cells are doubled. A quoted cell that is never closed, or one of more than
+    ``multiline.MAX_LINES`` lines, is a corrupt record at its first line; the lines it would swallow are
+    left out. Lines without text are left out. Every file must carry the same header.
+    """
+    records = written(multiline.read_records(spark, folder, encoding), "records")
+    heads = records.groupBy("file").agg(F.min_by("record", "first").alias("head"), F.min("first").alias("at"))
+    heads = settle(heads)
+    seen = [r[0] for r in heads.select("head").distinct().limit(2).collect()]
+    if len(seen) > 1:
+        raise ValueError(f"files with different headers: {seen[0]!r} and {seen[1]!r}")
+    names = columns or (next(csv.reader([seen[0]])) if seen else [])
+    if not names:
+        raise ValueError(f"no header in {folder}")
+    fields = [T.StructField(n, T.StringType()) for n in (*names, CORRUPT)]
+    options = {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"', "multiLine": "true",
+        "maxCharsPerColumn": "-1",
+    }
+    schema = ", ".join(f"`{f.name}` string" for f in fields)
+    rows = join_measured(records, heads.select("file", "at"), "file", "inner").where(F.col("first") != F.col("at"))
+    parsed = rows.withColumn("cells", F.from_csv("record", F.lit(schema), options))
+    broken = F.coalesce(F.col(f"cells.{CORRUPT}"), F.when(F.col("problem").isNotNull(), F.col("record")))
+    return parsed.select(
+        *[F.when(broken.isNull(), _missing_to_null(F.col(f"cells.`{n}`"))).alias(n) for n in names],
+        broken.alias(CORRUPT),
+        "file",
+        F.col("first").alias("row_num"),
+        F.col("last").alias("last_line"),
+        "problem",
+    )
+
+
 def _missing_to_null(cell: Column) -> Column:
     return F.when(~cell.isin(list(MISSING_TEXTS)), cell)
 
