@@ -32,17 +32,15 @@ BYTE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 # The files are sent along with the tasks; larger ones are refused.
 MAX_BYTES = 64 << 20
-# Links of the documents of one batch, at which it is closed.
-BATCH_LINKS = 1 << 20
-# Characters of texts that are encoded at once.
-BATCH_CHARS = 1 << 21
+# Characters of the texts of a batch, at which it is closed; a longer text is a batch of its own.
+BATCH_CHARS = 1 << 20
 # Words whose ids a task remembers; at that number it starts afresh.
 REMEMBERED = 1 << 18
 # An id pair is one number: the first id times this, plus the second.
 SHIFT = 1 << 32
 # Texts are cut before a single space between two characters that are no white space: no token of
 # either tokenizer goes across such a place.
-CUT = r"(?<!\s)(?= \S)"
+CUT = r"(?<=\S)(?= \S)"
 # Words of these characters are cut alike by every version of the Unicode tables; they take the faster
 # of two encoders of the same vocabulary.
 PLAIN = r"[\x09-\x0D\x20-\x7E\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]*"
@@ -103,65 +101,84 @@ def ranks(shorter: np.ndarray, longer: np.ndarray, n_short: np.ndarray, n_long:
     return gallop(longer, shorter, begin, first + m)
 
 
+class Tokens:
+    """Ids of many documents, one after another, and how many each has."""
+
+    def __init__(self, ids: np.ndarray, counts: np.ndarray):
+        self.ids, self.counts = ids, counts
+
+    @classmethod
+    def of(cls, lists: list[list[int]]) -> Tokens:
+        counts = np.array([len(x) for x in lists], np.int64)
+        return cls(np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts)
+
+    def of_rows(self, chosen: np.ndarray) -> Tokens:
+        return Tokens(self.ids[np.repeat(chosen, self.counts)], self.counts[chosen])
+
+    def lists(self) -> list[list[int]]:
+        stops = np.cumsum(self.counts).tolist()
+        ids = self.ids.tolist()
+        return [ids[i:k] for i, k in zip([0, *stops[:-1]], stops, strict=True)] if stops else []
+
+
 class Aligned:
-    """Documents of a batch, aligned: per document the numbers of groups and links, and all links."""
-
-    def __init__(self, a: list[list[int]], b: list[list[int]], bytes_a: np.ndarray, bytes_b: np.ndarray):
-        """Ids per document and the number of bytes of each id; ids of a document have equal bytes."""
-        self.a, self.b = a, b
-        self.n_a = np.array([len(x) for x in a], np.int64)
-        self.n_b = np.array([len(x) for x in b], np.int64)
-        self.n_links = np.zeros(len(a), np.int64)
-        self.n_groups = np.zeros(len(a), np.int64)
-        self.cuts: list[tuple[list[int], list[int]]] = [([], [])] * len(a)
-        self.links: list[tuple[np.ndarray, np.ndarray]] = []  # (document, pair)
-        some = self.n_a > 0
-        self._align(np.flatnonzero(some & (self.n_a <= self.n_b)), False, bytes_a, bytes_b)
-        self._align(np.flatnonzero(some & (self.n_a > self.n_b)), True, bytes_b, bytes_a)
+    """Documents, aligned: per document the numbers of groups and links, and all links."""
 
-    def _align(self, rows: np.ndarray, swapped: bool, bytes_short: np.ndarray, bytes_long: np.ndarray) -> None:
+    def __init__(self, a: Tokens, b: Tokens, bytes_a: np.ndarray, bytes_b: np.ndarray):
+        """``bytes_a`` and ``bytes_b`` have the number of bytes of each id; both sides of a document have
+        equal bytes."""
+        n = len(a.counts)
+        self.n_links, self.n_groups = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.links: list[tuple[np.ndarray, np.ndarray]] = []  # (document, pair)
+        # Documents, ids of both sides, and where groups end in them.
+        self.parts: list[tuple] = []
+        some = a.counts > 0
+        shorter_a = some & (a.counts <= b.counts)
+        self._align(shorter_a, a, b, bytes_a, bytes_b, False)
+        self._align(some & ~shorter_a, b, a, bytes_b, bytes_a, True)
+
+    def _align(self, chosen, short: Tokens, long: Tokens, bytes_short, bytes_long, swapped: bool) -> None:
+        rows = np.flatnonzero(chosen)
         if not len(rows):
             return
-        short, long = (self.b, self.a) if swapped else (self.a, self.b)
-        ids_s, n_s = _flat(short[i] for i in rows)
-        ids_l, n_l = _flat(long[i] for i in rows)
+        short, long = short.of_rows(chosen), long.of_rows(chosen)
         # Ends counted over all documents: they rise through the whole batch.
-        ends_s, ends_l = np.cumsum(bytes_short[ids_s]), np.cumsum(bytes_long[ids_l])
-        rank = ranks(ends_s, ends_l, n_s, n_l)
+        ends_s, ends_l = np.cumsum(bytes_short[short.ids]), np.cumsum(bytes_long[long.ids])
+        rank = ranks(ends_s, ends_l, short.counts, long.counts)
         common_end = ends_l[rank] == ends_s
-        doc = np.repeat(np.arange(len(rows)), n_s)
-        self.n_groups[rows] = np.bincount(doc[common_end], minlength=len(rows))
+        doc = np.repeat(np.arange(len(rows)), short.counts)
+        groups = np.bincount(doc[common_end], minlength=len(rows))
+        self.n_groups[rows] = groups
         # A token overlaps the tokens from the one in which it starts to the one in which it ends.
-        opens = np.empty_like(rank)
-        opens[0] = 0
+        opens = np.zeros_like(rank)
         opens[1:] = rank[:-1] + common_end[:-1]
         count = rank - opens + 1
         self.n_links[rows] = np.bincount(doc, weights=count, minlength=len(rows)).astype(np.int64)
         each = np.repeat(opens - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        own, met = np.repeat(ids_s, count), ids_l[each]
-        pair = met * SHIFT + own if swapped else own * SHIFT + met
-        self.links.append((rows[np.repeat(doc, count)], pair))
-        # Where groups end, in tokens of each list.
-        at = np.flatnonzero(common_end)
-        bounds = np.cumsum(self.n_groups[rows])
-        in_s = at + 1 - np.repeat(np.cumsum(n_s) - n_s, self.n_groups[rows])
-        in_l = rank[at] + 1 - np.repeat(np.cumsum(n_l) - n_l, self.n_groups[rows])
-        parts = zip(np.split(in_s, bounds[:-1]), np.split(in_l, bounds[:-1]), strict=True)
-        for row, (s, l) in zip(rows.tolist(), parts, strict=True):
-            self.cuts[row] = (l.tolist(), s.tolist()) if swapped else (s.tolist(), l.tolist())
-
-    def groups(self, row: int, name_a: list[str], name_b: list[str]) -> str:
-        """A document's groups: ids of both sides in order, as ``a1,a2|b1;a3|b2,b3``."""
-        a = [name_a[i] for i in self.a[row]]
-        b = [name_b[i] for i in self.b[row]]
-        found, i, k = [], 0, 0
-        for to_a, to_b in zip(*self.cuts[row], strict=True):
-            if to_a - i == 1 and to_b - k == 1:
-                found.append(f"{a[i]}|{b[k]}")
-            else:
-                found.append(f"{','.join(a[i:to_a])}|{','.join(b[k:to_b])}")
-            i, k = to_a, to_b
-        return ";".join(found)
+        own, met = np.repeat(short.ids, count), long.ids[each]
+        self.links.append((rows[np.repeat(doc, count)], met * SHIFT + own if swapped else own * SHIFT + met))
+        stops = (np.flatnonzero(common_end) + 1, rank[common_end] + 1)
+        sides = (long, short) if swapped else (short, long)
+        self.parts.append((rows, groups, sides, stops[::-1] if swapped else stops))
+
+    def groups(self, name_a: list[str], name_b: list[str]) -> list[str]:
+        """Per document its groups: ids of both sides in order, as ``a1,a2|b1;a3|b2,b3``."""
+        found = [""] * len(self.n_groups)
+        for rows, counts, (a, b), (stop_a, stop_b) in self.parts:
+            of_a = [name_a[i] for i in a.ids.tolist()]
+            of_b = [name_b[i] for i in b.ids.tolist()]
+            texts, i, k = [], 0, 0
+            for to_a, to_b in zip(stop_a.tolist(), stop_b.tolist(), strict=True):
+                if to_a - i == 1 and to_b - k == 1:
+                    texts.append(f"{of_a[i]}|{of_b[k]}")
+                else:
+                    texts.append(f"{','.join(of_a[i:to_a])}|{','.join(of_b[k:to_b])}")
+                i, k = to_a, to_b
+            at = 0
+            for row, n in zip(rows.tolist(), counts.tolist(), strict=True):
+                found[row] = ";".join(texts[at : at + n])
+                at += n
+        return found
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Document, pair and number of links, one row each, by document."""
@@ -174,12 +191,6 @@ class Aligned:
         return key // len(different), different[key % len(different)], times
 
 
-def _flat(lists: Iterable[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    lists = list(lists)
-    counts = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts
-
-
 # --- tokenizers -------------------------------------------------------------------------------
 
 
@@ -223,12 +234,20 @@ class Tokenizers:
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self.name_a = [str(i) for i in range(len(self.bytes_a))]
         self.name_b = [str(i) for i in range(len(self.bytes_b))]
-        # Per word its ids of both tokenizers, and whether they give back its bytes.
-        self.known: dict[str, tuple[list[int], list[int], bool]] = {}
+        self.forget()
         self.cut = re.compile(CUT)
         self.plain = re.compile(PLAIN)
         self.ranked = self._ranked(byte_file)
 
+    def forget(self) -> None:
+        """Start with no known words. A word is a number; by it, its ids in one long array of each side, its
+        groups, and whether its ids give back its bytes."""
+        self.known: dict[str, int] = {}
+        self.group: list[str] = []
+        self.same = np.zeros(0, bool)
+        self.ids = [np.zeros(0, np.int64)] * 2
+        self.counts = [np.zeros(0, np.int64)] * 2
+
     def _ranked(self, byte_file: bytes):
         """An encoder that merges by rank, if the file's vocabulary is numbered in the order of its merges
         and cut by the usual pattern; else None."""
@@ -250,14 +269,26 @@ class Tokenizers:
     def learn(self, parts: set[str]) -> None:
         new = [p for p in parts if p not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+            self.forget()
             new = list(parts)
+        if not new:
+            return
         # ASCII words first: they never meet a character that sends their neighbours the slow way.
         new.sort(key=str.isascii, reverse=True)
+        found = []
         for begin in range(0, len(new), TOGETHER):
             words = new[begin : begin + TOGETHER]
-            ids = self._together(words) or self._alone(words)
-            self.known.update(zip(words, ids, strict=True))
+            found += self._together(words) or self._alone(words)
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        same = np.array([x[2] for x in found])
+        self.same = np.concatenate([self.same, same])
+        both = [Tokens.of([x[side] for x in found]) for side in (0, 1)]
+        for side, tokens in enumerate(both):
+            self.ids[side] = np.concatenate([self.ids[side], tokens.ids])
+            self.counts[side] = np.concatenate([self.counts[side], tokens.counts])
+        # A word ends a token on both sides, so groups of a text are those of its words.
+        good = [Tokens(t.ids[np.repeat(same, t.counts)], np.where(same, t.counts, 0)) for t in both]
+        self.group += Aligned(*good, self.size_a, self.size_b).groups(self.name_a, self.name_b)
 
     def _together(self, words: list[str]) -> list[tuple[list[int], list[int], bool]] | None:
         """Ids of words from one text, since a call for each costs more than its encoding; None where
@@ -292,23 +323,31 @@ class Tokenizers:
             found.append((a, b, self._same(a, self.bytes_a, data) and self._same(b, self.bytes_b, data)))
         return found
 
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both tokenizers; none for NULL, the empty text, or where the bytes differ."""
+    def encode(self, texts: list[str | None]) -> tuple[Tokens, Tokens, list[str]]:
+        """Ids of both tokenizers and groups (see ``Aligned.groups``) of each text; none for NULL, the empty
+        text, or where the bytes differ."""
         cut = [self.words(t) if t else [] for t in texts]
-        self.learn(set(chain.from_iterable(cut)))
-        known = self.known
-        found_a, found_b = [], []
-        for text, words in zip(texts, cut, strict=True):
-            ids = [known[word] for word in words]
-            a = list(chain.from_iterable([x[0] for x in ids]))
-            b = list(chain.from_iterable([x[1] for x in ids]))
-            if not all([x[2] for x in ids]):
-                data = (" " + text).encode()
-                if not (self._same(a, self.bytes_a, data) and self._same(b, self.bytes_b, data)):
-                    a, b = [], []
-            found_a.append(a)
-            found_b.append(b)
-        return found_a, found_b
+        flat = list(chain.from_iterable(cut))
+        self.learn(set(flat))
+        word = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        n_words = np.array([len(x) for x in cut], np.int64)
+        doc = np.repeat(np.arange(len(texts)), n_words)
+        # A text that holds a word whose bytes differ has no tokens: the bytes before it are its own.
+        lost = np.zeros(len(texts), bool)
+        lost[doc[~self.same[word]]] = True
+        stays = ~lost[doc]
+        word, doc = word[stays], doc[stays]
+        sides = []
+        for ids, counts in zip(self.ids, self.counts, strict=True):
+            n = counts[word]
+            first = (np.cumsum(counts) - counts)[word]
+            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            total = np.bincount(doc, weights=n, minlength=len(texts)).astype(np.int64)
+            sides.append(Tokens(ids[at], total))
+        numbers, stops = word.tolist(), np.cumsum(np.bincount(doc, minlength=len(texts))).tolist()
+        named = [self.group[i] for i in numbers]
+        groups = [";".join(named[i:k]) for i, k in zip([0, *stops[:-1]], stops, strict=True)] if stops else []
+        return (*sides, groups)
 
     @staticmethod
     def _same(ids: list[int], table: list[bytes], data: bytes) -> bool:
@@ -367,24 +406,11 @@ def _align(byte_file, piece_file):
 
 
 def _batches(batches: Iterator[pa.RecordBatch], both: Tokenizers, number: int) -> Iterator[pa.RecordBatch]:
-    keys: list[int | None] = []
-    a: list[list[int]] = []
-    b: list[list[int]] = []
-    held = 0
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+        keys, texts = batch.column("doc_id"), batch.column("text").to_pylist()
         for part in _slices(texts):
-            of_a, of_b = both.encode(texts[part])
-            for key, x, y in zip(ids[part], of_a, of_b, strict=True):
-                keys.append(key)
-                a.append(x)
-                b.append(y)
-                held += len(x) + len(y)  # as many links at most
-                if held >= BATCH_LINKS:
-                    yield from _batch(number, keys, a, b, both)
-                    keys, a, b, held, number = [], [], [], 0, number + 1
-    if keys:
-        yield from _batch(number, keys, a, b, both)
+            yield from _batch(number, keys[part], *both.encode(texts[part]), both)
+            number += 1
 
 
 def _slices(texts: list[str | None]) -> Iterator[slice]:
@@ -396,37 +422,32 @@ def _slices(texts: list[str | None]) -> Iterator[slice]:
             begin, held = i + 1, 0
 
 
-def _batch(batch: int, keys: list, a: list, b: list, both: Tokenizers) -> Iterator[pa.RecordBatch]:
+def _batch(batch: int, keys: pa.Array, a: Tokens, b: Tokens, groups: list[str], both: Tokenizers) -> Iterator[pa.RecordBatch]:
     found = Aligned(a, b, both.size_a, both.size_b)
     doc, pair, times = found.pairs()
     different, number, docs = np.unique(pair, return_inverse=True, return_counts=True)
     edges = np.searchsorted(doc, np.arange(len(keys) + 1))
-    held = np.stack([number, times], axis=1).astype(np.int32)
-    pairs = [_packed(held[i:k]) for i, k in zip(edges[:-1], edges[1:], strict=True)]
-    hashes = [
-        hashlib.sha256(found.groups(i, both.name_a, both.name_b).encode()).hexdigest() if n else ""
-        for i, n in enumerate(found.n_a)
-    ]
+    held = np.stack([number, times]).astype(np.int32)
     yield _rows(
         len(keys),
         kind=DOCUMENT,
         batch=batch,
         nth=np.arange(len(keys)),
         doc_id=keys,
-        n_a=found.n_a,
-        n_b=found.n_b,
+        n_a=a.counts,
+        n_b=b.counts,
         n_groups=found.n_groups,
         n_links=found.n_links,
         n_pairs=np.diff(edges),
-        groups_sha256=hashes,
-        pairs=pairs,
+        groups_sha256=[hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups],
+        pairs=[_packed(held[:, i:k]) for i, k in zip(edges[:-1], edges[1:], strict=True)],
     )
     yield _rows(len(different), kind=PAIR, batch=batch, nth=np.arange(len(different)), pair=different, docs=docs)
 
 
 def _packed(values: np.ndarray) -> bytes:
     """Numbers of pairs, which rise, as differences; and how often each pair is linked."""
-    flat = values.T.copy()
+    flat = values.copy()
     flat[0, 1:] = np.diff(flat[0])
     return pa.compress(flat.tobytes(), codec="zstd", asbytes=True)
 

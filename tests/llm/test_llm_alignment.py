@@ -35,6 +35,11 @@ def whole(both, text):
     return a, b
 
 
+def lists(both, texts):
+    a, b, _ = both.encode(texts)
+    return a.lists(), b.lists()
+
+
 def spans(ids, table):
     found, at = [], 0
     for i in ids:
@@ -63,7 +68,7 @@ def naive(both, a, b):
 
 
 def test_words_alone_are_encoded_as_in_the_text(both):
-    a, b = both.encode([*TEXTS, None, ""])
+    a, b = lists(both, [*TEXTS, None, ""])
     for text, x, y in zip([*TEXTS, None, ""], a, b, strict=True):
         assert (x, y) == whole(both, text), text
 
@@ -71,11 +76,12 @@ def test_words_alone_are_encoded_as_in_the_text(both):
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_any_text_is_encoded_as_a_whole(both, text):
-    assert tuple(x[0] for x in both.encode([text])) == whole(both, text)
+    assert tuple(x[0] for x in lists(both, [text])) == whole(both, text)
 
 
 def test_bytes_that_are_not_given_back_leave_no_tokens(both):
-    assert both.encode(["a ▁ b"]) == ([[]], [[]])
+    assert lists(both, ["fine", "a ▁ b", "▁", "as well"])[0][1:3] == [[], []]
+    assert both.encode(["fine", "a ▁ b"])[2][1] == ""
 
 
 @settings(max_examples=100, deadline=None)
@@ -94,12 +100,13 @@ def test_gallop_finds_what_bisection_finds(steps):
 
 def test_groups_and_links_equal_all_pairs(both):
     texts = [t[:400] for t in TEXTS] + [llm_rows.prose(i, 30) for i in range(5)]
-    a, b = both.encode(texts)
+    a, b, named = both.encode(texts)
     found = alignment.Aligned(a, b, both.size_a, both.size_b)
+    listed, a, b = found.groups(both.name_a, both.name_b), a.lists(), b.lists()
     doc, pair, times = found.pairs()
     for i in range(len(texts)):
         groups, links = naive(both, a[i], b[i])
-        assert found.groups(i, both.name_a, both.name_b) == ";".join(groups)
+        assert listed[i] == named[i] == ";".join(groups)
         assert (found.n_groups[i], found.n_links[i]) == (len(groups), len(links))
         mine = dict(zip(pair[doc == i].tolist(), times[doc == i].tolist(), strict=True))
         assert mine == Counter(x * alignment.SHIFT + y for x, y in links)
@@ -122,7 +129,7 @@ def expected(both, rows):
 
 
 def test_the_table_equals_brute_force(spark, both, monkeypatch):
-    monkeypatch.setattr(alignment, "BATCH_LINKS", 1_500)  # several batches a task
+    monkeypatch.setattr(alignment, "BATCH_CHARS", 1_500)  # several batches a task
     rows = [(i, (t or "")[:700] if t is not None else None, *r) for i, t, *r in llm_rows.documents()]
     rows += [(300 + i, t[:500], "en", "x", 1) for i, t in enumerate(TEXTS)]
     clash = {c: F.lit("mine") for c in ("batch", "pair", "count", "kind", "n_a", "pairs")}
