@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from haulscope.llm import common
+from haulscope.session import settle
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's texts were cut before merging.
@@ -35,7 +36,9 @@ def vocabulary(path: str = VOCABULARY) -> bytes:
 
 
 def token_lengths(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """All documents with ``n_tokens``: special tokens are ordinary text, NULL has none."""
+    """All documents with ``n_tokens``, but for their texts: special tokens are ordinary text, NULL and
+    empty texts have none. Repeated rows count each; a column named ``n_tokens`` is replaced, others pass
+    through; an empty table gives no rows."""
     docs = common.spare(docs, "n_tokens")
     spark = docs.sparkSession
     data = spark.sparkContext.broadcast(vocabulary(path))
@@ -90,7 +93,11 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
     ``tokens_within``: tokens when all documents are cut at this length. ``share_upto``: the share
     of documents of this length or less (the length is the quantile of all shares up to it and
     above the one before). Sums go over buckets of lengths and then inside each bucket.
+
+    The histogram is computed once, however often it is read here: one row a length, so small. An empty
+    histogram gives no rows; repeated lengths must have been added up; further columns are left out.
     """
+    counts = settle(counts.select("length", "docs"))
     rows = counts.withColumns(
         {"tokens": F.col("length") * F.col("docs"), "bucket": F.floor(F.col("length") / BUCKET)}
     )
