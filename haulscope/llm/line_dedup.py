@@ -47,6 +47,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     rows = line_rows(docs, min_chars).join(salts, ["h1", "h2"], "left")
     spread = F.pmod(F.xxhash64("doc_id", "text_key"), F.col("salts"))
     rows = rows.withColumn("salt", F.coalesce(spread, F.lit(-1)).cast("int")).drop("salts")
+    # Partitioning by range looks at its input twice: at narrow rows, not at the texts again.
+    rows = common.written(rows, "line-hashes")
     by_key = Window.partitionBy("h1", "h2", "salt").orderBy(F.asc_nulls_last("doc_id"), "pos")
     first = F.first("doc_id").over(by_key)
     seen = (
