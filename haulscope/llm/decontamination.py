@@ -131,9 +131,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     least = keyed.groupBy(*KEYS).agg(F.min("doc_id").alias("_doc"))
     wanted = met.join(least, list(KEYS)).withColumnsRenamed({"_k1": "_m1", "_k2": "_m2"})
     same = (F.col("_k1") == F.col("_m1")) & (F.col("_k2") == F.col("_m2"))
-    held = keyed.select(*KEYS, "doc_id", "text").join(
-        wanted, same & F.col("doc_id").eqNullSafe(F.col("_doc"))
-    )
+    # The few texts that met are narrow rows: while they fit a broadcast, no text is shuffled.
+    texts = keyed.select(*KEYS, "doc_id", "text")
+    held = join_measured(texts, wanted, same & F.col("doc_id").eqNullSafe(F.col("_doc")), "inner")
     hits = extended(held.select(*KEYS, "text", "met"), windows)
 
     counted = keyed.withColumn("n_words", F.size(words_of_any_case("text")).cast("bigint"))
