@@ -218,7 +218,7 @@ def _overview() -> dict[str, str]:
         "week_over_week": _over(
             f"""WITH w AS (
               SELECT date_trunc('week', ship_date)::TIMESTAMP AS week, count(*) AS shipments,
-                round_even(avg(risk_score) * 100, 4) AS avg_risk_pct,
+                round_even(round_even(sum(risk_score), 6) / count(risk_score) * 100, 4) AS avg_risk_pct,
                 count(*) FILTER (WHERE risk_tier = 'High') AS high_risk,
                 {_sum("accessorial_charge_usd")} AS accessorial_cost
               FROM s WHERE ship_date IS NOT NULL GROUP BY 1)
@@ -622,6 +622,10 @@ def _uploads() -> dict[str, str]:
     rows = _issue_rows()
     position = "row_number() OVER (PARTITION BY row_num ORDER BY check_no) - 1 AS position"
     positioned = f"SELECT row_num, shipment_id, {position}, severity, rule, message FROM ({{}})"
+    # A NULL facility stays an empty cell, quoted or not.
+    accent = "CASE WHEN row_num % 5 = 0 THEN facility || ' é' ELSE facility END"
+    written = f"""CASE WHEN row_num % 7 = 0 THEN {accent} || chr(10) || '"yard", 2' ELSE {accent} END"""
+    extra = "CASE WHEN row_num % 7 = 0 AND facility IS NOT NULL THEN 1 ELSE 0 END"
     summary = f"""WITH m AS ({rows}), t AS (SELECT (SELECT count(*) FROM uploads) AS n,
         (SELECT count(*) FROM m WHERE severity = 'error') AS e,
         (SELECT count(*) FROM m WHERE severity = 'warning') AS w,
@@ -671,6 +675,37 @@ def _uploads() -> dict[str, str]:
             WHERE d.first_row IS NULL OR d.first_row = u.row_num""",
             "uploads",
         ),
+        "upserted_shipments": _over(
+            f"""WITH d AS ({repeated}), good AS (SELECT u.shipment_id, facility,
+                {num0("miles")} AS miles, u.row_num FROM uploads u LEFT JOIN d ON d.shipment_id = u.shipment_id
+                WHERE u.shipment_id IS NOT NULL AND (d.last_row IS NULL OR d.last_row = u.row_num))
+            SELECT shipment_id, facility, miles FROM good
+            UNION ALL SELECT ShipmentId, FacilityType, DistanceMiles FROM shipments
+              WHERE ShipmentId NOT IN (SELECT shipment_id FROM good)""",
+            "uploads", "shipments",
+        ),
+        "appended_loads": _over(
+            """SELECT 'upload' AS load, facility, count(*) AS rows FROM uploads GROUP BY facility
+            UNION ALL SELECT 'history', FacilityType, count(*) FROM shipments GROUP BY FacilityType""",
+            "uploads", "shipments",
+        ),
+        "carrier_reference_messages": _over(
+            f"""SELECT row_num, shipment_id, 0 AS position, 'error' AS severity, 'carrier_unknown' AS rule,
+              'Row ' || row_num || ': ''carrier'' value ''' || carrier || ''' is not in the carriers table.' AS message
+            FROM uploads WHERE NOT ({_blank("carrier")})
+              AND carrier NOT IN (SELECT carrier_name FROM carriers WHERE carrier_name IS NOT NULL)""",
+            "uploads", "carriers",
+        ),
+        "quoted_file": _over(
+            f"""SELECT {written} AS facility, count(*) AS rows, sum({extra} + 1)::BIGINT AS lines,
+              CAST(0 AS BIGINT) AS corrupt FROM uploads GROUP BY 1""",
+            "uploads",
+        ),
+        "two_encodings": _over(
+            f"""SELECT {written} AS facility, count(*) AS rows,
+              count(*) FILTER (WHERE row_num % 2 = 0) AS rows_of_warned_files FROM uploads GROUP BY 1""",
+            "uploads",
+        ),
         "duplicates_updated": _over(
             f"""WITH d AS ({repeated}), good AS (SELECT u.shipment_id, facility,
                 {num0("miles")} AS miles FROM uploads u LEFT JOIN d ON d.shipment_id = u.shipment_id
@@ -693,10 +728,7 @@ def _uploads() -> dict[str, str]:
             """SELECT 'error' AS severity, 'missing_columns' AS rule,
               'Missing required column(s): miles' AS message FROM uploads HAVING count(*) > 0
             UNION ALL SELECT 'warning', 'extra_columns', 'Column(s) will be ignored: Notes'
-              FROM uploads HAVING count(*) > 0
-            UNION ALL SELECT 'warning', 'small_file',
-              'Please upload a file with at least 10 shipment records.'
-              FROM uploads WHERE row_num <= 5 HAVING count(*) BETWEEN 1 AND 9""",
+              FROM uploads HAVING count(*) > 0""",
             "uploads",
         ),
         "encoding_messages": _over(
@@ -886,4 +918,7 @@ def _costs() -> dict[str, str]:
 
 def queries() -> dict[str, str]:
     parts = (_lists, _overview, _routes, _carriers, _accessorials, _detail, _uploads, _costs)
-    return {name: sql.strip() for part in parts for name, sql in part().items()}
+    found = {name: sql.strip() for part in parts for name, sql in part().items()}
+    # The same questions, asked of rollups that were stored by delivery.
+    kept = {"kept_weekly": "ops_weekly", "kept_week_over_week": "week_over_week", "kept_charges_weekly": "charges_weekly"}
+    return found | {name: found[of] for name, of in kept.items()}

@@ -186,6 +186,28 @@ def in_domain(name: str, options: Sequence[str]) -> Check:
     )
 
 
+def with_reference(df: DataFrame, name: str, reference: DataFrame, column: str | None = None) -> DataFrame:
+    """``df`` with ``_<name>_unknown``: whether the cell is a value that the reference table's column lacks.
+
+    Values are counted first and looked up once each, however often one occurs; the unknown ones, which
+    are few as a rule, are marked where the rows lie (runs jobs: see ``join_measured``). The check is
+    ``in_reference``.
+    """
+    used = df.where(~is_blank(name)).select(F.col(name).alias("_value")).groupBy("_value").agg(F.count(F.lit(1)).alias("rows"))
+    known = reference.select(F.col(column or name).alias("_value")).where(F.col("_value").isNotNull()).distinct()
+    unknown = used.join(known, "_value", "left_anti").select("_value", F.lit(True).alias(f"_{name}_unknown"))
+    marked = join_measured(df, unknown, F.col(name) == F.col("_value"), "left").drop("_value")
+    return marked.withColumn(f"_{name}_unknown", F.coalesce(f"_{name}_unknown", F.lit(False)))
+
+
+def in_reference(name: str, table: str) -> Check:
+    """For rows that went through ``with_reference``; ``table`` is what messages call the reference."""
+    return _check(
+        F.col(f"_{name}_unknown"), ERROR, f"{name}_unknown",
+        f"'{name}' value '", F.col(name), f"' is not in {table}.",
+    )
+
+
 def state_code(name: str, codes: Sequence[str] = STATE_CODES) -> Check:
     value = F.coalesce(F.col(name), F.lit(""))
     return _check(

@@ -31,10 +31,14 @@ def charges_by_type(tables: FreightTables, chosen: Selection = EVERYTHING) -> Da
     return metrics.charges_by_type(regroup(found, "accessorial_type"))
 
 
-def weekly_charges(tables: FreightTables, chosen: Selection = EVERYTHING) -> DataFrame:
+def weekly_rollup(tables: FreightTables, chosen: Selection = EVERYTHING) -> DataFrame:
+    """Partial sums of charges per week."""
     rollup = charges_in(tables, chosen, charge_keys=("week",), need_shipment=False, charged_only=True)
-    found = rollup.where(F.col("week").isNotNull())
-    return metrics.weekly_charges(regroup(found, "week"))
+    return regroup(rollup.where(F.col("week").isNotNull()), "week")
+
+
+def weekly_charges(tables: FreightTables, chosen: Selection = EVERYTHING) -> DataFrame:
+    return metrics.weekly_charges(weekly_rollup(tables, chosen))
 
 
 def charges_by_carrier(tables: FreightTables, chosen: Selection = EVERYTHING) -> DataFrame:

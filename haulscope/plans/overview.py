@@ -17,24 +17,31 @@ def operations_kpis(tables: FreightTables, chosen: Selection = EVERYTHING) -> Da
     return metrics.operations_kpis(shipment_rollup(shipments_in(tables, chosen)))
 
 
-def _weekly(tables: FreightTables, chosen: Selection) -> DataFrame:
+def weekly_rollup(tables: FreightTables, chosen: Selection = EVERYTHING) -> DataFrame:
+    """Partial sums of shipments per week."""
     view = shipments_in(tables, chosen).where(F.col("ship_date").isNotNull())
     return shipment_rollup(view.withColumn("week", week_start("ship_date")), "week")
 
 
 def weekly_operations(tables: FreightTables, chosen: Selection = EVERYTHING) -> DataFrame:
-    return metrics.weekly_operations(_weekly(tables, chosen))
+    return metrics.weekly_operations(weekly_rollup(tables, chosen))
 
 
 def week_over_week(tables: FreightTables, chosen: Selection = EVERYTHING) -> DataFrame:
+    return changes_by_week(weekly_rollup(tables, chosen))
+
+
+def changes_by_week(rollup: DataFrame) -> DataFrame:
     """KPIs of each week and their change from the calendar week before; NULL if that has no rows.
 
-    The window runs over one row per week.
+    The window runs over one row per week. The sum of scores is cut to six digits: the last bits depend
+    on how the rows were grouped before.
     """
-    weekly = _weekly(tables, chosen).select(
+    risk = F.rint(F.col("risk_sum") * 1e6) / 1e6
+    weekly = rollup.select(
         "week",
         F.col("n_rows").alias("shipments"),
-        half_even(F.try_divide("risk_sum", F.col("n_risk").cast("double")) * 100, 4).alias("avg_risk_pct"),
+        half_even(F.try_divide(risk, F.col("n_risk").cast("double")) * 100, 4).alias("avg_risk_pct"),
         F.col("n_high").alias("high_risk"),
         (zero_if_null("acc_cents") / F.lit(100.0)).alias("accessorial_cost"),
     )

@@ -24,6 +24,7 @@ MISSING_TEXTS = (
 )
 
 CORRUPT = "_corrupt_record"
+ENCODING_ADVICE = "The file was read as Windows-1252; save it as UTF-8."
 
 # Block offsets up to this size are broadcast (they also take that much of the driver's heap);
 # it is enough for about 25 TB in blocks of 128 MB with paths of 200 characters.
@@ -99,30 +100,35 @@ def read_upload(
     return _number_lines(written(placed, "upload")).drop("block", "read_order")
 
 
-def read_quoted(spark: SparkSession, folder: str, columns: list[str] | None = None, *, encoding: str = "UTF-8") -> DataFrame:
+def read_quoted(
+    spark: SparkSession, folder: str, columns: list[str] | None = None, *, header: bool = True, glob: str = ANY_CASE
+) -> DataFrame:
     """As ``read_upload``, for large files whose quoted cells may hold line breaks: files are split.
 
     ``row_num`` is the line in which a record starts and ``last_line`` the one in which it ends. Quotes
     inside quoted cells are doubled. A quoted cell that is never closed, or one of more than
     ``multiline.MAX_LINES`` lines, is a corrupt record at its first line; the lines it would swallow are
-    left out. Lines without text are left out. Every file must carry the same header.
+    left out. Lines without text are left out. Files are UTF-8 or else Windows-1252, each by its bytes.
+    Every file must carry the same header, or none (``header=False``, with ``columns`` given).
     """
-    records = written(multiline.read_records(spark, folder, encoding), "records")
-    heads = records.groupBy("file").agg(F.min_by("record", "first").alias("head"), F.min("first").alias("at"))
-    heads = settle(heads)
-    seen = [r[0] for r in heads.select("head").distinct().limit(2).collect()]
-    if len(seen) > 1:
-        raise ValueError(f"files with different headers: {seen[0]!r} and {seen[1]!r}")
-    names = columns or (next(csv.reader([seen[0]])) if seen else [])
+    records = written(multiline.read_records(spark, folder, glob=glob), "records")
+    rows, names = records, columns or []
+    if header:
+        heads = records.groupBy("file").agg(F.min_by("record", "first").alias("head"), F.min("first").alias("at"))
+        heads = settle(heads)
+        seen = [r[0] for r in heads.select("head").distinct().limit(2).collect()]
+        if len(seen) > 1:
+            raise ValueError(f"files with different headers: {seen[0]!r} and {seen[1]!r}")
+        names = names or (next(csv.reader([seen[0]])) if seen else [])
+        rows = join_measured(records, heads.select("file", "at"), "file", "inner").where(F.col("first") != F.col("at"))
     if not names:
-        raise ValueError(f"no header in {folder}")
+        raise ValueError(f"no columns for {folder}")
     fields = [T.StructField(n, T.StringType()) for n in (*names, CORRUPT)]
     options = {
         "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "escape": '"', "multiLine": "true",
         "maxCharsPerColumn": "-1",
     }
     schema = ", ".join(f"`{f.name}` string" for f in fields)
-    rows = join_measured(records, heads.select("file", "at"), "file", "inner").where(F.col("first") != F.col("at"))
     parsed = rows.withColumn("cells", F.from_csv("record", F.lit(schema), options))
     broken = F.coalesce(F.col(f"cells.{CORRUPT}"), F.when(F.col("problem").isNotNull(), F.col("record")))
     return parsed.select(
@@ -135,6 +141,17 @@ def read_quoted(spark: SparkSession, folder: str, columns: list[str] | None = No
     )
 
 
+def encoding_messages(spark: SparkSession, folder: str, glob: str = ANY_CASE) -> DataFrame:
+    """One row a file that is not UTF-8: file, severity, rule, message."""
+    found = multiline.file_encodings(multiline.raw_lines(spark, folder, glob)).where(F.col("not_utf8") > 0)
+    return found.select(
+        "file",
+        F.lit("warning").alias("severity"),
+        F.lit("encoding").alias("rule"),
+        F.concat(F.col("not_utf8"), F.lit(" of "), F.col("lines"), F.lit(f" lines are not UTF-8. {ENCODING_ADVICE}")).alias("message"),
+    )
+
+
 def _missing_to_null(cell: Column) -> Column:
     return F.when(~cell.isin(list(MISSING_TEXTS)), cell)
 

@@ -36,20 +36,47 @@ def ends_inside(line: Column, inside: bool) -> Column:
     return line.rlike(rf"\A{_TEXT}\z") | line.rlike(rf'\A{_TEXT}"(?:[^,"][^,]*+)?,{_OPENS}')
 
 
-def read_lines(spark: SparkSession, folder: str, encoding: str = "UTF-8") -> DataFrame:
-    """Every line of the files (value, file, block, line): ``line`` counts from 1 per file.
+# Windows-1252 where it differs from Latin-1: the 32 codes from 0x80 on, by Python's own table.
+_LATIN = "".join(map(chr, range(0x80, 0xA0)))
+_WINDOWS = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
 
-    Lines end at a line feed; a carriage return before it is kept. Files are read block by block;
-    the lines are stored once, so that numbers do not depend on a later scan.
-    """
-    reader = spark.read.option("lineSep", "\n").option("encoding", encoding)
-    raw = reader.option("pathGlobFilter", ANY_CASE).text(folder)
-    placed = raw.select(
+
+def raw_lines(spark: SparkSession, folder: str, glob: str = ANY_CASE) -> DataFrame:
+    """Every line (value, as the bytes in the file, decoded or not), with its file and block."""
+    reader = spark.read.option("lineSep", "\n").option("pathGlobFilter", glob)
+    return reader.text(folder).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("read_order"),
     )
+
+
+def file_encodings(lines: DataFrame) -> DataFrame:
+    """Per file of raw lines: ``lines``, ``not_utf8`` (lines that are no UTF-8), and ``encoding``: UTF-8 if all lines
+    are, else windows-1252, in which every byte is a character. One pass, a row a file and task."""
+    wrong = F.count(F.when(~F.is_valid_utf8("value"), 1))
+    found = lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), wrong.alias("not_utf8"))
+    return found.withColumn("encoding", F.when(F.col("not_utf8") == 0, "UTF-8").otherwise("windows-1252"))
+
+
+def decoded(lines: DataFrame, encodings: DataFrame) -> DataFrame:
+    """Raw lines as text, each file by its own encoding."""
+    windows = encodings.where(F.col("encoding") != "UTF-8").select("file", F.lit(True).alias("windows"))
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    found = join_measured(lines, windows, "file", "left")
+    text = F.when(F.col("windows"), F.translate(latin, _LATIN, _WINDOWS)).otherwise(F.col("value"))
+    return found.withColumn("value", text).drop("windows")
+
+
+def read_lines(spark: SparkSession, folder: str, glob: str = ANY_CASE) -> DataFrame:
+    """Every line of the files (value, file, block, line): ``line`` counts from 1 per file.
+
+    Lines end at a line feed; a carriage return before it is kept. Each file is decoded by what its
+    bytes are (see ``file_encodings``). Files are read block by block, twice; the lines are stored once,
+    so that numbers do not depend on a later scan.
+    """
+    raw = raw_lines(spark, folder, glob)
+    placed = decoded(raw.withColumn("read_order", F.monotonically_increasing_id()), settle(file_encodings(raw)))
     return numbered(written(placed, "lines"))
 
 
@@ -127,14 +154,14 @@ def record_spans(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_records(spark: SparkSession, folder: str, encoding: str = "UTF-8", max_lines: int = MAX_LINES) -> DataFrame:
+def read_records(spark: SparkSession, folder: str, max_lines: int = MAX_LINES, glob: str = ANY_CASE) -> DataFrame:
     """Every record of the files: file, first and last line (from 1), record (text), and ``problem``.
 
     A record that a quoted cell keeps open over more than ``max_lines`` lines, or to the end of the file,
     is reported at its first line, with that line as its text; its other lines are not put together.
     Lines without any text outside a quoted cell are left out.
     """
-    lines = read_lines(spark, folder, encoding)
+    lines = read_lines(spark, folder, glob)
     # Two or more lines each: never more rows than odd lines.
     spans = settle(record_spans(lines))
     length = F.col("last") - F.col("first") + 1

@@ -135,3 +135,13 @@ def test_a_large_file_is_read_by_many_tasks(spark, tmp_path, blocks):
     lines = multiline.read_lines(spark, str(tmp_path))
     assert lines.select("block").distinct().count() > 10
     assert files.read_quoted(spark, str(tmp_path)).count() == 2000
+
+
+def test_each_file_is_decoded_by_its_bytes(spark, tmp_path):
+    text = "k,p,q\n1,Zoë – “x”,€5\n2,plain,z\n"
+    (tmp_path / "w.csv").write_bytes(text.encode("cp1252"))
+    (tmp_path / "u.csv").write_bytes(text.encode())
+    found = files.read_quoted(spark, str(tmp_path)).collect()
+    assert sorted((r.k, r.p, r.q) for r in found) == sorted([("1", "Zoë – “x”", "€5"), ("2", "plain", "z")] * 2)
+    (warned,) = files.encoding_messages(spark, str(tmp_path)).collect()
+    assert warned.file.endswith("/w.csv") and warned.message.startswith("1 of 3 lines are not UTF-8.")

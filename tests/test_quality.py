@@ -264,3 +264,17 @@ def test_skip_and_update_do_not_shuffle_the_stored_table(spark):
     with pytest.raises(ValueError):
         quality.resolve_duplicates(stored, incoming, "cancel")
     assert quality.resolve_duplicates(stored, incoming.where("row_num = 3"), "cancel").count() == 5_001
+
+
+def test_values_outside_a_reference_table_are_errors(spark):
+    rows = spark.createDataFrame(
+        [(i, f"S{i}", c) for i, c in enumerate(["Acme", "acme", None, " ", "Bolt", "acme"], 2)],
+        "row_num int, shipment_id string, carrier string",
+    )
+    table = spark.createDataFrame([("Acme",), ("Bolt",), (None,), ("Acme",)], "carrier_name string")
+    marked = quality.with_reference(rows, "carrier", table, "carrier_name")
+    checked = quality.check(marked, [quality.in_reference("carrier", "the carriers table")])
+    found = {r.row_num: r.message for r in quality.messages(checked).collect()}
+    text = "'carrier' value 'acme' is not in the carriers table."
+    assert found == {3: f"Row 3: {text}", 7: f"Row 7: {text}"}
+    assert quality.clean_rows(checked).count() == 4
