@@ -127,3 +127,9 @@ def test_plans_hold_no_python(spark):
 def test_sha_of_kept_text(spark):
     df = line_dedup.dedup(llm_rows.frame(spark)).select("kept_text", F.sha2("kept_text", 256).alias("s"))
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.s for r in df.collect())
+
+
+def test_lines_are_cut_once_for_their_hashes(spark):
+    plan = line_dedup.repeated_lines(llm_rows.frame(spark))._jdf.queryExecution().executedPlan().toString()
+    # What is partitioned by range is a stored table of hashes: sampling it cuts no text again.
+    assert "Generate" not in plan and "line-hashes" in plan

@@ -113,3 +113,21 @@ def test_totals_for_every_limit_equal_brute_force(spark, encoding, monkeypatch):
 def test_no_documents_no_rows(spark):
     sums = token_counts.suffix_sums(token_counts.histogram(token_counts.token_lengths(llm_rows.empty(spark))))
     assert sums.count() == 0 and token_counts.within(sums, 5) == 0 and token_counts.quantile(sums, 0.5) is None
+
+
+def test_documents_are_encoded_once_for_all_sums(spark):
+    sums = token_counts.suffix_sums(token_counts.histogram(token_counts.token_lengths(llm_rows.frame(spark))))
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and sums.count() > 0
+
+
+def test_scores_equal_a_naive_double_sum():
+    rng = np.random.default_rng(5)
+    terms = np.sort(rng.choice(1_000, 60, replace=False))
+    weights, factors = rng.normal(size=60), rng.normal(size=(60, 4)) / 4
+    machine = factorization.Machine(-0.3, terms, weights, factors)
+    for n in (0, 1, 2, 7, 30):
+        at = rng.choice(60, n, replace=False)
+        total = -0.3 + weights[at].sum()
+        total += sum(factors[i] @ factors[k] for a, i in enumerate(at) for k in at[a + 1 :])
+        assert abs(machine.score(terms[at]) - 1 / (1 + np.exp(-total))) < 1e-12
