@@ -218,7 +218,9 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) ->
 
     The second has row_key, time (pass over the source's blocks), first (word), words: one row for
     each piece of a document and each time it is taken. Equal rows are documents of their own.
-    A NULL or empty text has no words and is never taken.
+    A NULL or empty text has no words and is never taken; a NULL source is a source of its own, after
+    all others. Columns named as results are replaced, others pass through in the first table. An
+    empty table gives two empty ones.
     """
     key = F.concat_ws("|", F.col("doc_id").cast("string"), F.hex(F.xxhash64("text", "source", "doc_id")))
     sized = sizes(common.spare(docs, "size", "source_size", "target", "row_key")).withColumn("row_key", key)
@@ -241,7 +243,9 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Da
     """The mixed corpus with the columns of ``docs``: a row for each document and time it is taken.
 
     The text of a row is what one pass over the source's blocks takes of the document: the whole
-    text, or the taken words joined by spaces. ``n_chars``, where there is one, is counted anew.
+    text, or the taken words joined by spaces. ``n_chars``, where there is one, is counted anew; a column
+    named ``size``, ``source_size`` or ``target`` holds those of the mix, others are kept. NULL and empty
+    texts are not in the mix; equal rows are taken each for itself; an empty table gives no rows.
     """
     sized, taken = mixed(docs, block_words, seed)
     parts = taken.groupBy("row_key", "time").agg(

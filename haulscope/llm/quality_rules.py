@@ -124,7 +124,8 @@ def clean(docs: DataFrame, rules: LineRules = RULES) -> DataFrame:
     ``base_failed``: fewer than ten words, or more than 20 % of the words in repeated windows of
     five. ``kept``: not base-failed, and at most half of the words lost with removed lines. A NULL
     text counts as empty and is rejected for its length. Lines without a word always stay. Columns
-    of the input with the names of results are replaced; all others pass through.
+    of the input with the names of results are replaced; all others pass through. Rows are judged one by
+    one: repeated rows get equal results, an empty table gives no rows.
     """
     results = (
         "n_words word_chars n_symbols n_dup_lines n_repeat_words cleaned_text n_words_left "

@@ -78,7 +78,8 @@ def score(docs: DataFrame, model: Machine, bits: int = BITS, threshold: float =
 
     Only the text is looked at. A NULL or empty text gets the score of a text without known terms.
     Other columns pass through; those with the names of results are replaced; equal texts get equal
-    scores.
+    scores, so repeated rows do; a NULL doc_id is held out or not like an empty one; an empty table gives
+    no rows.
     """
     docs = common.spare(docs, "held_out", "score", "predicted")
 
