@@ -31,3 +31,10 @@ def test_few_queries_have_no_sql():
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() == 10 and df.columns[0] == "carrier"
+
+
+def test_frame_messages_are_of_the_frame_and_of_its_size(spark, folder, con):
+    # The names and the size of an upload are both checked, by the query and by its SQL.
+    rules = ["extra_columns", "missing_columns", "small_file"]
+    assert sorted(r.rule for r in QUERIES["upload_frame_messages"](spark, folder).collect()) == rules
+    assert sorted(r[1] for r in con.execute(SQL["upload_frame_messages"]).fetchall()) == rules
