@@ -50,10 +50,9 @@ LIKE = "|".join(
 # Up to 255 in each of four parts, whatever the zeros before.
 BYTES = r"\A(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{0,2})(?:\.(?!\z)|\z)){4}\z"
 
-# A pattern takes this many different instances at least, and this share of all (pattern, instance)
-# pairs: so there are 100,000 patterns at most, at any input.
+# A pattern takes this many different instances at least, at any size of the input. So patterns have no
+# upper number, and are broadcast only where they have been measured.
 SUPPORT = 5
-SHARE = 1e-5
 # Score from which patterns and instances are trusted.
 TRUSTED = 0.8
 TURNS = 3
@@ -240,20 +239,18 @@ def _graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     lefts = pairs.groupBy("left").agg(
         F.count_distinct("name").alias("names"), F.sum("followed").alias("followed")
     )
-    lefts = settle(lefts)
-    total = lefts.agg(F.sum("names")).first()[0] or 0
-    # At most 1 / SHARE rows.
-    patterns = lefts.where(F.col("names") >= max(SUPPORT, SHARE * total))
+    patterns = settle(lefts.where(F.col("names") >= SUPPORT))
     # Of these, those that can be trusted for a kind if nothing else follows their words, and that have an
     # instance of the kind to find: no other pattern can change a result.
-    per_kind = pairs.join(F.broadcast(patterns), "left").select("left", "names", F.explode(kinds).alias("kind"), "name", "seed")
+    per_kind = join_measured(pairs, patterns, "left", "inner")
+    per_kind = per_kind.select("left", "names", F.explode(kinds).alias("kind"), "name", "seed")
     per_kind = per_kind.groupBy("left", "kind", "names").agg(
         F.count_distinct("name").alias("n"), F.count(F.when(~F.col("seed"), 1)).alias("unseen")
     )
     useful = (F.col("n") >= SUPPORT * TRUSTED) & (F.col("n") >= TRUSTED * F.col("names")) & (F.col("unseen") > 0)
     useful = per_kind.where(useful).select("left").distinct()
-    patterns = settle(patterns.join(F.broadcast(useful), "left", "left_semi"))
-    edges = pairs.join(F.broadcast(patterns.select("left")), "left")
+    patterns = settle(join_measured(patterns, useful, "left", "left_semi"))
+    edges = join_measured(pairs, patterns.select("left"), "left", "inner")
     edges = edges.select("left", F.explode(kinds).alias("kind"), "name", "seed")
     edges = edges.groupBy("left", "kind", "name").agg(F.max("seed").alias("seed"))
     return common.written(edges, "pii-edges"), patterns
@@ -272,7 +269,8 @@ def _occurrences_of(docs: DataFrame, patterns: DataFrame) -> DataFrame:
         ),
     )
     each = docs.where(n > 0).select(F.explode(pairs).alias("left"))
-    return each.join(F.broadcast(patterns.select("left")), "left").groupBy("left").agg(F.count("*").alias("n"))
+    each = join_measured(each, patterns.select("left"), "left", "inner")
+    return each.groupBy("left").agg(F.count("*").alias("n"))
 
 
 def scores(edges: DataFrame, patterns: DataFrame, turns: int = TURNS) -> tuple[DataFrame, DataFrame]:
@@ -287,11 +285,11 @@ def scores(edges: DataFrame, patterns: DataFrame, turns: int = TURNS) -> tuple[D
     trusted = found = None
     for _ in range(turns):
         sums = scored.groupBy("left", "kind").agg(F.sum("score").alias("weight"))
-        sums = sums.join(F.broadcast(patterns.select("left", "follows")), "left")
+        sums = join_measured(sums, patterns.select("left", "follows"), "left", "inner")
         score = (F.col("weight") / F.col("follows")).alias("score")
         kept = sums.where((F.col("weight") >= SUPPORT * TRUSTED) & (F.col("weight") >= TRUSTED * F.col("follows")))
         trusted = settle(kept.select("left", "kind", F.least(score, F.lit(1.0)).alias("score")))
-        unseen = edges.where(~F.col("seed")).join(F.broadcast(trusted), ["left", "kind"])
+        unseen = join_measured(edges.where(~F.col("seed")), trusted, ["left", "kind"], "inner")
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
         found = unseen.groupBy("kind", "name").agg((1 - doubt).alias("score"))
         found = settle(found.where(F.col("score") >= TRUSTED))
@@ -327,7 +325,7 @@ def find(docs: DataFrame) -> DataFrame:
     counted = _occurrences_of(docs, patterns)
     bare = F.greatest(F.coalesce("n", F.lit(0)) - F.col("followed"), F.lit(0))
     patterns = settle(
-        patterns.join(F.broadcast(counted), "left", "left").select("left", (F.col("names") + bare).alias("follows"))
+        join_measured(patterns, counted, "left", "left").select("left", (F.col("names") + bare).alias("follows"))
     )
     _, found = scores(edges, patterns)
     best = F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind")

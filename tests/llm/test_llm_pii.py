@@ -145,6 +145,28 @@ def test_scores_equal_a_loop(spark):
     }
 
 
+def test_a_pattern_of_five_instances_counts_at_any_size(spark):
+    # 600,000 other pairs of a pattern and an instance do not take it away.
+    def spans(rows, seed):
+        one = F.struct(
+            F.lit(0).alias("start"),
+            F.lit(pii.PHONE if seed else 1 << pii.PHONE).alias("kind"),
+            F.lit(9).alias("end"),
+            F.concat(F.lit("+1555"), F.col("id").cast("string")).alias("value"),
+            F.col("left"),
+            F.lit(True).alias("spaced"),
+        )
+        own, none = F.array(one).cast(pii._SPANS), F.array().cast(pii._SPANS)
+        return rows.select((own if seed else none).alias("base"), (none if seed else own).alias("like"))
+
+    others = spark.range(600_000).withColumn("left", F.concat(F.lit("w "), F.col("id").cast("string")))
+    few = spark.range(700_000, 700_005).withColumn("left", F.lit("please dial"))
+    rows = spans(others, True).unionByName(spans(few.where("id < 700004"), True))
+    edges, patterns = pii._graph(rows.unionByName(spans(few.where("id = 700004"), False)))
+    assert [(r["left"], r.names) for r in patterns.collect()] == [("please dial", 5)]
+    assert edges.count() == 5
+
+
 def test_no_python_and_no_shuffle_of_texts(spark):
     plan = pii.find(llm_rows.frame(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
