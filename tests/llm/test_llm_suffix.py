@@ -88,6 +88,21 @@ def test_removal_equals_brute_force(spark, monkeypatch, case):
         assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256
 
 
+def test_equal_runs_are_not_searched(spark, monkeypatch):
+    # All runs of these copies are equal, so no string is fetched and all bytes are removed.
+    held, written = {}, suffix_dedup.common.written
+
+    def counted(df, purpose, *folders):
+        found = written(df, purpose, *folders)
+        held[purpose] = found.count()
+        return found
+
+    monkeypatch.setattr(suffix_dedup.common, "written", counted)
+    rows = [(i, llm_rows.prose(i // 2, 80), "en", "a", 1) for i in range(6)]
+    assert got(suffix_dedup.dedup(llm_rows.frame(spark, rows), 160)) == expected(rows, 160)
+    assert held["shared-runs"] > 0 and held["run-strings"] == 0
+
+
 def test_empty_tables_clashing_columns_and_short_lengths(spark):
     assert suffix_dedup.dedup(llm_rows.empty(spark)).count() == 0
     odd = llm_rows.frame(spark).withColumns({"removed": F.lit(1), "h": F.lit(2), "start": F.lit(3)})
