@@ -21,7 +21,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Nodes of all trees together: 24 bytes each travel to every task.
 MAX_NODES = 8_000_000
 # Rows times trees that are walked at once; a few arrays of that many numbers are in memory.
-STEP = 1 << 18
+STEP = 1 << 16
 
 
 # Nodes of all trees, one after another, by name. A node's rows go right when ``low < x <= high`` for its
@@ -33,6 +33,7 @@ Nodes = dict[str, np.ndarray]
 def trees(nodes: Nodes, inputs: np.ndarray) -> np.ndarray:
     """What each tree says of each row; ``inputs`` has one row an input."""
     roots, n = nodes["roots"], inputs.shape[1]
+    children = np.stack([nodes["left"], nodes["right"]], axis=1).ravel()
     found = np.empty((n, len(roots)))
     rows = max(1, STEP // len(roots))
     for begin in range(0, n, rows):
@@ -41,10 +42,10 @@ def trees(nodes: Nodes, inputs: np.ndarray) -> np.ndarray:
         flat = part.ravel()
         node = np.broadcast_to(roots, (len(part), len(roots)))
         for _ in range(int(nodes["depth"])):
-            x = flat[base + nodes["source"][node]]
-            goes_right = (x > nodes["low"][node]) & (x <= nodes["high"][node])
-            node = np.where(goes_right, nodes["right"][node], nodes["left"][node])
-        found[begin : begin + rows] = nodes["value"][node]
+            x = flat.take(base + nodes["source"].take(node))
+            goes_right = (x > nodes["low"].take(node)) & (x <= nodes["high"].take(node))
+            node = children.take(2 * node + goes_right)
+        found[begin : begin + rows] = nodes["value"].take(node)
     return found
 
 
