@@ -10,6 +10,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.storagelevel import StorageLevel
 
 from haulscope.functions.numeric import half_even
 from haulscope.functions.text import feature_label
@@ -33,6 +34,10 @@ TRAIN_PARTITIONS = 16
 # which are the features: values of one bucket are not told apart.
 MAX_CATEGORIES = 10_000
 BUCKETS = 1_024
+# Sums of the nodes that one pass over the rows fills, in MB for each task. Passes are more, but their sums
+# stay in a core's cache: at the trainer's default of 256 MB each sum comes from main memory.
+# Trees, splits and estimates do not depend on it. It grows with the features, as the sums of a node do.
+GROUP_MB = 4
 # Leaves that all trees together may have.
 MAX_LEAVES = 4_000_000
 
@@ -75,16 +80,30 @@ def fit(
 ) -> CostModel:
     """Train (eager). Spark bins split candidates and caps the depth, so the forest resembles
     one grown to the last sample but does not equal it. Rows are dealt out by shipment id and
-    sorted, so that the same rows give the same forest however they were read."""
+    sorted, so that the same rows give the same forest however they were read. That is done once and
+    kept on the executors' disks until the forest is there: every step of the fit reads the rows again."""
     if trees * 2**max_depth > MAX_LEAVES:
         raise ValueError(f"trees x 2^max_depth is limited to {MAX_LEAVES:,} leaves")
     known = training_rows(view)
     rows = known.repartition(TRAIN_PARTITIONS, KEY).sortWithinPartitions(*known.columns)
+    rows = rows.persist(StorageLevel.DISK_ONLY)
+    try:
+        pipeline = _trained(rows, trees, max_depth, max_bins, seed, least_rows)
+        medians = guards.exact_medians(rows, *NUMBERS)
+    finally:
+        rows.unpersist()
+    return CostModel(pipeline, _nodes(view.sparkSession, pipeline), medians)
+
+
+def _trained(
+    rows: DataFrame, trees: int, max_depth: int, max_bins: int, seed: int, least_rows: int
+) -> PipelineModel:
     seen = rows.limit(least_rows).count()
     if seen < least_rows:
         raise ValueError(f"Minimum {least_rows} historical records required. Current: {seen}.")
     kinds = rows.agg(*[F.count_distinct(c).alias(c) for c in CATEGORIES]).first()
     hashed = [c for c in CATEGORIES if kinds[c] > MAX_CATEGORIES]
+    features = sum(BUCKETS if c in hashed else kinds[c] for c in CATEGORIES) + len(NUMBERS)
     labels = [f"{c}_bucket" if c in hashed else c for c in CATEGORIES]
     indexed = [f"{c}_index" for c in CATEGORIES]
     hot = [f"{c}_hot" for c in CATEGORIES]
@@ -104,11 +123,10 @@ def fit(
             seed=seed,
             featureSubsetStrategy="all",
             subsamplingRate=1.0,
+            maxMemoryInMB=min(256, GROUP_MB * max(1, features // 32)),
         ),
     ]
-    pipeline = Pipeline(stages=stages).fit(rows)
-    medians = guards.exact_medians(known, *NUMBERS)
-    return CostModel(pipeline, _nodes(view.sparkSession, pipeline), medians)
+    return Pipeline(stages=stages).fit(rows)
 
 
 def _buckets(hashed: list[str]) -> SQLTransformer:

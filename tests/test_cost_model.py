@@ -38,6 +38,35 @@ def test_how_rows_were_read_does_not_matter(tables):
     assert all(found[0][k] == pytest.approx(found[1][k], rel=1e-9) for k in found[0])
 
 
+def test_training_rows_are_read_once(spark, tables):
+    """Sorting, counting, indexing, splitting, training and the medians share one reading of the rows."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    view = shipments.named_shipments(tables).select(
+        cost_model.KEY, *cost_model.CATEGORIES, *cost_model.NUMBERS, cost_model.TARGET
+    )
+    cost_model.fit(view.mapInArrow(counted, view.schema), trees=2, max_depth=3)
+    assert read.value == view.count()
+
+
+def test_the_forest_does_not_depend_on_how_many_nodes_a_pass_fills(tables, monkeypatch):
+    view = shipments.named_shipments(tables)
+    found = []
+    for size in (cost_model.GROUP_MB, 0, 256):
+        monkeypatch.setattr(cost_model, "GROUP_MB", size)
+        fitted = cost_model.fit(view, trees=5, max_depth=4)
+        assert fitted.forest.getMaxMemoryInMB() == size
+        found.append(fitted.nodes)
+    for other in found[1:]:
+        assert all((found[0][name] == other[name]).all() for name in other if name != "value")
+        assert other["value"] == pytest.approx(found[0]["value"], rel=1e-12)
+
+
 def test_too_many_leaves_are_refused(tables):
     view = shipments.named_shipments(tables)
     with pytest.raises(ValueError, match="leaves"):
