@@ -14,7 +14,7 @@ from pyspark.storagelevel import StorageLevel
 
 from haulscope.functions.numeric import half_even
 from haulscope.functions.text import feature_label
-from haulscope.operators import forest, guards
+from haulscope.operators import forest, growth, guards
 from haulscope.session import cleaned, work_folder
 
 KEY = "shipment_id"
@@ -34,10 +34,9 @@ TRAIN_PARTITIONS = 16
 # which are the features: values of one bucket are not told apart.
 MAX_CATEGORIES = 10_000
 BUCKETS = 1_024
-# Sums of the nodes that one pass over the rows fills, in MB for each task. Passes are more, but their sums
-# stay in a core's cache: at the trainer's default of 256 MB each sum comes from main memory.
-# Trees, splits and estimates do not depend on it. It grows with the features, as the sums of a node do.
-GROUP_MB = 4
+# Sums of the nodes that one pass over the rows fills, in MB for each task: a level of trees that needs more
+# takes several passes, of a tree each at least. Trees, splits and estimates do not depend on it.
+GROUP_MB = 128
 # Leaves that all trees together may have.
 MAX_LEAVES = 4_000_000
 
@@ -88,22 +87,42 @@ def fit(
     rows = known.repartition(TRAIN_PARTITIONS, KEY).sortWithinPartitions(*known.columns)
     rows = rows.persist(StorageLevel.DISK_ONLY)
     try:
-        pipeline = _trained(rows, trees, max_depth, max_bins, seed, least_rows)
+        _least(rows, least_rows)
+        features = _features(rows)
+        regressor = RandomForestRegressor(
+            featuresCol="features",
+            labelCol=TARGET,
+            predictionCol="estimate",
+            numTrees=trees,
+            maxDepth=max_depth,
+            maxBins=max_bins,
+            seed=seed,
+            featureSubsetStrategy="all",
+            subsamplingRate=1.0,
+            maxMemoryInMB=GROUP_MB,
+        )
+        indexer = next(s for s in features.stages if isinstance(s, StringIndexerModel))
+        values = [len(seen) for seen in indexer.labelsArray]
+        grown = growth.grow(_inputs(features.stages, rows).select(*(f"{c}_index" for c in CATEGORIES), *NUMBERS, TARGET), regressor, values)
         medians = guards.exact_medians(rows, *NUMBERS)
     finally:
         rows.unpersist()
-    return CostModel(pipeline, _nodes(view.sparkSession, pipeline), medians)
+    folder = cleaned(view.sparkSession, work_folder(view.sparkSession, "cost-model"))
+    trained = growth.stored(view.sparkSession, grown, regressor, sum(values) + len(NUMBERS), folder)
+    nodes = forest.flatten(view.sparkSession, folder, values)
+    return CostModel(PipelineModel([*features.stages, trained]), nodes, medians)
 
 
-def _trained(
-    rows: DataFrame, trees: int, max_depth: int, max_bins: int, seed: int, least_rows: int
-) -> PipelineModel:
+def _least(rows: DataFrame, least_rows: int) -> None:
     seen = rows.limit(least_rows).count()
     if seen < least_rows:
         raise ValueError(f"Minimum {least_rows} historical records required. Current: {seen}.")
+
+
+def _features(rows: DataFrame) -> PipelineModel:
+    """The stages that make the features of a row: a one for each value of a category, and the numbers."""
     kinds = rows.agg(*[F.count_distinct(c).alias(c) for c in CATEGORIES]).first()
     hashed = [c for c in CATEGORIES if kinds[c] > MAX_CATEGORIES]
-    features = sum(BUCKETS if c in hashed else kinds[c] for c in CATEGORIES) + len(NUMBERS)
     labels = [f"{c}_bucket" if c in hashed else c for c in CATEGORIES]
     indexed = [f"{c}_index" for c in CATEGORIES]
     hot = [f"{c}_hot" for c in CATEGORIES]
@@ -113,22 +132,19 @@ def _trained(
         StringIndexer(inputCols=labels, outputCols=indexed, handleInvalid="keep"),
         OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
         VectorAssembler(inputCols=[*hot, *NUMBERS], outputCol="features"),
-        RandomForestRegressor(
-            featuresCol="features",
-            labelCol=TARGET,
-            predictionCol="estimate",
-            numTrees=trees,
-            maxDepth=max_depth,
-            maxBins=max_bins,
-            seed=seed,
-            featureSubsetStrategy="all",
-            subsamplingRate=1.0,
-            maxMemoryInMB=min(256, GROUP_MB * max(1, features // 32)),
-        ),
     ]
     return Pipeline(stages=stages).fit(rows)
 
 
+def _inputs(stages: list, rows: DataFrame) -> DataFrame:
+    """With the index of each category, without the features that are made of it."""
+    for stage in stages:
+        rows = stage.transform(rows)
+        if isinstance(stage, StringIndexerModel):
+            break
+    return rows
+
+
 def _buckets(hashed: list[str]) -> SQLTransformer:
     """A pipeline stage that adds the bucket of each category that has too many values."""
     parts = [
@@ -138,14 +154,6 @@ def _buckets(hashed: list[str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
 
 
-def _nodes(spark: SparkSession, pipeline: PipelineModel) -> forest.Nodes:
-    """The forest's nodes, from the table that saving it writes."""
-    folder = cleaned(spark, work_folder(spark, "cost-model"))
-    pipeline.stages[-1].write().save(folder)
-    indexer = next(s for s in pipeline.stages if isinstance(s, StringIndexerModel))
-    return forest.flatten(spark, folder, [len(seen) for seen in indexer.labelsArray])
-
-
 def predict(model: CostModel, rows: DataFrame) -> DataFrame:
     """Add ``imputed``, ``estimate``, ``lower``, ``upper`` and ``spread`` to every row.
 
@@ -153,11 +161,7 @@ def predict(model: CostModel, rows: DataFrame) -> DataFrame:
     Categories are indexed in the JVM; all trees are then evaluated at once over Arrow batches,
     where the rows lie. Mean and population deviation of the trees give the interval.
     """
-    inputs = guards.fill_missing(rows, model.medians)
-    for stage in model.pipeline.stages:
-        inputs = stage.transform(inputs)
-        if isinstance(stage, StringIndexerModel):
-            break
+    inputs = _inputs(model.pipeline.stages, guards.fill_missing(rows, model.medians))
     columns = [*(f"{c}_index" for c in CATEGORIES), *NUMBERS]
     kept = list(dict.fromkeys([*rows.columns, *NUMBERS, "imputed"]))
     found = forest.evaluate(inputs, model.nodes, columns, kept, QUANTILE)

@@ -1,8 +1,8 @@
-"""A trained forest as flat arrays, evaluated level by level over batches of rows.
+"""A trained forest as flat arrays, evaluated tree by tree over batches of rows.
 
 All trees lie one after another in five arrays: which input a node looks at, the interval of values
-that goes to the right child, the two children, and the value. A batch takes one step down in all trees
-at a time, with a handful of array operations a level and no loop over rows or trees.
+that goes to the right child, the two children, and the value. A batch comes down the upper levels of a tree
+by a look-up an input, and from there takes a step a level, with no loop over rows.
 """
 
 from __future__ import annotations
@@ -20,33 +20,87 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Nodes of all trees together: 24 bytes each travel to every task.
 MAX_NODES = 8_000_000
-# Rows times trees that are walked at once; a few arrays of that many numbers are in memory.
-STEP = 1 << 16
-
-
 # Nodes of all trees, one after another, by name. A node's rows go right when ``low < x <= high`` for its
 # input ``source``; a leaf is its own child on both sides, so that rows which have arrived stay.
 # ``roots`` has the first node of each tree, ``depth`` the most steps to a leaf.
 Nodes = dict[str, np.ndarray]
 
 
-def trees(nodes: Nodes, inputs: np.ndarray) -> np.ndarray:
-    """What each tree says of each row; ``inputs`` has one row an input."""
-    roots, n = nodes["roots"], inputs.shape[1]
-    children = np.stack([nodes["left"], nodes["right"]], axis=1).ravel()
-    found = np.empty((n, len(roots)))
-    rows = max(1, STEP // len(roots))
-    for begin in range(0, n, rows):
-        part = np.ascontiguousarray(inputs[:, begin : begin + rows].T)
-        base = (np.arange(len(part)) * part.shape[1])[:, None]
-        flat = part.ravel()
-        node = np.broadcast_to(roots, (len(part), len(roots)))
-        for _ in range(int(nodes["depth"])):
-            x = flat.take(base + nodes["source"].take(node))
-            goes_right = (x > nodes["low"].take(node)) & (x <= nodes["high"].take(node))
-            node = children.take(2 * node + goes_right)
-        found[begin : begin + rows] = nodes["value"].take(node)
-    return found
+class Walk:
+    """A forest with cells for bounds: between any two neighbouring bounds of an input lies one cell."""
+
+    def __init__(self, nodes: Nodes, inputs: int) -> None:
+        inner = nodes["left"] != np.arange(len(nodes["left"]))
+        low, high = np.zeros(len(inner)), np.full(len(inner), np.inf)
+        self.cuts, begin = [], 0
+        for number in range(inputs):
+            asked = inner & (nodes["source"] == number)
+            bounds = np.concatenate([nodes["low"][asked], nodes["high"][asked]])
+            cuts = np.unique(bounds[np.isfinite(bounds)])
+            low[asked] = begin + np.searchsorted(cuts, nodes["low"][asked])
+            upper = nodes["high"][asked]
+            high[asked] = np.where(np.isfinite(upper), begin + np.searchsorted(cuts, upper), np.inf)
+            self.cuts.append(cuts)
+            begin += len(cuts) + 1
+        self.sizes = [len(cuts) + 1 for cuts in self.cuts]
+        self.nodes = nodes | {"source": nodes["source"].astype(np.intp), "low": low, "high": high}
+        self.posts = [signposts(self.nodes, self.sizes, tree) for tree in range(len(nodes["roots"]))]
+
+    def trees(self, inputs: np.ndarray) -> np.ndarray:
+        """What each tree says of each row; ``inputs`` has one row an input. A value that is none goes left."""
+        starts = np.cumsum(self.sizes) - self.sizes
+        values = np.where(np.isnan(inputs), -np.inf, inputs)
+        cells = np.stack([begin + np.searchsorted(c, x) for begin, c, x in zip(starts, self.cuts, values)])
+        found = np.empty((len(self.posts), inputs.shape[1]))
+        for tree, posts in enumerate(self.posts):
+            self.nodes["value"].take(arrived(self.nodes, posts, cells), out=found[tree])
+        return np.ascontiguousarray(found.T)
+
+
+# Levels of a tree that one look-up an input takes a row down: as many nodes as a word has bits.
+TOP = 6
+Posts = tuple[np.ndarray, np.ndarray]
+
+
+def signposts(nodes: Nodes, sizes: list[int], tree: int) -> Posts:
+    """For the upper levels of a tree: a word for each cell of each input, and the nodes of its bits. A node's bit is set
+    where the cell fits all conditions on the way to it, so that of a row's words only one bit is left in
+    common. ``nodes`` have cells for bounds, ``sizes`` tells how many cells each input has."""
+    cell = np.arange(sum(sizes))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = nodes["roots"][tree : tree + 1].astype(np.intp)
+    fits = np.ones((1, len(cell)), bool)
+    for _ in range(TOP):
+        inner = nodes["left"][at] != at
+        if not inner.any():
+            break
+        source, low, high = (nodes[name][at][:, None] for name in ("source", "low", "high"))
+        asked = (owner == source) & inner[:, None]
+        inside = (cell > low) & (cell <= high)
+        right = (fits & ~(asked & ~inside))[inner]
+        fits = np.concatenate([fits & ~(asked & inside), right])
+        at = np.concatenate([nodes["left"][at], nodes["right"][at[inner]]])
+    bits = np.int64(1) << np.arange(len(at))
+    words = np.bitwise_or.reduce(np.where(fits, bits[:, None], 0), axis=0)
+    return words, np.concatenate([at, np.zeros(2**TOP - len(at), np.intp)])
+
+
+def arrived(nodes: Nodes, posts: Posts, cells: np.ndarray) -> np.ndarray:
+    """The node of a tree that each row has come to; ``cells`` has one row an input."""
+    words, ends = posts
+    common = words.take(cells[0])
+    for one in cells[1:]:
+        common &= words.take(one)
+    # The exponent of a power of two is the number of its bit.
+    exponent = common.astype(np.float64).view(np.int64) >> 52
+    node = ends.take((exponent + 1) & (2**TOP - 1))
+    if (left := int(nodes["depth"]) - TOP) > 0:
+        flat, rows = cells.ravel(), np.arange(cells.shape[1])
+        for _ in range(left):
+            x = flat.take(rows + nodes["source"].take(node) * len(rows))
+            inside = (x > nodes["low"].take(node)) & (x <= nodes["high"].take(node))
+            node = np.where(inside, nodes["right"].take(node), nodes["left"].take(node))
+    return node
 
 
 def flatten(spark: SparkSession, saved: str, categories: list[int]) -> Nodes:
@@ -122,12 +176,12 @@ def evaluate(df: DataFrame, nodes: Nodes, inputs: list[str], keep: list[str], qu
     fields = [df.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = sent.value
+        walk = Walk(sent.value, len(inputs))
         for batch in batches:
             for begin in range(0, batch.num_rows, _CHUNK):
                 part = batch.slice(begin, _CHUNK)
                 columns = [part.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in inputs]
-                found = trees(flat, np.stack(columns))
+                found = walk.trees(np.stack(columns))
                 mean = found.mean(axis=1)
                 margin = quantile * np.sqrt(((found - mean[:, None]) ** 2).mean(axis=1))
                 offsets = np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]
