@@ -103,7 +103,8 @@ def fit(
         )
         indexer = next(s for s in features.stages if isinstance(s, StringIndexerModel))
         values = [len(seen) for seen in indexer.labelsArray]
-        grown = growth.grow(_inputs(features.stages, rows).select(*(f"{c}_index" for c in CATEGORIES), *NUMBERS, TARGET), regressor, values)
+        inputs = _inputs(features.stages, rows).select(*(f"{c}_index" for c in CATEGORIES), *NUMBERS, TARGET)
+        grown = growth.grow(inputs, regressor, values)
         medians = guards.exact_medians(rows, *NUMBERS)
     finally:
         rows.unpersist()
@@ -154,8 +155,8 @@ def _buckets(hashed: list[str]) -> SQLTransformer:
     return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
 
 
-def predict(model: CostModel, rows: DataFrame) -> DataFrame:
-    """Add ``imputed``, ``estimate``, ``lower``, ``upper`` and ``spread`` to every row.
+def predict(model: CostModel, rows: DataFrame, *, each_tree: bool = True) -> DataFrame:
+    """Add ``imputed``, ``tree_estimates`` (unless not wanted), ``estimate``, ``lower``, ``upper`` and ``spread`` to every row.
 
     A missing weight or distance takes the training median; ``imputed`` names those features.
     Categories are indexed in the JVM; all trees are then evaluated at once over Arrow batches,
@@ -164,11 +165,11 @@ def predict(model: CostModel, rows: DataFrame) -> DataFrame:
     inputs = _inputs(model.pipeline.stages, guards.fill_missing(rows, model.medians))
     columns = [*(f"{c}_index" for c in CATEGORIES), *NUMBERS]
     kept = list(dict.fromkeys([*rows.columns, *NUMBERS, "imputed"]))
-    found = forest.evaluate(inputs, model.nodes, columns, kept, QUANTILE)
+    found = forest.evaluate(inputs, model.nodes, columns, kept, QUANTILE, each_tree)
     return found.select(
         *rows.columns,
         "imputed",
-        "tree_estimates",
+        *(["tree_estimates"] if each_tree else []),
         "estimate",
         F.greatest(F.lit(0.0), F.col("estimate") - F.col("margin")).alias("lower"),
         (F.col("estimate") + F.col("margin")).alias("upper"),

@@ -168,10 +168,12 @@ def _depth(left: np.ndarray, right: np.ndarray, roots: np.ndarray) -> int:
         steps += 1
 
 
-def evaluate(df: DataFrame, nodes: Nodes, inputs: list[str], keep: list[str], quantile: float) -> DataFrame:
-    """The ``keep`` columns with ``tree_estimates``, their mean ``estimate``, and ``margin``: ``quantile`` times
-    their deviation. ``inputs`` are the columns that the forest was flattened for. Rows stay where
-    they are; a task holds the nodes and some thousand rows at a time."""
+def evaluate(
+    df: DataFrame, nodes: Nodes, inputs: list[str], keep: list[str], quantile: float, each_tree: bool = True
+) -> DataFrame:
+    """The ``keep`` columns with ``tree_estimates`` (unless not wanted), their mean ``estimate``, and ``margin``:
+    ``quantile`` times their deviation. ``inputs`` are the columns that the forest was flattened for. Rows stay
+    where they are; a task holds the nodes and some thousand rows at a time."""
     sent = df.sparkSession.sparkContext.broadcast(nodes)
     fields = [df.schema[c] for c in keep]
 
@@ -184,13 +186,16 @@ def evaluate(df: DataFrame, nodes: Nodes, inputs: list[str], keep: list[str], qu
                 found = walk.trees(np.stack(columns))
                 mean = found.mean(axis=1)
                 margin = quantile * np.sqrt(((found - mean[:, None]) ** 2).mean(axis=1))
-                offsets = np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
-                arrays = [*(part.column(n) for n in keep), lists, pa.array(mean), pa.array(margin)]
-                yield pa.RecordBatch.from_arrays(arrays, [*keep, "tree_estimates", "estimate", "margin"])
+                new = {"estimate": pa.array(mean), "margin": pa.array(margin)}
+                if each_tree:
+                    offsets = np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
+                    new = {"tree_estimates": lists, **new}
+                arrays = [*(part.column(n) for n in keep), *new.values()]
+                yield pa.RecordBatch.from_arrays(arrays, [*keep, *new])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    schema += ", tree_estimates array<double>, estimate double, margin double"
+    schema += f"{', tree_estimates array<double>' if each_tree else ''}, estimate double, margin double"
     return df.mapInArrow(run, schema)
 
 

@@ -28,8 +28,8 @@ from haulscope.operators import forest
 # What runs inside tasks travels with the plan: executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Rows that are summed up at a time.
-STEP = 1 << 15
+# Rows that are kept, read and summed up at a time: some megabytes.
+STEP = 1 << 14
 # Sums that travel as one row of the shuffle, in bytes.
 BLOCK = 4 << 20
 # Marks the packed inputs of a row among the bytes around them.
@@ -80,7 +80,7 @@ def sampled(rows: DataFrame, n: int, bins: int, seed: int) -> DataFrame:
 
 def bootstrapped(rows: DataFrame, trees: int, seed: int, cuts: list[np.ndarray]) -> DataFrame:
     """Rows of category indexes, numbers and the target, in this order, with how often each tree has drawn
-    each row, by Spark's own sampler: one binary column, of ``_row``."""
+    each row, by Spark's own sampler: a binary column that holds some thousand rows at a time, as ``_block``."""
     names = rows.columns
     inputs = len(names) - 1
     first = inputs - len(cuts)
@@ -97,9 +97,15 @@ def bootstrapped(rows: DataFrame, trees: int, seed: int, cuts: list[np.ndarray])
             yield _binary(packed)
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for batch in batches:
             if batch.num_rows:
-                yield _binary(_sampled_row(_table_of(batch.column(0)), inputs, trees))
+                held.append(_sampled_row(_table_of(batch.column(0)), inputs, trees))
+            if sum(map(len, held)) >= STEP:
+                yield _block(np.concatenate(held))
+                held = []
+        if held:
+            yield _block(np.concatenate(held))
 
     spark = rows.sparkSession
     jvm = spark.sparkContext._jvm
@@ -109,7 +115,7 @@ def bootstrapped(rows: DataFrame, trees: int, seed: int, cuts: list[np.ndarray])
     points = sampler.convertToBaggedRDD(packed, 1.0, trees, True, equal, seed)
     kryo = encoders.kryo(jvm.java.lang.Class.forName("org.apache.spark.ml.tree.impl.BaggedPoint"))
     stored = DataFrame(spark._jsparkSession.createDataset(points, kryo).toDF(), spark)
-    return stored.mapInArrow(compact, "row binary")
+    return stored.mapInArrow(compact, "rows binary")
 
 
 def _row(inputs: int, trees: int) -> np.dtype:
@@ -153,24 +159,22 @@ def _sampled_row(table: np.ndarray, inputs: int, trees: int) -> np.ndarray:
     return rows
 
 
+def _block(rows: np.ndarray) -> pa.RecordBatch:
+    """Rows column by column: targets, cells by input, draws by tree."""
+    columns = [np.ascontiguousarray(rows[name].T).tobytes() for name in ("target", "cells", "draws")]
+    return pa.RecordBatch.from_pydict({"rows": [b"".join(columns)]})
+
+
 def _blocks(
     batches: Iterator[pa.RecordBatch], trees: int, inputs: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Cells by input, targets, and draws by row, of some rows at a time."""
-    held, rows = [], 0
+    """Targets, cells by input, and draws by tree, of some rows at a time."""
     for batch in batches:
-        held.append(batch.column(0))
-        rows += batch.num_rows
-        if rows >= STEP:
-            yield _unpacked(held, trees, inputs)
-            held, rows = [], 0
-    if rows:
-        yield _unpacked(held, trees, inputs)
-
-
-def _unpacked(held: list[pa.Array], trees: int, inputs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rows = _table_of(pa.concat_arrays(held)).view(_row(inputs, trees))[:, 0]
-    return np.ascontiguousarray(rows["cells"].T).astype(np.intp), rows["target"].copy(), rows["draws"]
+        for block in batch.column(0):
+            data = np.frombuffer(block.as_buffer(), np.uint8)
+            n = len(data) // _row(inputs, trees).itemsize
+            target, cells, draws = np.split(data, [8 * n, (8 + 4 * inputs) * n])
+            yield target.view("<f8"), cells.view("<i4").reshape(inputs, n).astype(np.intp), draws.reshape(trees, n)
 
 
 def _summed(batches: Iterator[pa.RecordBatch], spec: dict) -> Iterator[pa.RecordBatch]:
@@ -184,10 +188,10 @@ def _summed(batches: Iterator[pa.RecordBatch], spec: dict) -> Iterator[pa.Record
     widths = {t: _width(sizes, among, t) for t in group}
     # Rows in no open node are summed up beyond the last.
     sums = {t: np.zeros((3, (spec["open"][t] + 1) * widths[t])) for t in group}
-    for cells, target, draws in _blocks(batches, spec["trees"], len(sizes)):
+    for target, cells, draws in _blocks(batches, spec["trees"], len(sizes)):
         cells += starts
         for t in group:
-            drawn = np.ascontiguousarray(draws[:, t])
+            drawn = draws[t]
             rows = np.flatnonzero(drawn != 0)
             here = cells.take(rows, axis=1)
             slot = slots.take(forest.arrived(spec["nodes"], posts[t], here))

@@ -43,10 +43,11 @@ def fit(tables: FreightTables, **settings) -> cost_model.CostModel:
     return cost_model.fit(named_shipments(tables), **settings)
 
 
-def estimates(tables: FreightTables, model: cost_model.CostModel) -> DataFrame:
-    """Estimate, interval and comparison for every shipment; missing features are filled."""
+def estimates(tables: FreightTables, model: cost_model.CostModel, *, each_tree: bool = True) -> DataFrame:
+    """Estimate, interval and comparison for every shipment; missing features are filled. ``each_tree`` adds
+    what every single tree says."""
     rows = named_shipments(tables).select("shipment_id", "carrier", "facility", "weight_lbs", "miles")
-    return cost_model.compare(cost_model.predict(model, rows), fleet_baselines(tables))
+    return cost_model.compare(cost_model.predict(model, rows, each_tree=each_tree), fleet_baselines(tables))
 
 
 def model_guards(tables: FreightTables) -> DataFrame:
