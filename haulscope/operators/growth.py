@@ -24,6 +24,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressionM
 from pyspark.sql import DataFrame, SparkSession
 
 from haulscope.operators import forest
+from haulscope.session import shuffles_removed
 
 # What runs inside tasks travels with the plan: executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -500,9 +501,11 @@ def _looked(
         sent = context.broadcast(spec | {"group": group})
         stats = {"among": among, "whole": {t: whole[t] for t in group if t in whole}, "kin": {t: kin[t] for t in group if t in kin}}
         stats = context.broadcast(layout | stats)
-        partial = drawn.mapInArrow(_with(_summed, sent), _ddl(_PARTIAL))
-        splits = partial.groupBy("tree", "begin").applyInArrow(_with(_chosen, stats), _ddl(_SPLITS))
-        for row in splits.collect():  # a row a tree, or a few
+        with shuffles_removed(drawn.sparkSession):
+            partial = drawn.mapInArrow(_with(_summed, sent), _ddl(_PARTIAL))
+            splits = partial.groupBy("tree", "begin").applyInArrow(_with(_chosen, stats), _ddl(_SPLITS))
+            rows = splits.collect()  # a row a tree, or a few
+        for row in rows:
             at = firsts[row["tree"]] + row["begin"]
             part = np.frombuffer(row["found"], np.float64).reshape(-1, _FOUND)
             found[at : at + len(part)] = part

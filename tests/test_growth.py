@@ -1,5 +1,7 @@
 """The forest grown over cells is the one that Spark's own trainer grows."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
@@ -71,6 +73,28 @@ def test_a_level_is_a_pass_over_the_rows(spark, monkeypatch):
     assert passes[0] == 40
 
 
+def test_passes_leave_no_shuffle_files(spark, monkeypatch):
+    """They would pile up, level by level."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    looked, left = growth._looked, []
+
+    def files():
+        return disk.getAllFiles().mkString(" ").count("/shuffle_")
+
+    def watched(*args, **more):
+        args[0].count()  # kept from here on
+        before, found = files(), looked(*args, **more)
+        until = time.time() + 20
+        while files() > before and time.time() < until:
+            time.sleep(0.1)
+        left.append(files() - before)
+        return found
+
+    monkeypatch.setattr(growth, "_looked", watched)
+    cost_model.fit(shipments(spark, 2_000, distinct=900, costs=90_000), trees=5, max_depth=4)
+    assert max(left) <= 0
+
+
 def test_rows_come_down_a_tree_of_any_depth():
     """Look-ups by words and steps below them, against one condition after another."""
     rng = np.random.default_rng(5)
